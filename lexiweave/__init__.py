@@ -1,0 +1 @@
+"""Index-preserving text transduction on Spark."""

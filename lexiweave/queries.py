@@ -1,0 +1,9 @@
+"""Queries over the engine's own operators, and the SQL they are held against."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
