@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokenstore
+from . import packing, simhash, substring, tokenstore
 from .common import table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents")).drop("fp")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store_documents(table(spark, sf_dir, "documents"))
 
@@ -16,10 +20,16 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+
+
 def queries() -> dict:
     return {
+        "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op3_token_store": op3_token_store,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_substring_dedup": op5_substring_dedup,
     }
 
 
