@@ -131,4 +131,5 @@ def pack(pieces: DataFrame, *, capacity: int = 1024) -> DataFrame:
 
 def pack_documents(docs: DataFrame, *, capacity: int = 1024, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     """doc_id and text to packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(token_pieces(docs, capacity=capacity, tokenizer=tokenizer, end_id=end_id), capacity=capacity).drop("_row")
+    # stored first, as a range sort reads its rows twice
+    return pack(stored(token_pieces(docs, capacity=capacity, tokenizer=tokenizer, end_id=end_id), "cut"), capacity=capacity).drop("_row")
