@@ -1,20 +1,21 @@
 """Packed tokenisation: the tokenizers library encodes each distinct word once, documents are joined from packed ids.
 
 A byte-level BPE never merges across the pieces that its pre-tokenizer cuts, so ids of a text are those of its pieces
-in order. Pieces not seen yet go to the library together; the ids of each are kept as little-endian bytes in a cache of
+in order. Pieces not seen yet go to the library's own model; the ids of each are kept as little-endian bytes in a cache of
 bounded size. Texts with a special token's string or with characters outside the basic plane are encoded as they are.
 """
 
 from __future__ import annotations
 
+import gc
 import re
+import struct
 import unicodedata
-from itertools import chain
 
 import numpy as np
 
 #: Cached pieces of a worker; beyond that the cache starts again.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 700_000
 
 
 def default_tokenizer() -> str:
@@ -50,29 +51,53 @@ class PackedTokenizer:
         spaces = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
         self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+").findall
         self.beyond = re.compile("[\U00010000-\U0010ffff]").search
+        #: the byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from U+0100 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.bytes = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
         self.cache: dict[str, bytes] = {}
         self.vocabulary = self.library.get_vocab_size()
 
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            got = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(got.ids, dtype="<u4").tobytes()
-            ends = (np.searchsorted(np.asarray(got.word_ids), np.arange(len(part) + 1)) * 4).tolist()
-            self.cache.update((w, ids[a:b]) for w, a, b in zip(part, ends, ends[1:]))
+    def _learn(self, words: set[str]) -> None:
+        tokenize, table, pack = self.library.model.tokenize, self.bytes, struct.pack
+        for word in words:
+            ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(table))]
+            self.cache[word] = pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is the empty text."""
-        own = [not self.cuts or bool(t and (self.beyond(t) or any(s in t for s in self.special))) for t in texts]
-        cut = [[] if o or not t else self.cut(t) for o, t in zip(own, texts)]
+        gc.disable()  # a large cache of strings makes collections slow, and nothing here is cyclic
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > CACHE_SIZE:
             self.cache.clear()
-        self._learn(list(set(chain.from_iterable(cut)).difference(self.cache)))
-        ids = self.cache.__getitem__
-        return [self._whole(t or "") if o else b"".join(map(ids, c)) for o, t, c in zip(own, texts, cut)]
+        known, out, later, new = self.cache.get, [], [], set()
+        for k, text in enumerate(texts):
+            if text and (not self.cuts or self.beyond(text) or any(s in text for s in self.special)):
+                out.append(self._whole(text))
+                continue
+            pieces = self.cut(text) if text else []
+            ids = list(map(known, pieces))
+            if None in ids:
+                at = [i for i, x in enumerate(ids) if x is None]
+                missing = [pieces[i] for i in at]
+                new.update(missing)
+                later.append((k, ids, at, missing))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        self._learn(new)
+        for k, ids, at, missing in later:
+            for i, word in zip(at, missing):
+                ids[i] = self.cache[word]
+            out[k] = b"".join(ids)
+        return out
 
 
 _ready: dict[str, PackedTokenizer] = {}
