@@ -42,31 +42,35 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0] if level else digest_of(b"")
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document, from the ids alone."""
-    n, ends, last = len(ids), [], 0
-    if n > LEAST:
-        base = np.uint64(0x9E3779B97F4A7C15)
-        with np.errstate(over="ignore"):
-            x = ids.astype(np.uint64) * base
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            # sum of the last WINDOW values, each times its distance from the end: depends on their order, rolls by two running sums
-            total, weighted = np.cumsum(x), np.cumsum(x * (np.arange(n, dtype=np.uint64)))
-            total = np.concatenate([np.zeros(1, np.uint64), total])
-            weighted = np.concatenate([np.zeros(1, np.uint64), weighted])
-            end = np.arange(WINDOW, n + 1)
-            s, t = total[end] - total[end - WINDOW], weighted[end] - weighted[end - WINDOW]
-            h = (end.astype(np.uint64) * s - t) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(31)
-        marks = (end[(h & np.uint64(MEAN - 1)) == 0]).tolist()
-        for m in marks:
-            while m - last > MOST:
-                last += MOST
-                ends.append(last)
-            if m - last >= LEAST:
-                ends.append(m)
-                last = m
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of the windows of WINDOW ids whose rolling hash makes a cut, in a stream of any documents one after another."""
+    n = len(ids)
+    if n < WINDOW:
+        return np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        # sum of the last WINDOW values, each times its distance from the end: depends on their order, rolls by two running sums
+        total, weighted = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(x, out=total[1:])
+        np.cumsum(x * np.arange(n, dtype=np.uint64), out=weighted[1:])
+        h = np.arange(WINDOW, n + 1, dtype=np.uint64) * (total[WINDOW:] - total[:-WINDOW]) - (weighted[WINDOW:] - weighted[:-WINDOW])
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    return np.flatnonzero((h & np.uint64(MEAN - 1)) == 0) + WINDOW
+
+
+def cut_points(n: int, marks: list[int]) -> list[int]:
+    """Ends of the chunks of a document of n ids, from the marks within it."""
+    ends, last = [], 0
+    for m in marks:
+        while m - last > MOST:
+            last += MOST
+            ends.append(last)
+        if m - last >= LEAST:
+            ends.append(m)
+            last = m
     while n - last > MOST:
         last += MOST
         ends.append(last)
@@ -88,22 +92,29 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
         end = np.asarray([end_id], dtype="<u4").tobytes()
         short = tok.vocabulary <= 65536 and end_id < 65536
         for batch in batches:
-            rows = []
-            for doc, row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tok.encode(batch.column(2).to_pylist())):
-                ids = np.frombuffer(raw + end, dtype="<u4")
-                stored_ids, width = (ids.astype("<u2").tobytes(), 2) if short else (raw + end, 4)
-                at, recipe = 0, []
-                for to in cut_points(ids):
-                    data = stored_ids[at * width : to * width]
-                    name = digest_of(data)
+            rows, encoded = [], [raw + end for raw in tok.encode(batch.column(2).to_pylist())]
+            sizes = np.asarray([len(x) // 4 for x in encoded], np.int64)
+            stop = np.cumsum(sizes)
+            ids = np.frombuffer(b"".join(encoded), dtype="<u4")
+            width, data = (2, ids.astype("<u2").tobytes()) if short else (4, ids.tobytes())
+            cuts = marks(ids)
+            # a window must lie within its document
+            cuts = cuts[cuts - (stop - sizes)[np.searchsorted(stop, cuts)] >= WINDOW]
+            bounds = np.searchsorted(cuts, stop - sizes, side="right").tolist()
+            ends_at = np.searchsorted(cuts, stop, side="right").tolist()
+            for doc, row, n, to_, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes.tolist(), stop.tolist(), bounds, ends_at):
+                first, at, recipe = to_ - n, 0, []
+                for to in cut_points(n, (cuts[a:b] - first).tolist()):
+                    chunk = data[(first + at) * width : (first + to) * width]
+                    name = digest_of(chunk)
                     recipe.append(name)
                     if name not in sent:
                         if len(sent) >= 500_000:
                             sent.clear()
                         sent.add(name)
-                        rows.append(("chunk", name, to - at, data, None, None, None, None))
+                        rows.append(("chunk", name, to - at, chunk, None, None, None, None))
                     at = to
-                rows.append(("recipe", None, len(ids), None, doc, row, recipe, merkle(recipe)))
+                rows.append(("recipe", None, n, None, doc, row, recipe, merkle(recipe)))
             cols = list(zip(*rows))
             types = (pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary())
             names = ("kind", "digest", "n_ids", "ids", "doc_id", "row", "digests", "root")
@@ -136,17 +147,20 @@ def _kind(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/data").where(F.col("kind") == kind).drop("kind")
 
 
-def _shift_table() -> np.ndarray:
-    """x to the power of 32 * 2**k modulo the CRC polynomial: what 2**k further ids do."""
-    one = np.uint32(1 << 31)
-    power = one >> np.uint32(1)  # x
+def _shift_tables() -> list[np.ndarray]:
+    """In table k at v, what v * 256**k further ids do to a CRC: x to the power of 32 times that many, modulo the polynomial."""
+    power = np.full(1, 1 << 30, np.uint32)  # x
     for _ in range(5):
-        power = _times(np.asarray([power]), np.asarray([power]))[0]
+        power = _times(power, power)
     out = []
-    for _ in range(48):
-        out.append(power)
-        power = _times(np.asarray([power]), np.asarray([power]))[0]
-    return np.asarray(out, dtype=np.uint32)
+    for _ in range(6):
+        table = np.zeros(256, np.uint32)
+        table[0] = 1 << 31  # one
+        for k in range(8):
+            table[1 << k : 2 << k] = _times(table[: 1 << k], np.full(1 << k, power[0], np.uint32))
+            power = _times(power, power)
+        out.append(table)
+    return out
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,14 +175,20 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def shifted(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
     """The share of a chunk's CRC in that of a document that has `after` further 32-bit ids."""
-    table, out = _shift_table(), crc.astype(np.uint32)
-    for k in range(int(after.max()).bit_length() if len(after) else 0):
-        on = ((after >> k) & 1).astype(bool)
-        if on.any():
-            out[on] = _times(out[on], np.full(int(on.sum()), table[k], dtype=np.uint32))
+    if not _tables:
+        _tables.extend(_shift_tables())
+    out = crc.astype(np.uint32)
+    for k, table in enumerate(_tables):
+        part = (after >> (8 * k)) & 255
+        if not after.size or not (after >> (8 * k)).any():
+            break
+        out = _times(out, table[part])
     return out
 
 
+_tables: list[np.ndarray] = []
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, row, start, n_tokens, ids_crc32 of each document, verified, in no order."""
 
