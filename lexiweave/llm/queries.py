@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, packing, simhash, substring, tokenstore, warc
+from . import chat, decontam, html, langid, packing, simhash, substring, tokenstore, topk, warc
 from .common import table
 
 
@@ -32,6 +33,24 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5, scale=256.0)
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.format_turns(table(spark, sf_dir, "conversations"))
+    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "role_pred", "n_turns", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 s AS (SELECT page_id, h, CAST(octet_length(encode(h)) AS BIGINT) AS n FROM p),
@@ -71,6 +90,21 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN ids ON d.doc_id = ids.do
 """
 
 
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+#: What a faultless parse gives: each turn alone, with the role it was written with.
+OP9_SQL = """
+WITH t AS (SELECT conv_id, turn, role, '<|' || role || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS r FROM conversations)
+SELECT conv_id, turn, role, role AS role_pred, CAST(1 AS BIGINT) AS n_turns, CAST(length(r) AS BIGINT) AS n_chars, sha256(r) AS rendered_sha256 FROM t
+"""
+
+
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -78,9 +112,13 @@ def queries() -> dict:
         "op3_token_store": op3_token_store,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_language_id": op6_language_id,
         "op7_decontamination": op7_decontamination,
+        "op8_exact_top_k": op8_exact_top_k,
+        "op9_chat_format": op9_chat_format,
+        "op10_html_text": op10_html_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op7_decontamination": OP7_SQL}
+    return {"op2_warc": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op7_decontamination": OP7_SQL, "op8_exact_top_k": OP8_SQL, "op9_chat_format": OP9_SQL}
