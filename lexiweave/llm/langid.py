@@ -159,8 +159,8 @@ def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int =
     return Classifier.fit(np.array([np.frombuffer(r["v"], "<f2") for r in few]).astype(np.float32), [r["lang"] for r in few])
 
 
-def predict(docs: DataFrame, model: Classifier | None, columns: list[str]) -> DataFrame:
-    """Adds lang_pred and score to the columns asked for."""
+def predict(docs: DataFrame, model: Classifier | None, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score, under names of their own, to the columns asked for."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*columns, F.col("text").alias("_text"))
@@ -169,17 +169,17 @@ def predict(docs: DataFrame, model: Classifier | None, columns: list[str]) -> Da
         for batch in batches:
             texts = batch.column(len(columns)).to_pylist()
             at = [i for i, t in enumerate(texts) if shared.value is not None and has_letter(t)]
-            names, scores = ["und"] * len(texts), np.zeros(len(texts))
+            found, scores = ["und"] * len(texts), np.zeros(len(texts))
             for k in range(0, len(at), 250):
                 part = at[k : k + 250]
                 got, score = shared.value.predict(np.array([features(texts[i]) for i in part]))
                 for i, name in zip(part, got):
-                    names[i] = name
+                    found[i] = name
                 scores[part] = score
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(names, pa.string()), pa.array(scores)], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(found, pa.string()), pa.array(scores)], names=[*columns, *names])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", lang_pred string, score double")
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{names[0]}` string, `{names[1]}` double")
 
 
 def identify(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -191,5 +191,5 @@ def identify(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> DataFrame:
 def only_known(docs: DataFrame, *, per_language: int = PER_LANGUAGE, least: float = 0.2) -> DataFrame:
     """The rows of docs whose language is found with a score of `least` or more, with that as their lang; other columns as they are."""
     model = train(docs.where(~held_out(docs)), per_language=per_language)
-    out = predict(docs, model, list(docs.columns)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    out = predict(docs, model, list(docs.columns), ("_lang", "_score")).where((F.col("_lang") != "und") & (F.col("_score") >= least))
+    return out.withColumn("lang", F.col("_lang")).select(*docs.columns)
