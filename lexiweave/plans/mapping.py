@@ -224,7 +224,7 @@ def compile_rules(mapping: Mapping) -> list[Compiled]:
             warnings.warn(f"rules with an empty input are disallowed: {rule.to_dict()}", stacklevel=3)
             continue
         explicit = bool(_INDEX.search(rule.rule_input) and _INDEX.search(rule.rule_output))
-        before = f"(?<={rule.context_before})" if rule.context_before else ""
+        before = f"(?<={looked_behind(rule.context_before)})" if rule.context_before else ""
         after = f"(?={rule.context_after})" if rule.context_after else ""
         out.append(
             Compiled(
@@ -235,6 +235,23 @@ def compile_rules(mapping: Mapping) -> list[Compiled]:
     return out
 
 
+_ALTERNATIVES = regex.compile(r"[\\\[\]\p{L}\p{M}|.:'^$]+")
+
+
+def looked_behind(context: str) -> str:
+    """A context before, as mappings rely on it: where the shortest alternatives of a list end in one that is there twice, the
+    list goes without those of that length. A look-behind may have alternatives of any length here."""
+
+    def listed(m) -> str:
+        size = lambda x: 0 if x in ("^", "$") else len(x)
+        parts = sorted(m[0].split("|"), key=len, reverse=True)
+        if parts.count(parts[-1]) == 1:
+            return m[0]
+        return "|".join(p for p in parts if size(p) != size(parts[-1])) or "(?!)"
+
+    return _ALTERNATIVES.sub(listed, context)
+
+
 def _escaped(text: str) -> str:
     """Escaped for patterns; index notation stays what it is."""
     out, at = [], 0
