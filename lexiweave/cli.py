@@ -59,15 +59,54 @@ def show_mappings(args) -> None:
             print(f"{m.in_lang} -> {m.out_lang}: {m.display_name} ({m.type or 'mapping'}, {len(m.rules)} rules)")
 
 
+def language_spec(known, spec: str) -> list[tuple]:
+    """Mappings and their sides that a specification names: LANG, IN_to_OUT, or IN_to_OUT[in] or [out]."""
+    from .functions.text import is_ipa
+
+    name, bracket, side = spec.partition("[")
+    side = side.rstrip("]")
+    in_lang, between, out_lang = name.partition("_to_")
+    if between:
+        m = known.find_mapping(in_lang, out_lang)
+        side = side or ("out" if is_ipa(out_lang) else "in" if is_ipa(in_lang) else "")
+        if side not in ("in", "out"):
+            raise CommandLineError(f"{spec}: say [in] or [out], as neither side is IPA" if not side else f"{spec}: only [in] and [out] are sides")
+        return [(m, side)]
+    if bracket:
+        raise CommandLineError(f"{spec}: a side goes with IN_to_OUT only")
+    if in_lang == "eng":
+        return [(known.find_mapping("eng-ipa", "eng-arpabet"), "in")]
+    found = [m for m in known.mappings if m.out_lang == f"{in_lang}-ipa" and not is_ipa(m.in_lang)]
+    if not found:
+        raise CommandLineError(f"no mappings lead to the IPA of {spec}")
+    return [(known.find_mapping(m.in_lang, m.out_lang), "out") for m in found]
+
+
 def generate_mapping(args) -> None:
     known = api.registry()
-    first = known.find_mapping(*known.path(args.in_lang, args.out_lang)[-2:])
-    if args.dummy:
-        made = inventories.align_to_dummy_fallback(first, "out", distance_name=args.distance)
+    modes = [args.ipa, args.dummy, args.list_dummy, bool(args.source or args.target)]
+    if sum(modes) != 1 or bool(args.source) != bool(args.target):
+        raise CommandLineError("choose one of --ipa, --dummy, --list-dummy, and --from with --to")
+    if args.source:
+        made = [inventories.create_multi_mapping(language_spec(known, args.source), language_spec(known, args.target), distance_name=args.distance)]
     else:
-        made = inventories.create_mapping(first, known.find_mapping("eng-ipa", "eng-arpabet"), distance_name=args.distance)
-    files.mapping_to_file(made, args.folder)
-    files.config_to_file(made, f"{args.folder}/config-g2p.yaml")
+        if not args.lang:
+            raise CommandLineError("a language is needed")
+        own = [m for m in known.mappings if args.lang in (m.in_lang, f"{m.in_lang}-ipa", m.out_lang.removesuffix("-ipa")) and (m.out_lang.endswith("ipa") or not args.ipa)]
+        if not own:
+            raise CommandLineError(f"no mappings begin at {args.lang}")
+        if args.ipa:
+            target = known.find_mapping("eng-ipa", "eng-arpabet")
+            made = [inventories.create_multi_mapping([(m, "out") for m in own], [(target, "in")], distance_name=args.distance)] if args.merge else [inventories.create_mapping(m, target, distance_name=args.distance) for m in own]
+        else:
+            read = known.make_g2p("und", "und-ipa", tokenize=False).text if "und" in known.network else None
+            made = [inventories.align_to_dummy_fallback(m, "out", und_to_ipa=read, distance_name=args.distance) for m in own]
+    for m in made:
+        if args.list_dummy:
+            sys.stdout.write(files.mapping_to_text(m, "csv"))
+        else:
+            files.mapping_to_file(m, args.folder)
+            files.config_to_file(m, f"{args.folder}/config-g2p.yaml")
 
 
 def update(args) -> None:
@@ -100,9 +139,12 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("lang", nargs="?")
     m.set_defaults(run=show_mappings)
     g = sub.add_parser("generate-mapping")
-    for name in ("in_lang", "out_lang", "folder"):
-        g.add_argument(name)
-    g.add_argument("--dummy", action="store_true")
+    g.add_argument("lang", nargs="?")
+    for flag in ("--ipa", "--dummy", "--list-dummy", "--merge"):
+        g.add_argument(flag, action="store_true")
+    g.add_argument("--from", dest="source", metavar="SPEC")
+    g.add_argument("--to", dest="target", metavar="SPEC")
+    g.add_argument("--folder", default=".")
     g.add_argument("--distance", default=inventories.METHODS[0], choices=inventories.METHODS)
     g.set_defaults(run=generate_mapping)
     u = sub.add_parser("update")

@@ -92,6 +92,14 @@ def test_files_in_spark(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "db/mappings")).count() == 4 and spark.read.parquet(str(tmp_path / "db/edges")).count() == 4
 
 
+def test_pronouncing_dictionary(spark, tmp_path):
+    from lexiweave.sources.cmudict import read_dictionary
+
+    (tmp_path / "d").write_text(";;; note\nhello HH AH0 L OW1 # common\nhello(2) HH EH0 L OW1\n\nodd XX\n")
+    got = read_dictionary(spark, str(tmp_path / "d"), {"HH": "h", "AH": "ʌ", "L": "l", "OW": "oʊ"}).collect()
+    assert [tuple(r) for r in got] == [("hello", "hʌloʊ"), ("odd", None)]
+
+
 def test_frames(spark):
     df = spark.createDataFrame([("nunavut",), (None,)], "text string")
     rows = api.convert_frame(df, "text", "und", "eng-arpabet", alignments=True).collect()

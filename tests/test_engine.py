@@ -6,7 +6,7 @@ from unicodedata import normalize
 import pytest
 
 import lexiweave
-from lexiweave import api, cli
+from lexiweave import api, cli, service
 from lexiweave.errors import IncorrectFileType, InvalidLanguageCode, MalformedMapping, MappingMissing, NeuralDependencyError, NoPath
 from lexiweave.operators import checks, inventories
 from lexiweave.operators.lexicon import apply_lexicon, parse_alignment
@@ -187,7 +187,27 @@ def test_command_line(capsys, tmp_path):
     (tmp_path / "t.txt").write_text("yes\nno\n")
     assert cli.main(["convert", str(tmp_path / "t.txt"), "und-ascii", "und-ipa", "-f", "-c"]) == 0 and capsys.readouterr().out == "jes\nno\n"
     assert cli.main(["convert", "yes", "und-ascii", "none"]) == 2 and cli.main(["convert", "yes", "und-ascii", "und-ipa", "--no-tok", "-t", "und"]) == 2
-    assert cli.main(["doctor"]) == cli.main(["show-mappings", "und"]) == cli.main(["generate-mapping", "und-ascii", "und-ipa", str(tmp_path)]) == 0
+    assert cli.main(["doctor"]) == cli.main(["show-mappings", "und"]) == 0
+    for args in (["und-ascii", "--ipa"], ["und-ascii", "--ipa", "--merge"], ["und-ascii", "--dummy"], ["und-ascii", "--list-dummy"], ["--from", "und-ascii_to_und-ipa", "--to", "eng"], ["--from", "und-ipa_to_eng-ipa[in]", "--to", "eng-ipa_to_eng-arpabet"]):
+        assert cli.main(["generate-mapping", *args, "--folder", str(tmp_path)]) == 0
+    assert (tmp_path / "und-ipa_to_eng-ipa.json").exists() and "a,ɑ,," in capsys.readouterr().out
+    for args in ([], ["und"], ["x", "--ipa"], ["--from", "eng"], ["--from", "und-ascii[in]", "--to", "eng"], ["--from", "und_to_und-ascii", "--to", "eng"], ["--from", "und_to_und-ascii[x]", "--to", "eng"], ["--ipa", "--dummy", "und-ascii"]):
+        assert cli.main(["generate-mapping", *args]) == 2
+
+
+def test_service():
+    r = api.registry()
+    assert service.langs(r)[0] == {"code": "und", "name": "Undetermined"} and [n["code"] for n in service.nodes(r)] == ["eng-arpabet", "eng-ipa", "und", "und-ascii", "und-ipa"]
+    assert service.outputs_for(r, "eng-ipa") == ["eng-arpabet"] and service.ancestors(r, "und-ascii") == ["und"] and service.path(r, "und", "eng-ipa") == ["und", "und-ascii", "und-ipa", "eng-ipa"]
+    for call, kind in ((lambda: service.inputs_for(r, "q"), InvalidLanguageCode), (lambda: service.path(r, "eng-ipa", "und"), NoPath), (lambda: service.g2p(r, "eng-ipa", "und", "a"), NoPath)):
+        with pytest.raises(kind):
+            call()
+    assert service.g2p(r, "und-ascii", "und-ipa", "yes", index=True) == {"input-text": "yes", "output-text": "jes", "debugger": False, "index": [(0, 0), (1, 1), (2, 2)]}
+    word, gap, _ = service.convert(r, "und-ascii", "eng-arpabet", "ya 🙂ya", indices=True)[:3] if len(service.convert(r, "und-ascii", "eng-arpabet", "ya 🙂ya")) > 2 else (None, None, None)
+    assert [c["out_lang"] for c in word["conversions"]] == ["eng-arpabet", "eng-ipa", "und-ipa"] and word["conversions"][0]["substring_alignments"] == [("j", "Y "), ("ɑ", "AA ")]
+    assert gap["conversions"] == [{"in_lang": None, "out_lang": None, "input_nodes": [" ", "🙂"], "output_nodes": [" ", "🙂"], "alignments": [(0, 0), (1, 1)], "substring_alignments": [(" ", " "), ("🙂", "🙂")]}]
+    one = service.convert(r, "und-ascii", "eng-arpabet", "ya", compose_from="und-ipa", tokenize=False)[0]["conversions"]
+    assert [(c["in_lang"], c["out_lang"], c["substring_alignments"]) for c in one] == [("und-ipa", "eng-arpabet", [("j", "Y "), ("a", "AA ")]), ("und-ascii", "und-ipa", [("y", "j"), ("a", "a")])]
 
 
 def test_empty_rule_lists_are_warned_of():
