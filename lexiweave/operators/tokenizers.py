@@ -60,6 +60,9 @@ def split_gaps(tokens: list[Token]) -> list[Token]:
 class Tokenizer:
     """Words are letters, numbers, marks and private characters in a row."""
 
+    case_sensitive = True
+    _runs = None
+
     def __init__(self, lang: str = "", dot_is_letter: bool = False):
         self.lang, self.dot_is_letter = lang, dot_is_letter
 
@@ -69,7 +72,18 @@ class Tokenizer:
     def is_word_character(self, unit: str) -> bool:
         return bool(unit) and all(T.category(c) in ("letter", "number", "diacritic") for c in unit)
 
+    def _pattern(self) -> str:
+        return f"([{WORD_CLASS}]+)|[^{WORD_CLASS}]+"
+
     def tokenize_text(self, text: str) -> list[Token]:
+        if self.dot_is_letter or type(self) not in (Tokenizer, InventoryTokenizer):
+            return self.by_units(text)
+        if self._runs is None:
+            self._runs = regex.compile(self._pattern(), regex.DOTALL | (0 if self.case_sensitive else regex.IGNORECASE))
+        return [Token(m[0], m[1] is not None) for m in self._runs.finditer(text)]
+
+    def by_units(self, text: str) -> list[Token]:
+        """One unit after another; runs of a kind are one token. For all but dots that are letters this is what runs give."""
         found = self.units(text)
         kinds = [self.is_word_character(u) for u in found]
         if self.dot_is_letter:
@@ -94,6 +108,10 @@ class InventoryTokenizer(Tokenizer):
         self.pieces = plain
         self._cut = regex.compile("|".join([*map(regex.escape, plain), "."]), regex.DOTALL | (0 if self.case_sensitive else regex.IGNORECASE))
 
+    def _pattern(self) -> str:
+        begins = "|".join([*map(regex.escape, self.pieces), f"[{WORD_CLASS}]"])
+        return f"((?:{begins})++)|(?:(?!{begins}).)++"
+
     def units(self, text: str) -> list[str]:
         return self._cut.findall(text)
 
@@ -107,6 +125,7 @@ class LexiconTokenizer(Tokenizer):
     def __init__(self, mapping: Mapping):
         super().__init__(mapping.language_name)
         self.words = frozenset(w.lower() for w, _ in mapping.alignments or ())
+        self._plain = Tokenizer()
 
     def tokenize_text(self, text: str) -> list[Token]:
         out: list[Token] = []
@@ -114,7 +133,7 @@ class LexiconTokenizer(Tokenizer):
             if k % 2:
                 out.append(Token(block, False))
                 continue
-            rest = split_gaps(super().tokenize_text(block))
+            rest = split_gaps(self._plain.tokenize_text(block))
             while rest:
                 for n in range(len(rest), 0, -1):
                     whole = "".join(t.text for t in rest[:n])
@@ -137,10 +156,22 @@ def default_tokens(text: Column) -> Column:
     return F.transform(found, lambda t: F.struct(t.alias("text"), t.rlike(f"^[{WORD_CLASS}]").alias("is_word")))
 
 
+def inventory_tokens(text: Column, tokenizer: InventoryTokenizer) -> Column:
+    """An inventory's tokenizer as an expression. A word is a run of its pieces and of word characters, a gap a run of what begins
+    neither; the runs are possessive, so that Java neither backtracks nor recurses on long ones."""
+    pieces = "|".join(r"\Q" + p.replace(r"\E", r"\E\\E\Q") + r"\E" for p in tokenizer.pieces)
+    flags = "" if tokenizer.case_sensitive else "(?iu)"
+    begins = f"{pieces}|[{WORD_CLASS}]" if pieces else f"[{WORD_CLASS}]"
+    found = F.regexp_extract_all(text, F.lit(f"{flags}(?s)(?:{begins})++|(?:(?!{begins}).)++"), F.lit(0))
+    return F.transform(found, lambda t: F.struct(t.alias("text"), t.rlike(f"{flags}^(?:{begins})").alias("is_word")))
+
+
 def tokens(df: DataFrame, column: str, tokenizer: Tokenizer | None = None, into: str = "tokens") -> DataFrame:
-    """Adds the tokens of a text column; null texts have null. The default stays in expressions, others run on Arrow batches."""
+    """Adds the tokens of a text column; null texts have null. Lexicons and dots that are letters run on Arrow batches, else expressions."""
     if tokenizer is None or type(tokenizer) is Tokenizer and not tokenizer.dot_is_letter:
         return df.withColumn(into, default_tokens(F.col(column)))
+    if type(tokenizer) is InventoryTokenizer and not tokenizer.dot_is_letter:
+        return df.withColumn(into, inventory_tokens(F.col(column), tokenizer))
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf(TOKENS)

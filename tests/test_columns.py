@@ -92,6 +92,21 @@ def test_files_in_spark(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "db/mappings")).count() == 4 and spark.read.parquet(str(tmp_path / "db/edges")).count() == 4
 
 
+@pytest.mark.parametrize("inventory, case_sensitive", [(["'", "'s", "ts"], True), (["TS", "-a", "\\\\Q", "é|.."], False), (["x"], True)])
+def test_tokens_as_expressions(spark, inventory, case_sensitive):
+    from lexiweave.operators.tokenizers import InventoryTokenizer, LexiconTokenizer, Tokenizer, tokens
+    from lexiweave.operators.lexicon import parse_alignment
+
+    texts = ["ts'nj! - 's", "", None, "a-a -A tS..é .É", "\\Q \\E x\ny", "a" * 20000 + "-" * 20000, "日本 ½½ \U0001f642\U0001f642a"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    for tok in (InventoryTokenizer([Mapping([{"in": i, "out": "x"} for i in inventory], case_sensitive=case_sensitive)]), Tokenizer(), Tokenizer(dot_is_letter=True), LexiconTokenizer(Mapping(type="lexicon", alignments=[parse_alignment("a-a}x")]))):
+        got = {r.k: r.tokens for r in tokens(df, "text", tok).collect()}
+        for k, t in enumerate(texts):
+            assert (got[k] is None) == (t is None)
+            if t is not None:
+                assert [(x.text, x.is_word) for x in got[k]] == [(x.text, x.is_word) for x in tok.tokenize_text(t)]
+
+
 def test_pronouncing_dictionary(spark, tmp_path):
     from lexiweave.sources.cmudict import read_dictionary
 
