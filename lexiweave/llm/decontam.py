@@ -21,15 +21,15 @@ from .common import stored
 BROADCAST_ROWS = 300_000
 #: Terms to intersect for a phrase, and how many words of text there must be for each occurrence of a term that is not its rarest.
 TERMS, SIFT = 3, 2_000
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII letters and digits and all that is not ASCII make words; the rest of ASCII, and A-Z, is translated.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def words(text: Column) -> Column:
-    """Words of a whole text with A-Z in lower case; null has none."""
-    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    # lower() is quick and equal for ASCII; other letters keep their case
-    return F.coalesce(F.transform(found, lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))), F.array().cast("array<string>"))
+    """Words of a whole text with A-Z in lower case; null has none. A translation and a split at spaces: no regular expression."""
+    plain = F.translate(text, UPPER + BETWEEN, LOWER + " " * len(BETWEEN))
+    return F.coalesce(F.filter(F.split(plain, " "), lambda w: w != ""), F.array().cast("array<string>"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = 13) -> D
     hit = matches(rows, items, size)
     by_doc = hit.groupBy("_d", "_t").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"))
     named = hit.select("_d", "_t", "item").distinct().join(_small(stored(ids, "ids")), "item").groupBy("_d", "_t").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
-    out = rows.select("doc_id", "_d", "_t", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    out = rows.select("doc_id", "_d", "_t", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = out.join(by_doc.join(named, ["_d", "_t"], "left"), ["_d", "_t"], "left")
     ids_ = F.coalesce("ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0))
