@@ -26,10 +26,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """df, written to the shared folder and reread: cuts the lineage, and lost executors lose nothing of it."""
+def stored(df: DataFrame, name: str = "step", *, compact: bool = False) -> DataFrame:
+    """df, written to the shared folder and reread: cuts the lineage, and lost executors lose nothing of it.
+
+    compact: with a stronger compression, for what holds texts or many rows.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd" if compact else "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,9 +55,13 @@ def partitions(df: DataFrame) -> int:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of plans that are no longer in use."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's references go first, and Spark deletes in a thread of its own
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def running_total(df: DataFrame, order: list[str], value: str, into: str, n: int) -> DataFrame:

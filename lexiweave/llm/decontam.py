@@ -29,7 +29,7 @@ BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 def words(text: Column) -> Column:
     """Words of a whole text with A-Z in lower case; null has none. A translation and a split at spaces: no regular expression."""
     plain = F.translate(text, UPPER + BETWEEN, LOWER + " " * len(BETWEEN))
-    return F.coalesce(F.filter(F.split(plain, " "), lambda w: w != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(plain, " "), ""), F.array().cast("array<string>"))
 
 
 def _small(df: DataFrame) -> DataFrame:
