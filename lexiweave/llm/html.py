@@ -31,6 +31,8 @@ BOILERPLATE = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|comments?|commentlist|disqus|replies|reply|respond|cookies?|consent|notice|alert|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommended|pagination|pager|toolbar|tags|copyright|legal|disclaimer|gdpr|paywall|search)(?:$|[-_ ])"
 )
 ARTICLE = re.compile(r"(?:^|[-_ ])(?:article|content|post|entry|story|main|body|text|maincontent|articlebody)(?:$|[-_ ])")
+#: Names such as has-sidebar tell of a neighbour.
+_BESIDE = re.compile(r"(?:^|[-_ ])(?:with|has|no|without)[-_][a-z0-9]+")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z))", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
@@ -65,6 +67,7 @@ class Node:
         else:
             self.step, role = tag, ""
         own = tag in ("article", "main", "body", "html")
+        names = _BESIDE.sub(" ", names)
         self.dropped = bool(tag in DROPPED or hidden or not own and (role in ROLES or names and BOILERPLATE.search(names)))
         self.favoured = bool(tag in ("article", "main") or role in ("main", "article") or names and ARTICLE.search(names))
 

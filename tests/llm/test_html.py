@@ -27,6 +27,11 @@ def test_odd_input():
     assert html.extract('<p title="a > b">x</p><p title="open>y</p><p>z</p>') == "x\n\ny\n\nz"
 
 
+def test_names_of_neighbours():
+    assert html.extract("<div class='content-with-sidebar'><p>The text of it</div><div class=sidebar><p>no</div>") == "The text of it"
+    assert html.extract("<div class='has-sidebar'><p>The text of it<div class='footer-content'>no</div></div>") == "The text of it"
+
+
 def test_host_agrees(spark):
     rng = np.random.default_rng(1)
     word = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma"], n))
