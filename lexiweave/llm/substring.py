@@ -6,7 +6,7 @@ at a multiple of that length in the earlier document. So:
 1. index: the non-overlapping blocks of every document, by a rolling hash over word hashes;
 2. probe: every rolling window of a block's length of every document, against the index;
 3. extend: around each hit, in the document that probed as in the one indexed, the windows of `window` words that hold it are
-   compared by 128-bit digests of their words; neighbouring equal windows make up the maximal repeats;
+   compared by 96-bit digests of their words; neighbouring equal windows make up the maximal repeats;
 4. remove: words of windows that also start in a document with a smaller doc_id, judged on the input.
 
 Probes travel packed: a task collects the hashes of many documents, sorts them by part of the hash space and sends one
@@ -137,6 +137,12 @@ def _reduced(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> list[n
 
 def _merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     """What _reduced gives over parts that it has given."""
+    if len(parts[0]) == 3:
+        h, low, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.lexsort((low, h))
+        h, low, place = h[order], low[order], place[order]
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        return [h[at], low[at], place[at]]
     h, low, high, place, many = (np.concatenate([p[k] for p in parts]) for k in range(5))
     order = np.lexsort((low, h))
     h, low, high, place, many = h[order], low[order], high[order], place[order], many[order]
@@ -163,6 +169,8 @@ def _send(index: list[np.ndarray], probes: tuple[np.ndarray, np.ndarray, np.ndar
         return order, np.searchsorted(part[order], np.arange(parts + 1))
 
     red = _reduced(*index)
+    if probes[3] is not None:  # of digests only the least document counts
+        red = [red[0], red[1], red[3]]
     order, ends = by_part(red[0])
     red = [a[order] for a in red]
     for k in range(parts):
@@ -217,16 +225,61 @@ def _blocks(docs: DataFrame, size: int, parts: int) -> DataFrame:
     return docs.mapInArrow(run, BLOBS)
 
 
-HITS = "doc_id long, places binary"
+HITS = "bucket int, blob binary"
 
 
-def _hit_rows(docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+def _bucket(doc: int, parts: int) -> int:
+    """Where Spark's pmod(xxhash64(doc_id), parts) puts a document."""
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(doc.to_bytes(8, "little", signed=True), 42)
+    return (h - (1 << 64) if h >> 63 else h) % parts
+
+
+def _hit_rows(docs: np.ndarray, places: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Places by document, packed by bucket of documents."""
     order = np.argsort(docs, kind="stable")
-    docs, places = docs[order], places[order]
+    docs, places = docs[order], np.asarray(places)[order].astype(np.uint32)
     who, times = _runs(docs)
+    buckets = np.asarray([_bucket(d, parts) for d in who.tolist()], np.int64)
     ends = np.cumsum(times.astype(np.int64))
-    blobs = [np.asarray(places[e - t : e], "<u4").tobytes() for e, t in zip(ends.tolist(), times.tolist())]
-    return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "places"])
+    by = np.argsort(buckets, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], buckets[by][1:] != buckets[by][:-1]])).tolist()
+    rows = []
+    for c, d in zip(cuts, [*cuts[1:], len(by)]):
+        own = by[c:d]
+        rows.append((int(buckets[own[0]]), _pack(who[own], times[own], np.concatenate([places[e - t : e] for e, t in zip(ends[own].tolist(), times[own].tolist())]))))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+
+
+MEET = "bucket int, kind int, doc_id long, row long, text string, blob binary"
+
+
+def _meet(docs: DataFrame, hits: DataFrame, parts: int) -> DataFrame:
+    """Documents and hits dealt by bucket, a bucket's hits before its documents."""
+    where = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("row"), F.lit(parts))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(parts))).cast("int")
+    both = docs.select(where.alias("bucket"), F.lit(1).alias("kind"), "doc_id", "row", "text", F.lit(None).cast("binary").alias("blob")).union(
+        hits.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("string").alias("text"), "blob")
+    )
+    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+
+
+def _met(batches) -> Iterator[list[tuple]]:
+    """Lists of (doc_id, row, text, places or None), one for each batch."""
+    bucket, places = None, {}
+    for batch in batches:
+        out = []
+        for b, kind, doc, row, text, blob in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            if b != bucket:
+                bucket, places = b, {}
+            if kind == 0:
+                who, times, at = _unpack(blob)
+                ends = np.cumsum(times.astype(np.int64)).tolist()
+                for d, e, t in zip(who.tolist(), ends, times.tolist()):
+                    places.setdefault(d, []).append(at[e - t : e])
+                continue
+            out.append((doc, row, text, np.concatenate(places[doc]) if doc in places else None))
+        yield out
 
 
 def _groups(batches, narrow: bool):
@@ -269,7 +322,7 @@ def _anchors(blobs: DataFrame, parts: int) -> DataFrame:
             h, least, largest, place, many, met = index
             if probe is None:
                 if met.any():
-                    yield _hit_rows(least[met], place[met])
+                    yield _hit_rows(least[met], place[met], parts)
                 continue
             low, docs, places, _ = probe
             # entries that agree in the hash's lower half follow on one another; digests decide later which are the same
@@ -285,7 +338,7 @@ def _anchors(blobs: DataFrame, parts: int) -> DataFrame:
                 met[e[other]] = True
                 at[here] += 1
             if hit.any():
-                yield _hit_rows(docs[hit], places[hit])
+                yield _hit_rows(docs[hit], places[hit], parts)
 
     return blobs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, HITS)
 
@@ -305,7 +358,6 @@ _JOINED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa
 
 def _candidates(docs: DataFrame, hits: DataFrame, size: int, window: int, parts: int) -> DataFrame:
     """A row for each document, settled where it has no hit, else with its text; and rows with packed digests of its windows."""
-    places = hits.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
 
     def run(batches):
         from xxhash import xxh3_128_digest
@@ -316,17 +368,18 @@ def _candidates(docs: DataFrame, hits: DataFrame, size: int, window: int, parts:
             nonlocal windows
             if held:
                 h, who, starts = (np.concatenate([x[k] for x in held]) for k in range(3))
-                for rb in _send([h[:, 0].copy(), who, h[:, 1].copy().view(np.int64)], (h[:, 0].copy(), who, starts, h[:, 1].copy()), parts):
+                rest = h[:, 1].astype(np.uint32)
+                for rb in _send([h[:, 0].copy(), who, rest], (h[:, 0].copy(), who, starts, rest), parts):
                     none = [pa.nulls(rb.num_rows, f.type) for f in list(_JOINED)[:5]]
                     yield pa.RecordBatch.from_arrays([*none, *rb.columns], schema=_JOINED)
             held.clear()
             windows = 0
 
-        for batch in batches:
+        for rows in _met(batches):
             out = []
-            for doc, row, text, found in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for doc, row, text, found in rows:
                 words = (text or "").encode().split()
-                starts = _starts(np.concatenate([np.frombuffer(x, "<u4") for x in found]), size, window, len(words)) if found else ()
+                starts = () if found is None else _starts(found, size, window, len(words))
                 if not len(starts):
                     out.append((doc, row, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None))
                     continue
@@ -343,7 +396,7 @@ def _candidates(docs: DataFrame, hits: DataFrame, size: int, window: int, parts:
             yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(out), f.type) for f in list(_JOINED)[5:])], schema=_JOINED)
         yield from flush()
 
-    return docs.join(places, "doc_id", "left").select("doc_id", "row", "text", "places").mapInArrow(run, JOINED)
+    return _meet(docs, hits, parts).mapInArrow(run, JOINED)
 
 
 def _repeats(blobs: DataFrame, parts: int) -> DataFrame:
@@ -353,12 +406,12 @@ def _repeats(blobs: DataFrame, parts: int) -> DataFrame:
         for index, probe in _groups(batches, False):
             if probe is None:
                 continue
-            h, least, _, rest, _ = index
+            h, least, rest = index
             key, docs, places, other = probe
             at = np.minimum(np.searchsorted(h, key), len(h) - 1)
-            hit = (h[at] == key) & (rest[at].view(np.uint64) == other) & (least[at] < docs)
+            hit = (h[at] == key) & (rest[at] == other) & (least[at] < docs)
             if hit.any():
-                yield _hit_rows(docs[hit], places[hit])
+                yield _hit_rows(docs[hit], places[hit], parts)
 
     return blobs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, HITS)
 
@@ -376,20 +429,22 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, texts: bool = False) ->
     small_batches(spark, 500)
     parts = partitions(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    hits = stored(_anchors(_blocks(rows.select("doc_id", "text"), size, parts), parts), "hits")
+    hits = stored(_anchors(_blocks(rows.select("doc_id", "text"), size, parts), parts), "hits", compact=True)
     release(spark)
-    seen = stored(_candidates(rows, hits, size, window, parts), "candidates")
+    seen = stored(_candidates(rows, hits, size, window, parts), "candidates", compact=True)
     release(spark)
     blobs = seen.where("part is not null").select("part", "kind", "blob")
-    starts = stored(_repeats(blobs, parts), "repeats").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    starts = stored(_repeats(blobs, parts), "repeats", compact=True)
+    release(spark)
 
     def cut(batches):
-        for batch in batches:
+        for rows in _met(batches):
             out = []
-            for doc, row, text, found in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for doc, row, text, found in rows:
                 words = text.encode().split()
                 gone = np.zeros(len(words) + 1, np.int64)
-                for at in (np.frombuffer(x, "<u4").astype(np.int64) for x in found or ()):
+                if found is not None:
+                    at = found.astype(np.int64)
                     at = at[at + window <= len(words)]
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + window, -1)
@@ -400,7 +455,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, texts: bool = False) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "row", "n_words", "n_removed", "kept_sha256", "kept"])
 
     settled = seen.where("kept_sha256 is not null").select("doc_id", "row", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
-    open_ = seen.where("text is not null").select("doc_id", "row", "text").join(starts, "doc_id", "left").select("doc_id", "row", "text", "places").mapInArrow(cut, REMOVED)
+    open_ = _meet(seen.where("text is not null").select("doc_id", "row", "text"), starts, parts).mapInArrow(cut, REMOVED)
     out = settled.unionByName(open_)
     return out if texts else out.drop("row", "kept")
 
