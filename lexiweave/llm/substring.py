@@ -252,6 +252,23 @@ def _hit_rows(docs: np.ndarray, places: np.ndarray, parts: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
 
+#: Hits that a task holds before it sends them.
+HOLD_HITS = 2_000_000
+
+
+def _sent(hits: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Hits of a task put together, so that a bucket gets one row of many rather than one from each array of probes."""
+    held, n = [], 0
+    for docs, places in hits:
+        held.append((docs.astype(np.int64), np.asarray(places).astype(np.uint32)))
+        n += len(docs)
+        if n >= HOLD_HITS:
+            yield _hit_rows(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), parts)
+            held, n = [], 0
+    if held:
+        yield _hit_rows(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), parts)
+
+
 MEET = "bucket int, kind int, doc_id long, row long, text string, blob binary"
 
 
@@ -322,7 +339,7 @@ def _anchors(blobs: DataFrame, parts: int) -> DataFrame:
             h, least, largest, place, many, met = index
             if probe is None:
                 if met.any():
-                    yield _hit_rows(least[met], place[met], parts)
+                    yield least[met], place[met]
                 continue
             low, docs, places, _ = probe
             # entries that agree in the hash's lower half follow on one another; digests decide later which are the same
@@ -338,9 +355,9 @@ def _anchors(blobs: DataFrame, parts: int) -> DataFrame:
                 met[e[other]] = True
                 at[here] += 1
             if hit.any():
-                yield _hit_rows(docs[hit], places[hit], parts)
+                yield docs[hit], places[hit]
 
-    return blobs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, HITS)
+    return blobs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda batches: _sent(run(batches), parts), HITS)
 
 
 def _starts(places: np.ndarray, size: int, window: int, n_words: int) -> np.ndarray:
@@ -411,9 +428,9 @@ def _repeats(blobs: DataFrame, parts: int) -> DataFrame:
             at = np.minimum(np.searchsorted(h, key), len(h) - 1)
             hit = (h[at] == key) & (rest[at] == other) & (least[at] < docs)
             if hit.any():
-                yield _hit_rows(docs[hit], places[hit], parts)
+                yield docs[hit], places[hit]
 
-    return blobs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, HITS)
+    return blobs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda batches: _sent(run(batches), parts), HITS)
 
 
 REMOVED = "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, kept string"
