@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, partitions, running_total, small_batches
@@ -122,18 +122,10 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
 
     n = partitions(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(emit, FILES)
-    dealt = rows.withColumn("_key", F.when(F.col("kind") == "chunk", F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "row"))).repartition(n, "_key").sortWithinPartitions("kind", "digest")
-
-    def once(batches):
-        last = None
-        for batch in batches:
-            keep = []
-            for d in batch.column(1).to_pylist():
-                keep.append(d is None or d != last)
-                last = d
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    dealt.drop("_key").mapInArrow(once, FILES).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/data")
+    dealt = rows.withColumn("_key", F.when(F.col("kind") == "chunk", F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "row"))).repartition(n, "_key")
+    before = F.lag("digest").over(Window.partitionBy("_key").orderBy("kind", "digest"))
+    once = dealt.withColumn("_before", before).where("digest is null or _before is null or digest <> _before").drop("_key", "_before")
+    once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/data")
     recipes = _kind(spark, path, "recipe").select("doc_id", "row", "n_ids", "root")
     ordered = running_total(recipes, ["doc_id", "row"], "n_ids", "start", n)
     ordered.write.parquet(f"{path}/order")
@@ -194,12 +186,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def sums(batches):
         for batch in batches:
-            n, crc, ok = batch.column(1).to_pylist(), [], []
-            for name, k, data in zip(batch.column(0).to_pylist(), n, batch.column(2).to_pylist()):
-                ids = np.frombuffer(data, dtype="<u2" if len(data) == 2 * k else "<u4")
-                if digest_of(data) != name or len(ids) != k:
+            data = batch.column(2).cast(pa.binary())
+            at = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+            raw, n = memoryview(data.buffers()[2] or b""), batch.column(1).to_numpy(zero_copy_only=False)
+            width = 2 if np.array_equal(np.diff(at), 2 * n) else 4
+            if not np.array_equal(np.diff(at), width * n):
+                raise ValueError("a chunk does not match its digest: it has another length")
+            if len(data):
+                ids = memoryview(np.frombuffer(raw[at[0] : at[-1]], dtype=f"<u{width}").astype("<u4")).cast("B")
+            crc, first, scale = [], int(at[0]) if len(at) else 0, 4 // width
+            for name, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                if digest_of(raw[a:b]) != name:
                     raise ValueError(f"chunk {name.hex()} does not match its digest")
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                crc.append(zlib.crc32(ids[(a - first) * scale : (b - first) * scale]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["digest", "k", "crc"])
 
     def spread(batches):
@@ -219,8 +218,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     chunks = _kind(spark, path, "chunk").select("digest", "n_ids", "ids").mapInArrow(sums, "digest binary, k long, crc long")
     small_batches(spark)
     uses = _kind(spark, path, "recipe").select("doc_id", "row", "n_ids", "digests", "root").mapInArrow(spread, "doc_id long, row long, total long, nth int, digest binary")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     placed = uses.join(chunks, "digest", "left").withColumn("after", F.col("total") - F.sum("k").over(w)).select("row", "total", "crc", "after", "k")
     crcs = placed.mapInArrow(shares, "row long, total long, share long, k long").groupBy("row").agg(
