@@ -25,7 +25,7 @@ from .common import new_path, partitions, running_total, small_batches
 from .tokens import default_tokenizer, packed
 
 #: Parameters of the format: ids under the rolling hash, mean, least and most ids of a chunk.
-WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 1024
+WINDOW, MEAN, LEAST, MOST = 16, 512, 128, 2048
 FILES = "kind string, digest binary, n_ids long, ids binary, doc_id long, row long, digests array<binary>, root binary"
 POLY = 0xEDB88320
 
