@@ -15,7 +15,7 @@ import unicodedata
 import numpy as np
 
 #: Cached pieces of a worker; beyond that the cache starts again.
-CACHE_SIZE = 700_000
+CACHE_SIZE = 850_000
 
 
 def default_tokenizer() -> str:
@@ -49,17 +49,29 @@ class PackedTokenizer:
         self.special = [t["content"] for t in kind.get("added_tokens", ())]
         letters, numbers = (_class(lambda c, k=k: unicodedata.category(c)[0] == k) for k in "LN")
         spaces = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+").findall
+        # what is most frequent comes first; no piece of letters or numbers begins with an apostrophe
+        self.cut = re.compile(f" ?[{letters}]+| ?[{numbers}]+|'(?:[stmd]|re|ve|ll)| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+").findall
         self.beyond = re.compile("[\U00010000-\U0010ffff]").search
         #: the byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from U+0100 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.bytes = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+        nul = chr(self.bytes[0])
+        self.between = self.library.token_to_id(nul) if sum(nul in t for t in self.library.get_vocab()) == 1 else None
         self.cache: dict[str, bytes] = {}
         self.vocabulary = self.library.get_vocab_size()
 
     def _learn(self, words: set[str]) -> None:
+        """Ids of pieces not seen yet. Runs of letters or numbers go to the library many at a time, apart by a NUL, which its
+        pre-tokenizer cuts off from them and no token but its own holds; others go to its model one by one."""
+        together = [w for w in words if self.between is not None and w[0] != "'" and (w[-1].isalpha() or w[-1].isnumeric())]
+        groups = [together[i : i + 200] for i in range(0, len(together), 200)]
+        # one group at a time, as the library's results take much more memory than ids
+        for group in groups:
+            ids = np.asarray(self.library.encode_batch_fast(["\0".join(group)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at, raw = np.flatnonzero(ids == self.between), ids.tobytes()
+            self.cache.update((w, raw[i:j]) for w, i, j in zip(group, [0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), len(raw)]))
         tokenize, table, pack = self.library.model.tokenize, self.bytes, struct.pack
-        for word in words:
+        for word in words.difference(together):
             ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(table))]
             self.cache[word] = pack(f"<{len(ids)}I", *ids)
 
@@ -84,8 +96,12 @@ class PackedTokenizer:
                 continue
             pieces = self.cut(text) if text else []
             ids = list(map(known, pieces))
-            if None in ids:
-                at = [i for i, x in enumerate(ids) if x is None]
+            n = ids.count(None)
+            if n:
+                at, i = [], -1
+                for _ in range(n):
+                    i = ids.index(None, i + 1)
+                    at.append(i)
                 missing = [pieces[i] for i in at]
                 new.update(missing)
                 later.append((k, ids, at, missing))

@@ -112,3 +112,13 @@ def test_plan_is_as_good_as_sequential_best_fit():
                 used.update((first + k, offset + x) for x in range(length))
         assert len(used) == sum(lengths)
         assert len({s for s, _ in used}) == sequential_best_fit(lengths, capacity)
+
+
+def test_many_new_pieces_at_once(library):
+    import random
+
+    rng = random.Random(5)
+    tok = tokens.PackedTokenizer(tokens.default_tokenizer())
+    for _ in range(3):
+        texts = ["".join(rng.choices("aBéß日½7'  \n\t.!-s\0́", k=rng.randrange(60))) for _ in range(1500)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)] == [ids_of(library, t) for t in texts]
