@@ -42,6 +42,8 @@ def rewrite(mapping: Mapping, text: str) -> str:
     text = T.normalize(text, mapping.norm_form) if mapping.norm_form != "none" else T.unicode_escape(text)
     hidden = False
     for rule in mapping.compiled:
+        if rule.need and rule.need not in text:
+            continue
         out = rule.written + mapping.out_delimiter
         hidden |= rule.hidden
         text = rule.match.sub(lambda m, out=out: out if m.end() > m.start() else "", text)

@@ -181,6 +181,9 @@ class Compiled:
     flags: int
 
     def __post_init__(self):
+        plain = strip_indices(self.rule.rule_input)
+        #: what a text must hold for the rule to match, where that is plain to see
+        self.need = plain if regex.escape(plain) == plain and not self.flags & regex.IGNORECASE else ""
         try:
             self.match = regex.compile(self.pattern, self.flags)
         except regex.error as e:
