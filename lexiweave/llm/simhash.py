@@ -33,20 +33,23 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 GENERATOR = 0xAE3
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """Of a whole text: lower-case A-Z, words between ASCII white space, shingles with repeats; XXH64 with seed 42."""
     from xxhash import xxh64_intdigest
 
     parts = (text or "").encode().lower().split()
-    if not parts:
-        return 0
     if len(parts) <= words:
-        return xxh64_intdigest(b" ".join(parts), 42)
+        return np.asarray([xxh64_intdigest(b" ".join(parts), 42)] if parts else [], np.uint64)
     joined = b" ".join(parts)
     ends = (np.cumsum([len(p) + 1 for p in parts]) - 1).tolist()
     starts = [0, *[e + 1 for e in ends[: -words]]]
-    h = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :])), np.uint64, len(starts))
-    return _majority(h)
+    return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :])), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The bits that more than half of a text's shingle hashes have."""
+    h = shingle_hashes(text, words)
+    return _majority(h) if len(h) else 0
 
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
