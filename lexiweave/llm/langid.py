@@ -1,8 +1,8 @@
 """Language identification in two steps: the family first, then one-versus-one linear support vector machines within it.
 
 Features are counts of character n-grams (bytes of the lower-cased UTF-8, lengths 1 to 4), hashed into DIM places and taken as
-square roots of their shares, over the whole text. Models are fitted on at most `per_language` labelled rows of each language,
-those with the smallest hash of their text; everything else is computed over all rows. Families are those of the languages where
+square roots of their shares, over the whole text. Models are fitted on at most `per_language` distinct labelled texts of each
+language, those with the smallest hash (all of them where there are fewer); everything else is computed over all rows. Families are those of the languages where
 known; a language of no known family makes one of its own, and within a family each pair of languages has a machine. Rows
 whose text is null or has no letter are `und` with score 0, as are all rows where nothing could be learned.
 """
@@ -132,17 +132,21 @@ def held_out(docs: DataFrame):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Classifier | None:
-    """Fits on text and lang of the rows given, of which only a bounded number is gathered: as vectors of whole texts."""
+def sample(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> list:
+    """Rows (lang, h, v) to fit on, in order: of each language the vectors of the `per_language` distinct texts of the smallest hashes."""
     small_batches(docs.sparkSession)
     labelled = docs.where("lang is not null and lang <> '' and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    kinds = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang", "n")
-    kinds = {r["lang"]: r["n"] for r in kinds.collect()}
+    # Copies count once from here on: the bound below is for distinct texts.
+    labelled = labelled.withColumn("letters", F.col("text").rlike("\\p{L}"))
+    hashes = stored(labelled.groupBy("lang", "h").agg(F.count("*").alias("n"), F.max("letters").alias("letters")), "hashes")
+    counts = hashes.groupBy("lang").agg(F.sum("n").alias("n"), F.count_if("letters").alias("texts")).where("texts > 0")
+    kinds = {r["lang"]: r["texts"] for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not kinds:
-        return None
+        return []
     # Hashes spread evenly, so the smallest few lie below a bound that the count gives; the exact number is cut afterwards.
     share = F.create_map(*[x for k, n in kinds.items() for x in (F.lit(k), F.lit(float(-(2**63)) + min(1.0, 2 * (per_language + 50) / n) * 2.0**64))])
-    low = stored(labelled.where(F.col("lang").isin(list(kinds)) & (F.col("h").cast("double") <= share[F.col("lang")])), "labelled")
+    low = labelled.where(F.col("lang").isin(list(kinds)) & (F.col("h").cast("double") <= share[F.col("lang")])).drop("letters")
+    low = stored(low.dropDuplicates(["lang", "h"]), "labelled")
 
     def vectors(batches):
         for batch in batches:
@@ -151,9 +155,14 @@ def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int =
 
     from pyspark.sql import Window
 
-    few = low.dropDuplicates(["lang", "h"]).mapInArrow(vectors, "lang string, h long, v binary")
+    few = low.mapInArrow(vectors, "lang string, h long, v binary")
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language).select("lang", "h", "v").collect()
-    few = sorted(few, key=lambda r: (r["lang"], r["h"]))
+    return sorted(few, key=lambda r: (r["lang"], r["h"]))
+
+
+def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Classifier | None:
+    """Fits on text and lang of the rows given, of which only a bounded number is gathered: as vectors of whole texts."""
+    few = sample(docs, per_language=per_language, languages=languages)
     if not few:
         return None
     return Classifier.fit(np.array([np.frombuffer(r["v"], "<f2") for r in few]).astype(np.float32), [r["lang"] for r in few])

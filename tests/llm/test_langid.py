@@ -47,3 +47,13 @@ def test_edges(spark):
 def test_sample_is_bounded_and_even(spark):
     rows = documents(300)
     assert [r.lang_pred for r in langid.identify(frame(spark, rows), per_language=5).collect()] and langid.train(frame(spark, rows), per_language=3) is not None
+
+
+def test_copies_do_not_shrink_the_sample(spark):
+    others = [(i, t, k) for i, (t, k) in enumerate([(f"{t} a{i}", k) for i, t, k in documents(60) if k in ("en", "fr")])]
+    rows = others + [(1000 + i, "le et être déjà où ça sont toujours la même chose", "fr") for i in range(8000)]
+    model = langid.train(frame(spark, rows), per_language=20)
+    assert sorted({k for own in model.members.values() for k in own}) == ["en", "fr"]
+    few = langid.sample(frame(spark, rows), per_language=20)
+    want = min(20, len({t for _, t, k in rows if k == "fr"}))
+    assert sum(r.lang == "fr" for r in few) == want
