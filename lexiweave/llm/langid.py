@@ -19,6 +19,10 @@ from .common import small_batches, stored
 DIM = 1 << 13
 #: Labelled rows of a language, and languages (the most frequent ones), that are gathered to fit.
 PER_LANGUAGE, LANGUAGES = 400, 200
+#: Texts of a language that its gate learns from, the fewest that make one, and the share of clean pieces that are to pass.
+GATE_TEXTS, GATE_LEAST, KEPT = 120, 10, 0.995
+#: Texts of fewer letters are not judged: a word alone cannot be told from junk.
+LETTERS = 10
 #: Language codes by family.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -79,6 +83,7 @@ class Classifier:
 
     def __init__(self, families: list[str], first: np.ndarray, members: dict[str, list[str]], pairs: dict[str, np.ndarray]):
         self.families, self.first, self.members, self.pairs = families, first, members, pairs
+        self.gates: dict[str, tuple[np.ndarray, float]] = {}
 
     @classmethod
     def fit(cls, x: np.ndarray, labels: list[str]) -> Classifier | None:
@@ -128,12 +133,58 @@ class Classifier:
         return out, np.clip(score, 0.0, 1.0)
 
 
+    def readable(self, x: np.ndarray, names: list[str]) -> np.ndarray:
+        """Whether the margin of each text against junk, by the gate of its language, reaches that gate's bound."""
+        x1 = np.hstack([folded(x), np.ones((len(x), 1), x.dtype)])
+        gates = [self.gates.get(k) for k in names]
+        return np.array([g is None or float(row @ g[0]) >= g[1] for row, g in zip(x1, gates)], bool)
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """Vectors in a quarter of the places, which is enough for gates."""
+    return x.reshape(*x.shape[:-1], 4, DIM // 4).sum(axis=-2)
+
+
+def junk(text: str, rng: np.random.Generator) -> str:
+    """A text of the same shape without language: each letter is one of a to z instead, or the letters change places."""
+    letters = [i for i, c in enumerate(text) if c.isalpha()]
+    out = list(text)
+    if rng.integers(2):
+        for i, c in zip(letters, rng.integers(97, 123, len(letters)).tolist()):
+            out[i] = chr(c)
+    else:
+        for i, j in zip(letters, rng.permutation(letters).tolist()):
+            out[i] = text[j]
+    return "".join(out)
+
+
+def cases(text: str, seed: int) -> list[tuple[bool, np.ndarray]]:
+    """What a gate learns from a labelled text: pieces of one to twelve words and a longer one, each with two of junk in its shape."""
+    rng, words, out = np.random.default_rng(seed & (1 << 63) - 1), text.split(), []
+    for most in (3, 12, 200):
+        n = int(rng.integers(1, most + 1))
+        at = int(rng.integers(0, max(1, len(words) - n + 1)))
+        piece = " ".join(words[at : at + n])
+        if has_letter(piece):
+            out += [(True, folded(features(piece))), *((False, folded(features(junk(piece, rng)))) for _ in range(2))]
+    return out
+
+
+def gate(x: np.ndarray, clean: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, float]:
+    """A machine of clean text against junk, and the margin that all but a KEPT share of clean pieces reach when not learned from."""
+    y, margins = np.where(clean, 1.0, -1.0), []
+    for part in (0, 1):
+        w = machine(x[group % 2 != part], y[group % 2 != part])
+        margins.append(x[clean & (group % 2 == part)] @ w[:-1] + w[-1])
+    return machine(x, y), min(0.0, float(np.quantile(np.concatenate(margins), 1 - KEPT)))
+
+
 def held_out(docs: DataFrame):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> list:
-    """Rows (lang, h, v) to fit on, in order: of each language the vectors of the `per_language` distinct texts of the smallest hashes."""
+def _sampled(docs: DataFrame, per_language: int, languages: int, texts: bool = False) -> DataFrame | None:
+    """lang, h, v, text (if asked for) and r: of each language the vectors of the `per_language` distinct texts of the smallest hashes."""
     small_batches(docs.sparkSession)
     labelled = docs.where("lang is not null and lang <> '' and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
     # Copies count once from here on: the bound below is for distinct texts.
@@ -142,7 +193,7 @@ def sample(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int
     counts = hashes.groupBy("lang").agg(F.sum("n").alias("n"), F.count_if("letters").alias("texts")).where("texts > 0")
     kinds = {r["lang"]: r["texts"] for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not kinds:
-        return []
+        return None
     # Hashes spread evenly, so the smallest few lie below a bound that the count gives; the exact number is cut afterwards.
     share = F.create_map(*[x for k, n in kinds.items() for x in (F.lit(k), F.lit(float(-(2**63)) + min(1.0, 2 * (per_language + 50) / n) * 2.0**64))])
     low = labelled.where(F.col("lang").isin(list(kinds)) & (F.col("h").cast("double") <= share[F.col("lang")])).drop("letters")
@@ -150,26 +201,56 @@ def sample(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int
 
     def vectors(batches):
         for batch in batches:
-            rows = [(k, h, features(t)) for k, t, h in zip(*(batch.column(c).to_pylist() for c in range(3))) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].astype("<f2").tobytes() for r in rows], pa.binary())], names=["lang", "h", "v"])
+            rows = [(k, h, features(t).astype("<f2").tobytes(), t if texts else None) for k, t, h in zip(*(batch.column(c).to_pylist() for c in range(3))) if has_letter(t)]
+            cols, types = list(zip(*rows)) or [[]] * 4, (pa.string(), pa.int64(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["lang", "h", "v", "text"])
 
     from pyspark.sql import Window
 
-    few = low.mapInArrow(vectors, "lang string, h long, v binary")
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language).select("lang", "h", "v").collect()
-    return sorted(few, key=lambda r: (r["lang"], r["h"]))
+    few = low.mapInArrow(vectors, "lang string, h long, v binary, text string")
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
+    return stored(few, "sample", compact=True)
 
 
-def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Classifier | None:
+def _rows(few: DataFrame | None) -> list:
+    return [] if few is None else sorted(few.select("lang", "h", "v").collect(), key=lambda r: (r["lang"], r["h"]))
+
+
+def sample(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> list:
+    """The rows (lang, h, v) to fit on, in order."""
+    return _rows(_sampled(docs, per_language, languages))
+
+
+def _gates(few: DataFrame) -> dict[str, tuple[np.ndarray, float]]:
+    """A gate for each language of enough texts, fitted where its texts are; only weights are gathered."""
+
+    def fit(found: pa.Table) -> pa.Table:
+        rows = sorted(zip(found["h"].to_pylist(), found["text"].to_pylist()))
+        made = [c for c in (cases(t, h) for h, t in rows) if c] if len(rows) >= GATE_LEAST else []
+        out = []
+        if len(made) >= GATE_LEAST:
+            w, bound = gate(np.array([x for c in made for _, x in c]), np.array([ok for c in made for ok, _ in c]), np.array([i for i, c in enumerate(made) for _ in c]))
+            out = [(found["lang"][0].as_py(), w.tobytes(), bound)]
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("lang", pa.string()), ("w", pa.binary()), ("bound", pa.float64())))})
+
+    few = few.where(F.col("r") <= GATE_TEXTS).select("lang", "h", "text")
+    return {r["lang"]: (np.frombuffer(r["w"]), r["bound"]) for r in few.groupBy("lang").applyInArrow(fit, "lang string, w binary, bound double").collect()}
+
+
+def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, gates: bool = False) -> Classifier | None:
     """Fits on text and lang of the rows given, of which only a bounded number is gathered: as vectors of whole texts."""
-    few = sample(docs, per_language=per_language, languages=languages)
+    found = _sampled(docs, per_language, languages, gates)
+    few = _rows(found)
     if not few:
         return None
-    return Classifier.fit(np.array([np.frombuffer(r["v"], "<f2") for r in few]).astype(np.float32), [r["lang"] for r in few])
+    model = Classifier.fit(np.array([np.frombuffer(r["v"], "<f2") for r in few]).astype(np.float32), [r["lang"] for r in few])
+    if gates:
+        model.gates = _gates(found)
+    return model
 
 
-def predict(docs: DataFrame, model: Classifier | None, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the language and its score, under names of their own, to the columns asked for."""
+def predict(docs: DataFrame, model: Classifier | None, columns: list[str], names: tuple[str, str] = ("lang_pred", "score"), *, readable: bool = False) -> DataFrame:
+    """Adds the language and its score, under names of their own, to the columns asked for; readable: junk is `und`, too."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*columns, F.col("text").alias("_text"))
@@ -181,7 +262,11 @@ def predict(docs: DataFrame, model: Classifier | None, columns: list[str], names
             found, scores = ["und"] * len(texts), np.zeros(len(texts))
             for k in range(0, len(at), 250):
                 part = at[k : k + 250]
-                got, score = shared.value.predict(np.array([features(texts[i]) for i in part]))
+                x = np.array([features(texts[i]) for i in part])
+                got, score = shared.value.predict(x)
+                if readable:
+                    fine = shared.value.readable(x, got) | np.array([sum(map(str.isalpha, texts[i])) < LETTERS for i in part])
+                    got, score = [k if ok else "und" for k, ok in zip(got, fine)], np.where(fine, score, 0.0)
                 for i, name in zip(part, got):
                     found[i] = name
                 scores[part] = score
@@ -197,8 +282,13 @@ def identify(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> DataFrame:
     return predict(docs.select("doc_id", held_out(docs).alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
-def only_known(docs: DataFrame, *, per_language: int = PER_LANGUAGE, least: float = 0.2) -> DataFrame:
-    """The rows of docs whose language is found with a score of `least` or more, with that as their lang; other columns as they are."""
-    model = train(docs.where(~held_out(docs)), per_language=per_language)
-    out = predict(docs, model, list(docs.columns), ("_lang", "_score")).where((F.col("_lang") != "und") & (F.col("_score") >= least))
+def only_known(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows of docs that are text of a language and not junk, with what was found as their lang; other columns as they are.
+
+    Junk is what a machine of the language found rejects, learned from labelled texts against junk of the same shape; the bound
+    depends on that language's texts alone, not on how many others there are. Languages of fewer than GATE_LEAST texts have none, and texts
+    of fewer than LETTERS letters pass.
+    """
+    model = train(docs.where(~held_out(docs)), per_language=per_language, gates=True)
+    out = predict(docs, model, list(docs.columns), ("_lang", "_score"), readable=True).where(F.col("_lang") != "und")
     return out.withColumn("lang", F.col("_lang")).select(*docs.columns)

@@ -57,3 +57,17 @@ def test_copies_do_not_shrink_the_sample(spark):
     few = langid.sample(frame(spark, rows), per_language=20)
     want = min(20, len({t for _, t, k in rows if k == "fr"}))
     assert sum(r.lang == "fr" for r in few) == want
+
+
+def test_junk_with_letters_goes_and_short_clean_text_stays(spark):
+    rows = documents(400, seed=2)
+    rng = np.random.default_rng(8)
+    codes = ["ru", "lt", "fi", "cy", "tr", "hi", "he", "zh", "id"]  # a family each: shares get small
+    made = {k: ["".join(chr(int(c)) for c in rng.integers(0x400 + 40 * i, 0x400 + 40 * i + 12, 5)) for _ in range(8)] for i, k in enumerate(codes)}
+    rows += [(1000 + 40 * i + j, " ".join(rng.choice(made[k], 12)), k) for i, k in enumerate(codes) for j in range(40)]
+    trash = ["".join(chr(int(c)) for c in rng.integers(97, 123, 60)) for _ in range(20)] + ["kjxw vqpz bbfg wqkj zxcv mnbq pfgh tplk wvxz gkqp"]
+    short = ["the of and", "der und schon", "le et être", "el y niño", "with that", "the", "De.", *[" ".join(w[:3]) for w in made.values()]]
+    extra = [(5000 + i, t, None) for i, t in enumerate(trash)] + [(6000 + i, t, None) for i, t in enumerate(short)]
+    kept = {r.doc_id for r in langid.only_known(frame(spark, rows + extra)).collect()}
+    assert not kept & set(range(5000, 5000 + len(trash))) and kept >= set(range(6000, 6000 + len(short)))
+    assert len(kept & {r[0] for r in rows}) >= 0.99 * len(rows)
