@@ -123,3 +123,21 @@ def test_many_new_pieces_at_once(library):
     for _ in range(3):
         texts = ["".join(rng.choices("aBéß日½7'  \n\t.!-s\0́", k=rng.randrange(60))) for _ in range(1500)]
         assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)] == [ids_of(library, t) for t in texts]
+
+
+def test_passages_of_some_hundred_ids_are_shared():
+    rng = np.random.default_rng(6)
+    seen, stored_ids, shared = set(), 0, 0
+    for _ in range(20):
+        passage = rng.integers(0, 30000, 700, dtype=np.uint32)
+        shared += 19 * len(passage)
+        for _ in range(20):
+            ids = np.concatenate([rng.integers(0, 30000, 300, dtype=np.uint32), passage, rng.integers(0, 30000, 300, dtype=np.uint32)])
+            at = 0
+            for to in tokenstore.cut_points(len(ids), tokenstore.marks(ids).tolist()):
+                name = ids[at:to].tobytes()
+                stored_ids += (to - at) * (name not in seen)
+                seen.add(name)
+                at = to
+    saved = (20 * 20 * 1300 - stored_ids) / shared
+    assert saved > 0.3, saved
