@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stored
+from .common import partitions, bounded_batches, stored
 
 #: Canonical roles, other names for them, and how transcripts mark a speaker.
 ROLES = ("system", "user", "assistant", "tool")
@@ -193,7 +193,7 @@ def format_turns(turns: DataFrame, model: Model | None = None) -> DataFrame:
     what they make. A turn without a known role has no marker. Null text is empty; turns that tie come in the order of role
     and text; rows without conv_id are one conversation.
     """
-    small_batches(turns.sparkSession)
+    bounded_batches(turns.sparkSession)
     n = partitions(turns)
     turns = turns.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     model = model or train(turns)

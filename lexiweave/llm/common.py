@@ -1,29 +1,65 @@
-"""What the operators of this subpackage share: materialisation in the shared folder, tables, running totals."""
+"""What the operators of this subpackage share: materialisation in the shared folder, tables, bounds, running totals."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of rows that an Arrow batch holds at most, besides its last row.
+BATCH_BYTES = 4 << 20
+#: Bytes of a table's rows, written out as JSON, up to which it is broadcast.
+BROADCAST_BYTES = 48 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a temporary one;
+    on a cluster that is an error, as executors would not see one another's files."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="lexiweave-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path that nothing uses yet, in this application's part of the shared folder, which goes when the driver ends."""
+    own = f"{shared_folder(spark)}/lexiweave-{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        fs, where = _file_system(spark, own)
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        _owned.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+_owned: set[str] = set()
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Within it, Spark deletes the shuffle files of each execution when that ends, instead of some time after."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def stored(df: DataFrame, name: str = "step", *, compact: bool = False) -> DataFrame:
@@ -32,36 +68,71 @@ def stored(df: DataFrame, name: str = "step", *, compact: bool = False) -> DataF
     compact: with a stronger compression, for what holds texts or many rows.
     """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd" if compact else "snappy").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with tidy(df.sparkSession):
+        df.write.option("compression", "zstd" if compact else "snappy").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Deletes what stored() wrote for frames that nothing will read any more."""
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            fs, where = _file_system(df.sparkSession, path)
+            with contextlib.suppress(Exception):  # left for the driver's end
+                fs.delete(where, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df (stored, so cheap to read), broadcast if its rows take few bytes; else as it is, for a join that shuffles."""
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 32).alias("b")).head()["b"] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def fresh(name: str, *taken) -> str:
+    """A column name that none of the frames or lists of names has, whatever the case."""
+    used = {c.lower() for t in taken for c in (t.columns if isinstance(t, DataFrame) else t)}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, since texts may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch, since texts may be long. A lower bound that is set stays, as does that on rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
-def partitions(df: DataFrame) -> int:
-    """How many parts a shuffle of something as large as df should have: as many as its scan, and as are configured at least."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+def _bytes(value: str) -> int:
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    plain = value.lower().removesuffix("b")
+    if plain[-1:] in units and plain[:-1].isdigit():
+        return int(plain[:-1]) << units[plain[-1]]
+    return int(plain) if plain.isdigit() else 0
+
 
+def trimmed(batches):
+    """The batches of a Python function; at its end the worker, which Spark keeps, gives free memory back to the system."""
+    import ctypes
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that are no longer in use."""
-    import gc
-    import time
+    import pyarrow as pa
 
-    for _ in range(2):  # Python's references go first, and Spark deletes in a thread of its own
-        gc.collect()
-        time.sleep(0.2)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such function
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def partitions(df: DataFrame) -> int:
+    """How many parts a shuffle of something as large as df should have: as many as its scan, and as are configured at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
 def running_total(df: DataFrame, order: list[str], value: str, into: str, n: int) -> DataFrame:

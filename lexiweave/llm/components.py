@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) to (node, root), a row for each node that has a link; root is the least node of its component.
 
-    Each round every node points at its least neighbour if that is less than itself, pointers are jumped twice, links move to
+    Each round every node points at its least neighbour if that is less than itself, pointers are jumped, links move to
     where their ends point, and those inside one root go. A node that is not least around it joins another, so links
     shrink fast; nothing is gathered outside the executors, and each round's outcome is stored in the shared folder.
     """
@@ -19,13 +19,16 @@ def components(links: DataFrame) -> DataFrame:
     roots = None
     while not left.isEmpty():
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "pointers")
-        for _ in range(2):
-            step = stored(_follow(step, step), "pointers")
+        least = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "pointers")
+        step = stored(_follow(least, least), "pointers")
+        before = roots
         roots = step if roots is None else stored(_follow(roots, step).unionByName(step.join(roots, "node", "left_anti")), "roots")
         to = step.select(F.col("node").alias("a"), F.col("root").alias("_a")), step.select(F.col("node").alias("b"), F.col("root").alias("_b"))
         moved = left.join(to[0], "a").join(to[1], "b").where("_a <> _b")
-        left = stored(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "links")
+        now = stored(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "links")
+        forget(left, least, before, None if step is roots else step)
+        left = now
+    forget(left)
     return links.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import bounded_batches, stored
 
 #: Winning paths up to which they are broadcast (some 100 bytes each), hosts beyond that are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
@@ -271,7 +271,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     A null html is empty and so is its text; a null url belongs to the host of no name.
     """
-    small_batches(pages.sparkSession, 200)
+    bounded_batches(pages.sparkSession)
     paths = host_paths(pages)
     few = paths.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "url", "html", "path")

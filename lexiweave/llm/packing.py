@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stored
+from .common import partitions, bounded_batches, stored
 from .tokens import default_tokenizer, packed
 
 PIECES = "doc_id long, _row long, piece int, start long, length long, ids_crc32 long"
@@ -30,7 +30,7 @@ def token_pieces(docs: DataFrame, *, capacity: int = 1024, tokenizer: str | None
     A null text is empty, so it has its end id alone. Rows with the same doc_id stay apart by their `_row`.
     """
     path = tokenizer or default_tokenizer()
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def cut(batches):
         tok, end = packed(path), np.asarray([end_id], dtype="<u4").tobytes()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stored
+from .common import partitions, bounded_batches, stored
 from .components import components
 
 BITS = 4
@@ -63,7 +63,7 @@ def _majority(h: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """doc_id and text to doc_id and the fingerprint as a signed long. A null text has no words, and so zero."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

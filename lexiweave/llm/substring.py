@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, release, small_batches, stored
+from .common import bounded_batches, forget, fresh, partitions, stored, trimmed
 
 #: Words that a task collects before it sends arrays.
 FLUSH_WORDS = 1_500_000
@@ -75,9 +75,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _TABLE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of a whole text, in order."""
-    data = np.frombuffer((text or "").encode(), np.uint8)
+def word_hashes(text: str | bytes | None) -> np.ndarray:
+    """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of a whole text (or its UTF-8), in order."""
+    data = np.frombuffer(text if isinstance(text, bytes) else (text or "").encode(), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64)
     inside = np.concatenate([[False], ~_SPACE[data], [False]])
@@ -117,49 +117,51 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _runs(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Run-length form of an array."""
-    at = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-    return docs[at], np.diff(np.concatenate([at, [len(docs)]])).astype(np.uint32)
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return at, np.diff(np.concatenate([at, [len(values)]])).astype(np.uint32)
 
 
-def _reduced(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-    """By distinct hash, sorted: least doc, largest doc, a place of it, whether one document has it more than once."""
+def _reduced(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """By distinct hash, sorted: least doc, largest doc, a place and row of the least, whether one document has it more than once."""
     order = np.lexsort((docs, hashes))
-    hashes, docs, places = hashes[order], docs[order], places[order]
+    hashes, docs, places, rows = hashes[order], docs[order], places[order], rows[order]
     first = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
     at = np.flatnonzero(first)
     end = np.concatenate([at[1:], [len(hashes)]]).astype(np.int64)
     twice = np.concatenate([[False], ~first[1:] & (docs[1:] == docs[:-1])]) if len(hashes) else np.zeros(0, bool)
     many = np.add.reduceat(twice.astype(np.int64), at) > 0 if len(at) else np.zeros(0, bool)
-    return [hashes[at], docs[at], docs[end - 1], places[at], many.astype(np.uint8)]
+    return [hashes[at], docs[at], docs[end - 1], places[at].astype(np.uint32), rows[at], many.astype(np.uint8)]
 
 
 def _merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """What _reduced gives over parts that it has given."""
-    if len(parts[0]) == 3:
-        h, low, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        order = np.lexsort((low, h))
-        h, low, place = h[order], low[order], place[order]
-        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        return [h[at], low[at], place[at]]
-    h, low, high, place, many = (np.concatenate([p[k] for p in parts]) for k in range(5))
-    order = np.lexsort((low, h))
-    h, low, high, place, many = h[order], low[order], high[order], place[order], many[order]
+    """What _reduced gives over parts that it has given, or of (hash, least doc, rest) their least."""
+    arrays = [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))]
+    order = np.lexsort((arrays[1], arrays[0]))
+    arrays = [a[order] for a in arrays]
+    h = arrays[0]
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    if not len(at):
-        return [h, low, high, place, many]
+    if len(arrays) == 3 or not len(at):
+        return [a[at] for a in arrays]
+    _, low, high, place, row, many = arrays
     n = np.diff(np.concatenate([at, [len(h)]]))
     low_, high_ = low[at], np.maximum.reduceat(high, at)
     many_ = np.maximum.reduceat(many, at) | ((n > 1) & (low_ == high_)).astype(np.uint8)
-    return [h[at], low_, high_, place[at], many_]
+    # a document that two parts have has it more than once
+    again = np.concatenate([[False], (h[1:] == h[:-1]) & (low[1:] == low[:-1])])
+    many_ |= np.maximum.reduceat(again.astype(np.uint8), at)
+    return [h[at], low_, high_, place[at], row[at], many_]
 
 
 BLOBS = "part int, kind int, blob binary"
 
 
-def _send(index: list[np.ndarray], probes: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None], parts: int) -> Iterator[pa.RecordBatch]:
-    """Arrays by part of the hash space: of the index (hash, doc, place), and of probes (hash, doc, place, digest's other half)."""
+def _send(index: list[np.ndarray], probes: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None], parts: int) -> Iterator[pa.RecordBatch]:
+    """Arrays by part of the hash space: of the index (hash, doc, place, row), and of probes (the same, and a digest's other half).
+
+    Of digests the index keeps the least document alone, and its place is the digest's other half.
+    """
     n = np.uint64(parts)
     out = []
 
@@ -169,7 +171,7 @@ def _send(index: list[np.ndarray], probes: tuple[np.ndarray, np.ndarray, np.ndar
         return order, np.searchsorted(part[order], np.arange(parts + 1))
 
     red = _reduced(*index)
-    if probes[3] is not None:  # of digests only the least document counts
+    if probes[4] is not None:
         red = [red[0], red[1], red[3]]
     order, ends = by_part(red[0])
     red = [a[order] for a in red]
@@ -177,17 +179,18 @@ def _send(index: list[np.ndarray], probes: tuple[np.ndarray, np.ndarray, np.ndar
         a, b = ends[k], ends[k + 1]
         if b > a:
             out.append((k, 0, _pack(*[x[a:b] for x in red])))
-    h, docs, places, other = probes
+    h, docs, places, rows, other = probes
     order, ends = by_part(h)
-    h, docs, places, other = h[order], docs[order], places[order], None if other is None else other[order]
+    h, docs, places, rows, other = h[order], docs[order], places[order], rows[order], None if other is None else other[order]
     for k in range(parts):
         a, b = ends[k], ends[k + 1]
         if b > a:
-            who, times = _runs(docs[a:b])
+            at, times = _runs(rows[a:b])
+            at += a
             # places rise within a document: their steps are small numbers, which compress
             step = np.diff(places[a:b], prepend=0).astype(np.int64).astype(np.uint32)
             low = (h[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32) if other is None else h[a:b]
-            out.append((k, 1, _pack(low, who, times, step, *([] if other is None else [other[a:b]]))))
+            out.append((k, 1, _pack(low, docs[at], rows[at], times, step, *([] if other is None else [other[a:b]]))))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["part", "kind", "blob"])
 
@@ -198,8 +201,8 @@ def _blocks(docs: DataFrame, size: int, parts: int) -> DataFrame:
 
         def flush():
             nonlocal words_held
-            index, probe = [[], [], []], [[], [], []]
-            for doc, words in held:
+            index, probe = [[], [], [], []], [[], [], [], []]
+            for doc, row, words in held:
                 h = rolling(words, size)
                 place = np.arange(len(h))
                 fixed = place[::size]
@@ -207,49 +210,39 @@ def _blocks(docs: DataFrame, size: int, parts: int) -> DataFrame:
                     to[0].append(x)
                     to[1].append(np.full(len(x), doc, np.int64))
                     to[2].append(p)
+                    to[3].append(np.full(len(x), row, np.int64))
             if held:
                 yield from _send([np.concatenate(x) for x in index], (*[np.concatenate(x) for x in probe], None), parts)
             held.clear()
             words_held = 0
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 words = word_hashes(text)
                 if doc is not None and len(words) >= size:
-                    held.append((doc, words))
+                    held.append((doc, row, words))
                     words_held += len(words)
                     if words_held >= FLUSH_WORDS:
                         yield from flush()
         yield from flush()
 
-    return docs.mapInArrow(run, BLOBS)
+    return docs.select("doc_id", "row", "text").mapInArrow(lambda batches: trimmed(run(batches)), BLOBS)
 
 
 HITS = "bucket int, blob binary"
 
 
-def _bucket(doc: int, parts: int) -> int:
-    """Where Spark's pmod(xxhash64(doc_id), parts) puts a document."""
-    from xxhash import xxh64_intdigest
-
-    h = xxh64_intdigest(doc.to_bytes(8, "little", signed=True), 42)
-    return (h - (1 << 64) if h >> 63 else h) % parts
-
-
-def _hit_rows(docs: np.ndarray, places: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Places by document, packed by bucket of documents."""
-    order = np.argsort(docs, kind="stable")
-    docs, places = docs[order], np.asarray(places)[order].astype(np.uint32)
-    who, times = _runs(docs)
-    buckets = np.asarray([_bucket(d, parts) for d in who.tolist()], np.int64)
-    ends = np.cumsum(times.astype(np.int64))
-    by = np.argsort(buckets, kind="stable")
-    cuts = np.flatnonzero(np.concatenate([[True], buckets[by][1:] != buckets[by][:-1]])).tolist()
-    rows = []
-    for c, d in zip(cuts, [*cuts[1:], len(by)]):
-        own = by[c:d]
-        rows.append((int(buckets[own[0]]), _pack(who[own], times[own], np.concatenate([places[e - t : e] for e, t in zip(ends[own].tolist(), times[own].tolist())]))))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+def _hit_rows(rows: np.ndarray, places: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Places by row of documents, packed by bucket: the row's number modulo parts."""
+    bucket = np.mod(rows, parts)
+    order = np.lexsort((rows, bucket))
+    rows, places, bucket = rows[order], np.asarray(places)[order].astype(np.uint32), bucket[order]
+    cuts, sizes = _runs(bucket)
+    out = []
+    for a, n in zip(cuts.tolist(), sizes.tolist()):
+        at, times = _runs(rows[a : a + n])
+        out.append((int(bucket[a]), _pack(rows[a : a + n][at], times, places[a : a + n])))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], names=["bucket", "blob"])
 
 
 #: Hits that a task holds before it sends them.
@@ -259,9 +252,9 @@ HOLD_HITS = 2_000_000
 def _sent(hits: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
     """Hits of a task put together, so that a bucket gets one row of many rather than one from each array of probes."""
     held, n = [], 0
-    for docs, places in hits:
-        held.append((docs.astype(np.int64), np.asarray(places).astype(np.uint32)))
-        n += len(docs)
+    for rows, places in hits:
+        held.append((rows.astype(np.int64), np.asarray(places).astype(np.uint32)))
+        n += len(rows)
         if n >= HOLD_HITS:
             yield _hit_rows(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), parts)
             held, n = [], 0
@@ -274,7 +267,7 @@ MEET = "bucket int, kind int, doc_id long, row long, text string, blob binary"
 
 def _meet(docs: DataFrame, hits: DataFrame, parts: int) -> DataFrame:
     """Documents and hits dealt by bucket, a bucket's hits before its documents."""
-    where = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("row"), F.lit(parts))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(parts))).cast("int")
+    where = F.pmod("row", F.lit(parts).cast("long")).cast("int")
     both = docs.select(where.alias("bucket"), F.lit(1).alias("kind"), "doc_id", "row", "text", F.lit(None).cast("binary").alias("blob")).union(
         hits.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("string").alias("text"), "blob")
     )
@@ -292,10 +285,10 @@ def _met(batches) -> Iterator[list[tuple]]:
             if kind == 0:
                 who, times, at = _unpack(blob)
                 ends = np.cumsum(times.astype(np.int64)).tolist()
-                for d, e, t in zip(who.tolist(), ends, times.tolist()):
-                    places.setdefault(d, []).append(at[e - t : e])
+                for r, e, t in zip(who.tolist(), ends, times.tolist()):
+                    places.setdefault(r, []).append(at[e - t : e])
                 continue
-            out.append((doc, row, text, np.concatenate(places[doc]) if doc in places else None))
+            out.append((doc, row, text, np.concatenate(places[row]) if row in places else None))
         yield out
 
 
@@ -323,25 +316,24 @@ def _groups(batches, narrow: bool):
                     index.append(np.zeros(len(index[0]), bool))
             if index is None or not len(index[0]):
                 continue
-            low, who, times, step = arrays[:4]
-            docs = np.repeat(who, times)
+            low, who, own, times, step = arrays[:5]
             places = np.cumsum(step, dtype=np.uint32)
-            yield index, (low, docs, places, arrays[4] if len(arrays) > 4 else None)
+            yield index, (low, np.repeat(who, times), places, np.repeat(own, times), arrays[5] if len(arrays) > 5 else None)
     if index is not None:
         yield index, None
 
 
 def _anchors(blobs: DataFrame, parts: int) -> DataFrame:
-    """Hits of probes on blocks of other documents, and the blocks they hit."""
+    """Hits of probes on blocks of other documents, and the blocks they hit, as rows and places."""
 
     def run(batches):
         for index, probe in _groups(batches, True):
-            h, least, largest, place, many, met = index
+            h, least, largest, place, row, many, met = index
             if probe is None:
                 if met.any():
-                    yield least[met], place[met]
+                    yield row[met], place[met]
                 continue
-            low, docs, places, _ = probe
+            low, docs, places, rows, _ = probe
             # entries that agree in the hash's lower half follow on one another; digests decide later which are the same
             at, end = np.searchsorted(h, low), np.searchsorted(h, low, side="right")
             hit = np.zeros(len(low), bool)
@@ -355,9 +347,9 @@ def _anchors(blobs: DataFrame, parts: int) -> DataFrame:
                 met[e[other]] = True
                 at[here] += 1
             if hit.any():
-                yield docs[hit], places[hit]
+                yield rows[hit], places[hit]
 
-    return blobs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda batches: _sent(run(batches), parts), HITS)
+    return blobs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda batches: trimmed(_sent(run(batches), parts)), HITS)
 
 
 def _starts(places: np.ndarray, size: int, window: int, n_words: int) -> np.ndarray:
@@ -384,9 +376,9 @@ def _candidates(docs: DataFrame, hits: DataFrame, size: int, window: int, parts:
         def flush():
             nonlocal windows
             if held:
-                h, who, starts = (np.concatenate([x[k] for x in held]) for k in range(3))
+                h, who, starts, own = (np.concatenate([x[k] for x in held]) for k in range(4))
                 rest = h[:, 1].astype(np.uint32)
-                for rb in _send([h[:, 0].copy(), who, rest], (h[:, 0].copy(), who, starts, rest), parts):
+                for rb in _send([h[:, 0].copy(), who, rest, own], (h[:, 0].copy(), who, starts, own, rest), parts):
                     none = [pa.nulls(rb.num_rows, f.type) for f in list(_JOINED)[:5]]
                     yield pa.RecordBatch.from_arrays([*none, *rb.columns], schema=_JOINED)
             held.clear()
@@ -404,7 +396,7 @@ def _candidates(docs: DataFrame, hits: DataFrame, size: int, window: int, parts:
                 ends = np.cumsum([len(w) + 1 for w in words]) - 1
                 begin = np.concatenate([[0], ends[:-1] + 1])
                 raw = b"".join(xxh3_128_digest(joined[a:b]) for a, b in zip(begin[starts].tolist(), ends[starts + window - 1].tolist()))
-                held.append((np.frombuffer(raw, "<u8").reshape(-1, 2), np.full(len(starts), doc, np.int64), starts))
+                held.append((np.frombuffer(raw, "<u8").reshape(-1, 2), np.full(len(starts), doc, np.int64), starts, np.full(len(starts), row, np.int64)))
                 windows += len(starts)
                 out.append((doc, row, len(words), None, text))
                 if windows >= FLUSH_WORDS:
@@ -413,7 +405,7 @@ def _candidates(docs: DataFrame, hits: DataFrame, size: int, window: int, parts:
             yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(out), f.type) for f in list(_JOINED)[5:])], schema=_JOINED)
         yield from flush()
 
-    return _meet(docs, hits, parts).mapInArrow(run, JOINED)
+    return _meet(docs, hits, parts).mapInArrow(lambda batches: trimmed(run(batches)), JOINED)
 
 
 def _repeats(blobs: DataFrame, parts: int) -> DataFrame:
@@ -424,13 +416,13 @@ def _repeats(blobs: DataFrame, parts: int) -> DataFrame:
             if probe is None:
                 continue
             h, least, rest = index
-            key, docs, places, other = probe
+            key, docs, places, rows, other = probe
             at = np.minimum(np.searchsorted(h, key), len(h) - 1)
             hit = (h[at] == key) & (rest[at] == other) & (least[at] < docs)
             if hit.any():
-                yield docs[hit], places[hit]
+                yield rows[hit], places[hit]
 
-    return blobs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda batches: _sent(run(batches), parts), HITS)
+    return blobs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda batches: trimmed(_sent(run(batches), parts)), HITS)
 
 
 REMOVED = "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -440,19 +432,18 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, texts: bool = False) ->
     """doc_id and text to doc_id, n_words, n_removed, kept_sha256 and, with texts, kept: what is left of a changed text, else null.
 
     A row for each row of docs. A null text has no words. Rows without doc_id are smaller than none and none is smaller than
-    they are, so they keep all; rows that share a doc_id are one document to the others and never repeats of each other.
+    they are, so they keep all; rows that share a doc_id are one document to the others and never repeats of each other. Each row is
+    cut at the places of its own text: row, a hash of doc_id and text, names it, so rows alike in both are cut alike.
     """
     spark, size = docs.sparkSession, window // 2
-    small_batches(spark, 500)
+    bounded_batches(spark)
     parts = partitions(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    hits = stored(_anchors(_blocks(rows.select("doc_id", "text"), size, parts), parts), "hits", compact=True)
-    release(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    hits = stored(_anchors(_blocks(rows, size, parts), parts), "hits", compact=True)
     seen = stored(_candidates(rows, hits, size, window, parts), "candidates", compact=True)
-    release(spark)
+    forget(hits)
     blobs = seen.where("part is not null").select("part", "kind", "blob")
     starts = stored(_repeats(blobs, parts), "repeats", compact=True)
-    release(spark)
 
     def cut(batches):
         for rows in _met(batches):
@@ -472,17 +463,23 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, texts: bool = False) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "row", "n_words", "n_removed", "kept_sha256", "kept"])
 
     settled = seen.where("kept_sha256 is not null").select("doc_id", "row", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
-    open_ = _meet(seen.where("text is not null").select("doc_id", "row", "text"), starts, parts).mapInArrow(cut, REMOVED)
+    open_ = _meet(seen.where("text is not null").select("doc_id", "row", "text"), starts, parts).mapInArrow(lambda batches: trimmed(cut(batches)), REMOVED)
     out = settled.unionByName(open_)
     return out if texts else out.drop("row", "kept")
 
 
 def without_repeats(docs: DataFrame, *, window: int = 50) -> DataFrame:
-    """The rows of docs with repeats cut from their texts; documents of which nothing is left go. Columns as they are."""
-    left = remove_repeats(docs, window=window, texts=True).where("kept is not null").groupBy("doc_id").agg(F.first("kept").alias("_kept"))
-    out = docs.join(left.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").where("_kept is null or _kept <> ''")
-    changed = F.col("_kept").isNotNull()
-    out = out.withColumn("text", F.coalesce("_kept", "text"))
+    """The rows of docs with repeats cut from their texts; rows of which nothing is left go. Columns as they are.
+
+    Null and empty texts stay as they are, as do rows without doc_id; rows that share a doc_id are cut each by its own text, and
+    rows alike in both stay as many as they were. n_chars, if there, is that of what is left.
+    """
+    key, kept = fresh("_row", docs), fresh("_kept", docs)
+    left = remove_repeats(docs, window=window, texts=True).where("kept is not null").groupBy("row").agg(F.first("kept").alias(kept)).withColumnRenamed("row", key)
+    out = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(left, key, "left").where(F.col(kept).isNull() | (F.col(kept) != ""))
+    changed = F.col(kept).isNotNull()
+    out = out.withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        kind = dict(docs.dtypes)["n_chars"]
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, running_total, small_batches
+from .common import new_path, partitions, running_total, bounded_batches
 from .tokens import default_tokenizer, packed
 
 #: Parameters of the format: ids under the rolling hash, mean, least and most ids of a chunk.
@@ -85,7 +85,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
     A task sends a chunk once, however often it occurs there, so a chunk that a third of all documents hold meets once for each task.
     """
     source, spark = tokenizer or default_tokenizer(), docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
 
     def emit(batches):
         tok, sent = packed(source), set()
@@ -216,7 +216,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shifted(crc, after).astype(np.int64)), batch.column(4)], names=["row", "total", "share", "k"])
 
     chunks = _kind(spark, path, "chunk").select("digest", "n_ids", "ids").mapInArrow(sums, "digest binary, k long, crc long")
-    small_batches(spark)
+    bounded_batches(spark)
     uses = _kind(spark, path, "recipe").select("doc_id", "row", "n_ids", "digests", "root").mapInArrow(spread, "doc_id long, row long, total long, nth int, digest binary")
     w = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     placed = uses.join(chunks, "digest", "left").withColumn("after", F.col("total") - F.sum("k").over(w)).select("row", "total", "crc", "after", "k")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, release, stored
+from .common import new_path, stored
 
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 #: Payloads shorter than this are always written whole.
@@ -61,7 +61,6 @@ def write(pages: DataFrame, path: str, *, files: int | None = None) -> None:
     record = F.concat(F.lit(MAGIC), _headers(kind, F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), refers), F.when(refers.isNotNull(), F.lit("")).otherwise(F.col("payload")))
     text = out.select(record.alias("value"))
     (text.repartition(files) if files else text).write.option("lineSep", END).text(path)
-    release(spark)
 
 
 def _field(header: Column, name: str, pattern: str) -> Column:

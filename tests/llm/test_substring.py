@@ -70,3 +70,41 @@ def test_edges(spark):
     assert substring.remove_repeats(docs.limit(0)).collect() == []
     left = substring.without_repeats(docs.withColumn("n_chars", docs.doc_id))
     assert [(r.text, r.n_chars) for r in left.where("doc_id = 9").collect()] == [("end", 3)] and left.columns == ["doc_id", "text", "n_chars"]
+
+
+def brute_rows(rows, window):
+    """As brute, for rows that may share a doc_id: each by its own text; a list in the order of rows."""
+    first, cut = {}, [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    for i, w in cut:
+        for k in range(len(w) - window + 1):
+            if i is not None:
+                key = tuple(w[k : k + window])
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in cut:
+        gone = {p for k in range(len(w) - window + 1) if i is not None and first[tuple(w[k : k + window])] < i for p in range(k, k + window)}
+        out.append(" ".join(x for k, x in enumerate(w) if k not in gone) if gone else None)
+    return out
+
+
+def test_rows_that_share_an_id_are_cut_by_their_own_texts(spark):
+    t = [f"t{k}" for k in range(60)]
+    other = " ".join(f"u{k}" for k in range(80))
+    rows = [(1, " ".join(t)), (4, " ".join([*t, "alpha"])), (4, "four other words here"), (4, other), (4, other + " " + " ".join(t)), (4, ""), (4, None)]
+    rows += [(7, other), (7, " ".join([*t[5:], *other.split()[3:70]])), (None, other), (2, "v " * 200), (2, "v " * 120), (5, "v " * 90 + "w"), (5, "z " * 30 + "v " * 51)]
+    rows += [(9, " ".join(t[:55]) + " " + f"x{k}") for k in range(3)]
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 1, "k") for r in rows], "doc_id long, text string, n_chars long, _id int, _kept string").repartition(5)
+    want = brute_rows(rows, 50)
+    got = substring.without_repeats(df)
+    left = [(str(i), t if k is None else k) for (i, t), k in zip(rows, want) if k != ""]
+    assert got.columns == df.columns
+    assert sorted(((str(r.doc_id), r.text) for r in got.collect()), key=str) == sorted(left, key=str)
+    assert all(r.n_chars == len(r.text or "") for r in got.collect())
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(5)
+    long_ = [f"w{k}" for k in rng.integers(0, 9000, 25_000)]
+    rows = [(1, " ".join(long_)), (2, " ".join(long_[12_000:13_000])), (3, " ".join([*long_[20_000:20_060], "x", *long_[:49]])), (4, " ".join(reversed(long_)))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 50)
