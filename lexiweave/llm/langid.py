@@ -2,7 +2,8 @@
 
 Features are counts of character n-grams (bytes of the lower-cased UTF-8, lengths 1 to 4), hashed into DIM places and taken as
 square roots of their shares, over the whole text. Models are fitted on at most `per_language` distinct labelled texts of each
-language, those with the smallest hash (all of them where there are fewer); everything else is computed over all rows. Families are those of the languages where
+language, those with the smallest hash (all of them where there are fewer), and where there are so many languages that this were more than
+GATHERED texts in all, on an even share of that for each, AT_LEAST at least: no language is left out. Everything else is computed over all rows. Families are those of the languages where
 known; a language of no known family makes one of its own, and within a family each pair of languages has a machine. Rows
 whose text is null or has no letter are `und` with score 0, as are all rows where nothing could be learned.
 """
@@ -14,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import bounded_batches, forget, fresh, small, stored, trimmed
 
 DIM = 1 << 13
-#: Labelled rows of a language, and languages (the most frequent ones), that are gathered to fit.
-PER_LANGUAGE, LANGUAGES = 400, 200
+#: Bounds of what is gathered to fit: labelled texts of a language, of all languages, and of each however many languages there are.
+PER_LANGUAGE, GATHERED, AT_LEAST = 400, 8_000, 8
 #: Texts of a language that its gate learns from, the fewest that make one, and the share of clean pieces that are to pass.
 GATE_TEXTS, GATE_LEAST, KEPT = 120, 10, 0.995
 #: Texts of fewer letters are not judged: a word alone cannot be told from junk.
@@ -183,20 +184,22 @@ def held_out(docs: DataFrame):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _sampled(docs: DataFrame, per_language: int, languages: int, texts: bool = False) -> DataFrame | None:
+def _sampled(docs: DataFrame, per_language: int, texts: bool = False) -> DataFrame | None:
     """lang, h, v, text (if asked for) and r: of each language the vectors of the `per_language` distinct texts of the smallest hashes."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     labelled = docs.where("lang is not null and lang <> '' and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    # Copies count once from here on: the bound below is for distinct texts.
+    # Copies count once from here on: the bounds are for distinct texts.
     labelled = labelled.withColumn("letters", F.col("text").rlike("\\p{L}"))
-    hashes = stored(labelled.groupBy("lang", "h").agg(F.count("*").alias("n"), F.max("letters").alias("letters")), "hashes")
-    counts = hashes.groupBy("lang").agg(F.sum("n").alias("n"), F.count_if("letters").alias("texts")).where("texts > 0")
-    kinds = {r["lang"]: r["texts"] for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    hashes = stored(labelled.groupBy("lang", "h").agg(F.max("letters").alias("letters")), "hashes")
+    counts = stored(hashes.groupBy("lang").agg(F.count_if("letters").alias("texts")).where("texts > 0"), "languages")
+    kinds = counts.count()
+    forget(hashes)
     if not kinds:
         return None
+    per_language = min(per_language, max(AT_LEAST, GATHERED // kinds))
     # Hashes spread evenly, so the smallest few lie below a bound that the count gives; the exact number is cut afterwards.
-    share = F.create_map(*[x for k, n in kinds.items() for x in (F.lit(k), F.lit(float(-(2**63)) + min(1.0, 2 * (per_language + 50) / n) * 2.0**64))])
-    low = labelled.where(F.col("lang").isin(list(kinds)) & (F.col("h").cast("double") <= share[F.col("lang")])).drop("letters")
+    bound = F.least(F.lit(1.0), 2.0 * (per_language + 50) / F.col("texts")) * 2.0**64 - 2.0**63
+    low = labelled.join(small(counts), "lang").where((F.col("h").cast("double") <= bound) & F.col("letters")).select("lang", "text", "h")
     low = stored(low.dropDuplicates(["lang", "h"]), "labelled")
 
     def vectors(batches):
@@ -216,9 +219,9 @@ def _rows(few: DataFrame | None) -> list:
     return [] if few is None else sorted(few.select("lang", "h", "v").collect(), key=lambda r: (r["lang"], r["h"]))
 
 
-def sample(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> list:
+def sample(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> list:
     """The rows (lang, h, v) to fit on, in order."""
-    return _rows(_sampled(docs, per_language, languages))
+    return _rows(_sampled(docs, per_language))
 
 
 def _gates(few: DataFrame) -> dict[str, tuple[np.ndarray, float]]:
@@ -237,9 +240,9 @@ def _gates(few: DataFrame) -> dict[str, tuple[np.ndarray, float]]:
     return {r["lang"]: (np.frombuffer(r["w"]), r["bound"]) for r in few.groupBy("lang").applyInArrow(fit, "lang string, w binary, bound double").collect()}
 
 
-def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, gates: bool = False) -> Classifier | None:
+def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, gates: bool = False) -> Classifier | None:
     """Fits on text and lang of the rows given, of which only a bounded number is gathered: as vectors of whole texts."""
-    found = _sampled(docs, per_language, languages, gates)
+    found = _sampled(docs, per_language, gates)
     few = _rows(found)
     if not few:
         return None
@@ -251,9 +254,10 @@ def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int =
 
 def predict(docs: DataFrame, model: Classifier | None, columns: list[str], names: tuple[str, str] = ("lang_pred", "score"), *, readable: bool = False) -> DataFrame:
     """Adds the language and its score, under names of their own, to the columns asked for; readable: junk is `und`, too."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*columns, F.col("text").alias("_text"))
+    text = fresh("_text", columns)
+    rows = docs.select(*columns, F.col("text").alias(text))
 
     def run(batches):
         for batch in batches:
@@ -273,7 +277,7 @@ def predict(docs: DataFrame, model: Classifier | None, columns: list[str], names
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(found, pa.string()), pa.array(scores)], names=[*columns, *names])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{names[0]}` string, `{names[1]}` double")
+    return rows.mapInArrow(lambda batches: trimmed(run(batches)), ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{names[0]}` string, `{names[1]}` double")
 
 
 def identify(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -287,8 +291,9 @@ def only_known(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> DataFram
 
     Junk is what a machine of the language found rejects, learned from labelled texts against junk of the same shape; the bound
     depends on that language's texts alone, not on how many others there are. Languages of fewer than GATE_LEAST texts have none, and texts
-    of fewer than LETTERS letters pass.
+    of fewer than LETTERS letters pass. Null, empty and letterless texts go; rows are judged by their texts alone, so repeated rows stay or go alike.
     """
     model = train(docs.where(~held_out(docs)), per_language=per_language, gates=True)
-    out = predict(docs, model, list(docs.columns), ("_lang", "_score"), readable=True).where(F.col("_lang") != "und")
-    return out.withColumn("lang", F.col("_lang")).select(*docs.columns)
+    lang, score = fresh("_lang", docs), fresh("_score", docs)
+    out = predict(docs, model, list(docs.columns), (lang, score), readable=True).where(F.col(lang) != "und")
+    return out.withColumn("lang", F.col(lang)).select(*docs.columns)

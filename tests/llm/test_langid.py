@@ -71,3 +71,38 @@ def test_junk_with_letters_goes_and_short_clean_text_stays(spark):
     kept = {r.doc_id for r in langid.only_known(frame(spark, rows + extra)).collect()}
     assert not kept & set(range(5000, 5000 + len(trash))) and kept >= set(range(6000, 6000 + len(short)))
     assert len(kept & {r[0] for r in rows}) >= 0.99 * len(rows)
+
+
+def test_no_language_is_left_out_however_many_or_repeated(spark):
+    rng = np.random.default_rng(3)
+    made = {f"x{k:03d}": [chr(0x4E00 + 30 * k + j) for j in range(25)] for k in range(250)}
+    rows = [(10 * n + j, " ".join("".join(rng.choice(w, 3)) for _ in range(12)), k) for n, (k, w) in enumerate(made.items()) for j in range(4)]
+    # thirty thousand rows of ten texts, next to a language of few rows
+    some = [" ".join(rng.choice(WORDS["fr"].split(), 15)) for _ in range(10)]
+    rows += [(10_000 + i, some[i % 10], "fr") for i in range(30_000)] + [(60_000 + i, t, k) for i, (_, t, k) in enumerate(documents(120)) if k == "en"]
+    few = langid.sample(frame(spark, rows), per_language=5)
+    assert {r.lang for r in few} == {k for _, _, k in rows} and sum(r.lang == "fr" for r in few) == 5
+    model = langid.train(frame(spark, [r for r in rows if r[2] in ("fr", "en", "x000", "x001")]), per_language=20)
+    assert sorted(k for own in model.members.values() for k in own) == ["en", "fr", "x000", "x001"]
+
+
+def test_a_machine_minimises_its_loss():
+    rng = np.random.default_rng(0)
+    x = np.abs(rng.normal(size=(60, 6)))
+    y = np.where(x[:, 0] - x[:, 1] + 0.3 * rng.normal(size=60) > 0.2, 1.0, -1.0)
+    w = langid.machine(x, y, c=10.0, rounds=2000)
+    share = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+    xb, v = np.hstack([x, np.ones((60, 1))]), np.zeros(7)
+    for _ in range(200):  # Newton's method on the primal: |v|^2 / 2 + sum of c * share * max(0, 1 - margin)^2
+        gap = np.maximum(0, 1 - y * (xb @ v))
+        active = xb[gap > 0]
+        hessian = np.eye(7) + 2 * 10 * (active.T * share[gap > 0]) @ active
+        v = v - np.linalg.solve(hessian, v - 2 * 10 * xb.T @ (share * y * gap))
+    assert np.allclose(w, v, atol=1e-3)
+
+
+def test_clashing_names(spark):
+    rows = [(i, t, k, "a", "b", 1.0) for i, t, k in documents(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text string, _lang string, _SCORE double")
+    kept = langid.only_known(docs)
+    assert kept.columns == docs.columns and {r._text for r in kept.collect()} == {"a"}
