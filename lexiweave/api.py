@@ -58,4 +58,5 @@ def convert_column(text: Column, in_lang: str, out_lang: str, *, tokenize: bool
 def convert_frame(df: DataFrame, column: str, in_lang: str, out_lang: str, *, tokenize: bool = True, alignments: bool = False, into: str = "converted") -> DataFrame:
     """Adds the conversion of a column, or a struct of output, edges, segments and tiers."""
     conversion = make_g2p(in_lang, out_lang, tokenize=tokenize)
+    df = columns.spread(df)
     return df.withColumn(into, columns.align(conversion, F.col(column)) if alignments else columns.convert(conversion, F.col(column)))

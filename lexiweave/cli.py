@@ -1,4 +1,4 @@
-"""The command line: convert, scan, doctor, generate-mapping, show-mappings, update."""
+"""The command line: convert, scan, doctor, generate-mapping, show-mappings, update, update-schema, serve."""
 
 from __future__ import annotations
 
@@ -115,6 +115,20 @@ def update(args) -> None:
     Registry.from_folder(args.folder).write(_session(), args.out)
 
 
+def update_schema(args) -> None:
+    """Writes a JSON schema of configurations."""
+    import json
+    from pathlib import Path
+
+    Path(args.out).write_text(json.dumps(files.config_schema(), indent=2, ensure_ascii=False) + "\n", "utf-8")
+
+
+def serve(args) -> None:
+    from . import service
+
+    service.serve(args.host, args.port)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lexiweave")
     p.add_argument("--mappings", help="folder of mappings besides those built in")
@@ -151,6 +165,13 @@ def parser() -> argparse.ArgumentParser:
     u.add_argument("folder")
     u.add_argument("out")
     u.set_defaults(run=update)
+    j = sub.add_parser("update-schema")
+    j.add_argument("out")
+    j.set_defaults(run=update_schema)
+    w = sub.add_parser("serve")
+    w.add_argument("--host", default="127.0.0.1")
+    w.add_argument("--port", type=int, default=8000)
+    w.set_defaults(run=serve)
     return p
 
 

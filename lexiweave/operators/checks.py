@@ -33,6 +33,31 @@ def is_ipa_text(text: str) -> bool:
     return True
 
 
+def ipa_ok(text: Column) -> Column:
+    """The same for a column, in the JVM but for normal forms of what is not ASCII: letters of the charts, each with its marks."""
+    from .columns import normalized
+    from .inventories import letters
+
+    known = "".join(sorted(letters()))
+    said = F.filter(F.split(normalized(text, "NFD"), r"\s+"), lambda w: w != "")
+    return F.forall(said, lambda w: w.rlike(f"^(?:[{known}][\\p{{Mn}}\\p{{Lm}}\\p{{Sk}}]*)+$"))
+
+
+def outcome_ok(transducer: BaseTransducer, text: Column, arpabet: list[str]) -> Column:
+    """check_outcome() of a conversion for a column, on Arrow batches; null for null."""
+    from pyspark.sql.functions import arrow_udf
+
+    known = set(arpabet)
+
+    @arrow_udf("boolean")
+    def run(texts):
+        import pyarrow as pa
+
+        return pa.array([None if t is None else check_outcome(transducer, Graph(transducer.outcomes(t)), arpabet=known) for t in texts.to_pylist()], pa.bool_())
+
+    return run(text)
+
+
 def check_outcome(transducer: BaseTransducer, graph: Graph, *, arpabet: set[str], shallow: bool = False) -> bool:
     """Whether what languages promise holds for their tiers; shallow: for the last one only. Of tokenised texts words are checked."""
     if isinstance(transducer, TokenizingTransducer):

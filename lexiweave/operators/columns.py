@@ -11,6 +11,7 @@ Plans, cheapest first; `convert` picks one:
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from ..plans.mapping import HIDDEN, Mapping
 from .tokenizers import Tokenizer
 from .transducers import BaseTransducer, Graph, TokenizingTransducer, Transducer
 
-MAX_NESTED, CACHE = 40, 200_000
+MAX_NESTED, CACHE = 40, 500_000
 _META = re.compile(r"[\\^$.|?*+()\[\]{}]")
 #: Python's word characters, as Java writes them: combining marks are not among them.
 _W = r"[\p{L}\p{N}_]"
@@ -86,31 +87,53 @@ def _plain(mapping: Mapping) -> bool:
     return mapping.norm_form == "none"
 
 
+#: Words of conversions by their names, which a worker keeps from task to task for the KEPT conversions that came last.
+_words: dict[str, dict[str, str]] = {}
+KEPT = 4
+
+
 class _Words:
     """A conversion with its words in a bounded cache, one for each worker and conversion."""
 
     def __init__(self, transducer: BaseTransducer):
         self.whole = transducer
         self.inner = transducer.transducer if isinstance(transducer, TokenizingTransducer) else None
-        self.cache: dict[str, str] = {}
+        self.name = uuid.uuid4().hex
+
+    @property
+    def cache(self) -> dict[str, str]:
+        if self.name not in _words:
+            while len(_words) >= KEPT:
+                del _words[next(iter(_words))]
+            _words[self.name] = {}
+        return _words[self.name]
 
     def text(self, text: str) -> str:
         if self.inner is None:
             return self.whole.text(text)
-        out = []
-        for t in self.whole.tokenizer.tokenize_text(T.normalize(text, self.whole.norm_form)):
-            if not t.is_word:
-                out.append(t.text)
+        out, cache = [], self.cache
+        for word, gap in self.whole.tokenizer.pairs(T.normalize(text, self.whole.norm_form)):
+            if not word:
+                out.append(gap)
                 continue
-            said = self.cache.get(t.text)
+            said = cache.get(word)
             if said is None:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                said = self.cache[t.text] = self.inner.text(t.text)
+                if len(cache) >= CACHE:
+                    cache.clear()
+                said = cache[word] = self.inner.text(word)
             out.append(said)
         return "".join(out)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of df over as many tasks as run at once, where its scan makes fewer: for columns that Python computes."""
+    plan = df._jdf.queryExecution().executedPlan() if hasattr(df, "_jdf") else None
+    if plan is None or plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df  # has been shuffled already
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= n else df.repartition(n)
+
+
 def arrow_column(transducer: BaseTransducer, text: Column) -> Column:
     from pyspark.sql.functions import arrow_udf
 

@@ -73,14 +73,23 @@ class Tokenizer:
         return bool(unit) and all(T.category(c) in ("letter", "number", "diacritic") for c in unit)
 
     def _pattern(self) -> str:
-        return f"([{WORD_CLASS}]+)|[^{WORD_CLASS}]+"
+        return f"([{WORD_CLASS}]+)|([^{WORD_CLASS}]+)"
 
-    def tokenize_text(self, text: str) -> list[Token]:
-        if self.dot_is_letter or type(self) not in (Tokenizer, InventoryTokenizer):
-            return self.by_units(text)
+    def _by_runs(self) -> bool:
+        return not self.dot_is_letter and type(self) in (Tokenizer, InventoryTokenizer)
+
+    def pairs(self, text: str) -> list[tuple[str, str]]:
+        """The tokens as (word, "") and ("", gap)."""
+        if not self._by_runs():
+            return [(t.text, "") if t.is_word else ("", t.text) for t in self.tokenize_text(text)]
         if self._runs is None:
             self._runs = regex.compile(self._pattern(), regex.DOTALL | (0 if self.case_sensitive else regex.IGNORECASE))
-        return [Token(m[0], m[1] is not None) for m in self._runs.finditer(text)]
+        return self._runs.findall(text)
+
+    def tokenize_text(self, text: str) -> list[Token]:
+        if not self._by_runs():
+            return self.by_units(text)
+        return [Token(word or gap, bool(word)) for word, gap in self.pairs(text)]
 
     def by_units(self, text: str) -> list[Token]:
         """One unit after another; runs of a kind are one token. For all but dots that are letters this is what runs give."""
@@ -110,7 +119,7 @@ class InventoryTokenizer(Tokenizer):
 
     def _pattern(self) -> str:
         begins = "|".join([*map(regex.escape, self.pieces), f"[{WORD_CLASS}]"])
-        return f"((?:{begins})++)|(?:(?!{begins}).)++"
+        return f"((?:{begins})++)|((?:(?!{begins}).)++)"
 
     def units(self, text: str) -> list[str]:
         return self._cut.findall(text)

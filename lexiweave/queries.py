@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import unicodedata
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from .operators import alignments, checks, columns, graphs, inventories
 from .operators.lexicon import convert_by_join
 from .operators.tokenizers import Tokenizer, default_tokens, token_rows
 from .operators.transducers import CompositeTransducer, TokenizingTransducer, Transducer
-from .plans.mapping import Mapping
+from .plans.mapping import Mapping, strip_indices
 from .sources import builtin
 from .sources.files import rule_rows
 
@@ -46,6 +48,21 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own for what a query writes, where driver and executors see it; only a local session may do without one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lexiweave-")
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def sha(col) -> F.Column:
     return F.sha2(col, 256)
 
@@ -68,13 +85,21 @@ def _values(rows: list[tuple]) -> str:
 # --- conversions
 
 
-@query(f"SELECT doc_id, sha256({UND_SQL.format(x='text')}) AS converted_sha256, CAST(length({UND_SQL.format(x='text')}) AS BIGINT) AS n FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text FROM documents)")
+#: Composed letters whose base is read as something else, apart: what canonical decomposition makes of them.
+MARKED = {c + m: composed for c in "cgjy" for m in "\u0301\u0302\u0306\u0307\u030C\u0308\u0300\u0303\u0304\u0327" if len(composed := unicodedata.normalize("NFC", c + m)) == 1}
+_APART = "nfc_normalize(lower(text))"
+for _two, _one in MARKED.items():
+    _APART = f"replace({_APART}, '{_one}', '{_two}')"
+UND_IPA_SQL = f"nfc_normalize({UND_SQL.format(x=_APART)})"
+
+
+@query(f"SELECT doc_id, sha256({UND_IPA_SQL}) AS converted_sha256, CAST(length({UND_IPA_SQL}) AS BIGINT) AS n FROM documents")
 def convert_und_ipa(spark, sf_dir):
-    """Undetermined ASCII to IPA over whole texts, by the plan that converts words from a cache."""
+    """Undetermined text to IPA over whole texts, by the plan that converts words from a cache; marks stay on what they stood on."""
     made = api.make_g2p("und-ascii", "und-ipa", tokenize=False)
-    ascii_ = docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text"))
-    said = columns.convert(TokenizingTransducer(made, _AsOne()), F.col("text"))
-    return ascii_.select("doc_id", said.alias("c")).select("doc_id", sha("c").alias("converted_sha256"), F.length("c").cast("long").alias("n"))
+    texts = columns.spread(docs(spark, sf_dir).select("doc_id", "text"))
+    said = columns.normalized(columns.convert(TokenizingTransducer(made, _AsOne()), F.col("text")), "NFC")
+    return texts.select("doc_id", said.alias("c")).select("doc_id", sha("c").alias("converted_sha256"), F.length("c").cast("long").alias("n"))
 
 
 class _AsOne(Tokenizer):
@@ -101,12 +126,13 @@ CHARS_SQL = "SELECT doc_id, unnest(c) AS ch, unnest(range(len(c))) AS pos FROM (
 
 @query(
     f"""WITH x AS (SELECT doc_id, pos, ch, lag(ch) OVER w AS before, lead(ch) OVER w AS after FROM ({CHARS_SQL}) WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-    SELECT doc_id, sha256(string_agg(CASE WHEN ch = 't' AND after IN ('h', 'i') THEN 'θ' WHEN ch = 's' AND before IN ('a', 'e') THEN 'z' ELSE ch END, '' ORDER BY pos)) AS converted_sha256 FROM x GROUP BY doc_id"""
+    SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(y.said, '')) END AS converted_sha256 FROM documents d LEFT JOIN (SELECT doc_id,
+    string_agg(CASE WHEN ch = 't' AND after IN ('h', 'i') THEN 'θ' WHEN ch = 's' AND before IN ('a', 'e') THEN 'z' ELSE ch END, '' ORDER BY pos) AS said FROM x GROUP BY doc_id) y ON d.doc_id = y.doc_id"""
 )
 def convert_context_rules(spark, sf_dir):
     """Contexts before and after, in nested expressions. No rule's output is another's context."""
     made = Transducer(Mapping([{"in": "t", "out": "θ", "context_after": "h|i"}, {"in": "s", "out": "z", "context_before": "[ae]"}], norm_form="none"))
-    return docs(spark, sf_dir).where("text <> ''").select("doc_id", sha(columns.convert(made, F.col("text"))).alias("converted_sha256"))
+    return docs(spark, sf_dir).select("doc_id", sha(columns.convert(made, F.col("text"))).alias("converted_sha256"))
 
 
 def _ordering(name, ordering, sql):
@@ -135,13 +161,12 @@ def reverse_mapping(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", sha(columns.convert(made, F.col("text"))).alias("converted_sha256"))
 
 
-@query(f"""SELECT doc_id, sha256(string_agg(CASE ch WHEN 'a' THEN 'ο' WHEN 'A' THEN 'Ο' WHEN 'n' THEN 'µ' WHEN 'N' THEN '#' ELSE ch END, '' ORDER BY pos)) AS converted_sha256
-FROM ({CHARS_SQL.replace("text, ''", "regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), ''").replace("text <> ''", "regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') <> ''")}) GROUP BY doc_id""")
+@query("SELECT doc_id, sha256(translate(text, 'aAnN', 'οΟµ#')) AS converted_sha256 FROM documents")
 def case_preserve(spark, sf_dir):
     """Case does not matter to rules and comes back with the output; µ has an upper case of its own here."""
     made = Transducer(Mapping([{"in": "a", "out": "ο"}, {"in": "n", "out": "µ"}], case_sensitive=False, preserve_case=True, norm_form="none", case_equivalencies={"µ": "#"}))
-    ascii_ = docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text")).where("text <> ''")
-    return ascii_.select("doc_id", sha(columns.convert(TokenizingTransducer(made, _AsOne()), F.col("text"))).alias("converted_sha256"))
+    texts = columns.spread(docs(spark, sf_dir).select("doc_id", "text"))
+    return texts.select("doc_id", sha(columns.convert(TokenizingTransducer(made, _AsOne()), F.col("text"))).alias("converted_sha256"))
 
 
 @query("SELECT doc_id, sha256(regexp_replace(replace(text, 'sh', 's'), '(s|t)', '\\1·', 'g')) AS converted_sha256 FROM documents")
@@ -226,11 +251,19 @@ def tok_inventory(spark, sf_dir):
 k AS (SELECT CASE WHEN regexp_matches(ch, '[\p{L}\p{Co}]') THEN 'letter' WHEN regexp_matches(ch, '\p{N}') THEN 'number' WHEN regexp_matches(ch, '\p{M}') THEN 'diacritic' WHEN regexp_matches(ch, '\p{P}') THEN 'punctuation'
  WHEN regexp_matches(ch, '\p{S}') THEN 'symbol' WHEN regexp_matches(ch, '[\p{Z}\t\n\r\x0B\x0C]') THEN 'whitespace' ELSE 'other' END AS category FROM c) SELECT category, count(*) AS n FROM k GROUP BY 1""")
 def charset_category(spark, sf_dir):
-    """Counts of characters by class: each character is counted before classes are looked at."""
-    chars = docs(spark, sf_dir).where("text <> ''").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
-    kinds = [("letter", r"[\p{L}\p{Co}]"), ("number", r"\p{N}"), ("diacritic", r"\p{M}"), ("punctuation", r"\p{P}"), ("symbol", r"\p{S}"), ("whitespace", r"[\p{Z}\t\n\r\x0B\f]")]
-    category = F.coalesce(*[F.when(F.col("ch").rlike(p), name) for name, p in kinds], F.lit("other"))
-    return chars.groupBy(category.alias("category")).agg(F.sum("n").alias("n"))
+    """Counts of characters by class: each character is counted, and each distinct one then classed."""
+    from pyspark.sql.functions import arrow_udf
+
+    from .functions.text import category
+
+    @arrow_udf("string")
+    def kind(chars):
+        import pyarrow as pa
+
+        return pa.array([category(c) or "other" for c in chars.to_pylist()], pa.string())
+
+    chars = docs(spark, sf_dir).select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
+    return chars.select(kind("ch").alias("category"), "n").groupBy("category").agg(F.sum("n").alias("n"))
 
 
 @query("WITH c AS (SELECT unnest(string_split(nfd, '')) AS ch FROM (SELECT lower(text) AS nfd FROM documents WHERE text <> '')) SELECT ch AS char, count(*) AS n FROM c WHERE NOT regexp_matches(ch, '^[a-z@?'',: \n.]$') GROUP BY 1")
@@ -403,34 +436,33 @@ def graph_degrees(spark, sf_dir):
 RULES = [(k, a, b) for k, (a, b) in enumerate([("a", "b"), ("c", "d"), ("a", "b"), ("e{1}", "f{1}"), ("c", "x"), ("c", "d")])]
 
 
-@query(f"WITH r(ord, i, o) AS (VALUES {_values(RULES)}) SELECT min(ord) AS ord, i AS \"in\", o AS out FROM r GROUP BY i, o")
+@query(f"WITH r(ord, i, o) AS (VALUES {_values(RULES)}) SELECT CAST(row_number() OVER (ORDER BY min(ord)) - 1 AS INTEGER) AS place, i AS \"in\", o AS out FROM r GROUP BY i, o")
 def dedupe_rules(spark, sf_dir):
-    rows = rule_rows(spark, Mapping([{"in": a, "out": b} for _, a, b in RULES]))
-    return rows.groupBy("in", "out", "context_before", "context_after", "prevent_feeding", "comment").agg(F.min("ord").alias("ord")).select("ord", "in", "out")
+    """Rules once each, in the order they first came, as the engine drops repeats."""
+    mapping = Mapping([{"in": a, "out": b} for _, a, b in RULES])
+    mapping.deduplicate()
+    return rule_rows(spark, mapping).select(F.col("ord").alias("place"), "in", "out")
 
 
 @query(f"WITH r(ord, i, o) AS (VALUES {_values(RULES)}) SELECT ord, regexp_replace(i, '[{{][0-9]+[}}]', '', 'g') AS \"in\", CAST(row_number() OVER (ORDER BY length(regexp_replace(i, '[{{][0-9]+[}}]', '', 'g')) DESC, ord) AS INTEGER) AS place FROM r")
 def longest_first_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = rule_rows(spark, Mapping([{"in": a, "out": b} for _, a, b in RULES])).select("ord", F.regexp_replace("in", r"\{\d+\}", "").alias("in"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.length("in")), "ord")))
+    """The order in which the engine applies rules, the longest input without index notation first."""
+    mapping = Mapping([{"in": a, "out": b, "comment": str(k)} for k, a, b in RULES], rule_ordering="apply-longest-first")
+    rows = [(int(r.rule.comment), strip_indices(r.rule.rule_input), k) for k, r in enumerate(mapping.compiled, start=1)]
+    return spark.createDataFrame(rows, "ord int, `in` string, place int")
 
 
 @query("SELECT * FROM (VALUES ('und-ascii', 'und-ipa', 'newer'), ('und', 'und-ascii', 'unidecode'), ('und-ipa', 'eng-ipa', 'mapping'), ('eng-ipa', 'eng-arpabet', 'mapping')) t(in_lang, out_lang, found)")
 def find_mapping_last_wins(spark, sf_dir):
     """Of several mappings between two languages the last one."""
-    from pyspark.sql import Window
-
     known = api.registry().overlay([Mapping([{"in": "a", "out": "b"}], in_lang="und-ascii", out_lang="und-ipa", id="newer")])
-    w = Window.partitionBy("in_lang", "out_lang").orderBy(F.desc("ord"))
-    rows = known.mapping_rows(spark).withColumn("r", F.row_number().over(w)).where("r = 1 and type <> 'neural'")
-    return rows.select("in_lang", "out_lang", F.coalesce("id", "type").alias("found"))
+    found = [(a, b, known.find_mapping(a, b)) for a, b in known.network.edges]
+    return spark.createDataFrame([(a, b, m.id or m.type or "mapping") for a, b, m in found], "in_lang string, out_lang string, found string")
 
 
 # --- checks and inference
 
-ARPABET = sorted({r["out"] for r in builtin.rules(builtin.IPA_TO_ARPABET)})
+ARPABET = sorted({r["out"] for r in builtin.rules("ipa_to_arpabet")})
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, upper(text) AS said FROM conversations), w AS (SELECT conv_id, turn, unnest(string_split_regex(said, '\\s+')) AS u FROM t)
@@ -444,16 +476,13 @@ SYMBOLS = ["tion", "and", "the", "ment", "ung"]
 
 
 @query(f"""WITH w AS (SELECT DISTINCT lower(t) AS word FROM ({TOKEN_SQL}) WHERE {IS_WORD_SQL}), s(k, symbol) AS (VALUES {_values(list(enumerate(SYMBOLS)))})
-SELECT word, symbol FROM w, s QUALIFY row_number() OVER (PARTITION BY word ORDER BY levenshtein_chars(word, symbol), k) = 1""".replace("levenshtein_chars", "levenshtein") + " ")
+SELECT word, symbol FROM w, s QUALIFY row_number() OVER (PARTITION BY word ORDER BY levenshtein(regexp_replace(word, '[^\\x00-\\x7F]', '#', 'g'), symbol), k) = 1""")
 def levenshtein_nearest(spark, sf_dir):
-    """For each distinct word of ASCII letters the nearest of a few symbols."""
-    words = word_freq(spark, sf_dir).select("word").where(F.length("word") == F.octet_length("word"))
+    """For each distinct word the nearest of a few symbols."""
+    words = word_freq(spark, sf_dir).select("word")
     return words.select("word", inventories.nearest(F.col("word"), SYMBOLS).alias("symbol"))
 
 
-SQL["levenshtein_nearest"] = SQL["levenshtein_nearest"].replace(f"WHERE {IS_WORD_SQL})", f"WHERE {IS_WORD_SQL} AND regexp_full_match(lower(t), '[\\x00-\\x7F]*'))")
-
-
 @query("SELECT * FROM (VALUES ('und', 'Undetermined')) t(lang, name)")
 def arpabet_languages(spark, sf_dir):
     langs, names = api.get_arpabet_langs()
@@ -468,8 +497,7 @@ def stream_convert(spark, sf_dir):
     """Documents as a stream, converted to Parquet without state, each once; then what has been written."""
     from .streaming.lines import convert_stream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{shared.rstrip('/')}/stream-{__import__('uuid').uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="lexiweave-stream-")
+    base = scratch(spark, "stream")
     batch = table(spark, sf_dir, "documents")
     folder, name = sf_dir, "documents.parquet"
     source = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*").select("doc_id", "text")
@@ -481,13 +509,6 @@ def stream_convert(spark, sf_dir):
 # --- without an equivalent in SQL; tests hold these against brute force
 
 
-@query()
-def convert_und_arpabet(spark, sf_dir):
-    """Three steps, transliteration first: words from a bounded cache, no shuffle."""
-    made = api.make_g2p("und", "eng-arpabet")
-    return docs(spark, sf_dir).select("doc_id", sha(columns.convert(made, F.col("text"))).alias("converted_sha256"))
-
-
 @query()
 def align_und_arpabet(spark, sf_dir):
     """The same with edges, pieces and tiers: how many there are of each for every benchmark item."""
@@ -512,3 +533,6 @@ def infer_mapping(spark, sf_dir):
     known = api.registry()
     made = inventories.create_mapping(known.find_mapping("und-ascii", "und-ipa"), known.find_mapping("eng-ipa", "eng-arpabet"))
     return rule_rows(spark, made).select("ord", "in", "out")
+
+
+from . import more_queries  # noqa: E402, F401 (it adds its queries to these)

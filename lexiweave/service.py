@@ -1,4 +1,4 @@
-"""What a web service over conversions answers, as plain functions on JSON-like values: wire them to any framework.
+"""What a web service over conversions answers, as plain functions on JSON-like values, and `app`, which serves them over HTTP (WSGI).
 
 Unknown languages raise InvalidLanguageCode (a 404), pairs without a path NoPath (a 400).
 """
@@ -87,3 +87,75 @@ def convert(registry: Registry, in_lang: str, out_lang: str, text: str, *, token
             found.append(_conversion(rest.input_string, rest.output_string, rest.alignments(), compose_from, made.out_lang, indices))
         out.append({"conversions": found[::-1]})
     return out
+
+
+# HTTP: /api/v1 with single answers, /api/v2 with segments of texts. Any WSGI server runs app(); serve() runs Python's own.
+
+
+def _body(environ: dict) -> dict:
+    import json
+
+    size = int(environ.get("CONTENT_LENGTH") or 0)
+    return json.loads(environ["wsgi.input"].read(size) or b"{}") if size else {}
+
+
+def _flag(value, default: bool) -> bool:
+    return default if value is None else value if isinstance(value, bool) else str(value).lower() in ("1", "true", "yes")
+
+
+def _answer(registry: Registry, method: str, parts: list[str], asked: dict, body: dict):
+    """The answer to a request, or KeyError where there is no such address."""
+    match (method, *parts):
+        case ("GET", "api", "v1", "langs"):
+            return langs(registry)
+        case ("GET", "api", "v1", "descendants", lang):
+            return descendants(registry, lang)
+        case ("GET", "api", "v1", "ancestors", lang):
+            return ancestors(registry, lang)
+        case ("GET", "api", "v1", "g2p"):
+            options = {k: _flag(asked.get(k), False) for k in ("index", "debugger", "tokenize")}
+            return g2p(registry, asked["in-lang"], asked["out-lang"], asked["text"], **options)
+        case ("GET", "api", "v2", "langs"):
+            return langs(registry) if not _flag(asked.get("allnodes"), False) else nodes(registry)
+        case ("GET", "api", "v2", "outputs_for", lang):
+            return outputs_for(registry, lang)
+        case ("GET", "api", "v2", "inputs_for", lang):
+            return inputs_for(registry, lang)
+        case ("GET", "api", "v2", "path", in_lang, out_lang):
+            return path(registry, in_lang, out_lang)
+        case ("POST", "api", "v2", "convert"):
+            options = {"tokenize": _flag(body.get("tokenize"), True), "indices": _flag(body.get("indices"), False), "compose_from": body.get("compose_from")}
+            return convert(registry, body["in_lang"], body["out_lang"], body["text"], **options)
+    raise LookupError("/".join(parts))
+
+
+def app(environ: dict, start_response, registry: Registry | None = None):
+    """The service as a WSGI application over the session's registry."""
+    import json
+    from urllib.parse import parse_qsl, unquote
+
+    from . import api
+
+    known = registry or api.registry()
+    parts = [unquote(p) for p in environ.get("PATH_INFO", "").split("/") if p]
+    try:
+        asked = dict(parse_qsl(environ.get("QUERY_STRING", ""), keep_blank_values=True))
+        status, said = "200 OK", _answer(known, environ["REQUEST_METHOD"], parts, asked, _body(environ))
+    except InvalidLanguageCode as e:
+        status, said = "404 Not Found", {"detail": str(e)}
+    except NoPath as e:
+        status, said = "400 Bad Request", {"detail": str(e)}
+    except (KeyError, ValueError) as e:
+        status, said = "422 Unprocessable Content", {"detail": f"missing or malformed: {e}"}
+    except LookupError as e:
+        status, said = "404 Not Found", {"detail": f"there is nothing at {e}"}
+    data = json.dumps(said, ensure_ascii=False).encode()
+    start_response(status, [("Content-Type", "application/json; charset=utf-8"), ("Content-Length", str(len(data)))])
+    return [data]
+
+
+def serve(host: str = "127.0.0.1", port: int = 8000) -> None:
+    from wsgiref.simple_server import make_server
+
+    with make_server(host, port, app) as server:
+        server.serve_forever()

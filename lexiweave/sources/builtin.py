@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from ..plans.mapping import Mapping
+from .files import load_rules
 
-#: Letters of undetermined text, and the IPA they are read as.
-UND_TO_IPA = "a a; b b; c t͡ʃ; d d; e e; f f; g ɡ; h h; i i; j ʒ; k k; l l; m m; n n; o o; p p; q q; r r; s s; t t; u u; v v; w w; x x; y j; z z; @ ə; \\? ʔ; ' ʔ; , ʔ; : "
-#: That IPA, and the nearest of English.
-UND_IPA_TO_ENG_IPA = "a ɑ; b b; d d; e eː; f f; h h; i i; j j; k k; l l; m m; n n; o oː; p p; q k; r ɾ; s s; t t; t͡s ts; u u; v v; w w; x k; z z; ə ə; ɡ ɡ; ʒ ʒ; ʔ ʔ"
-#: IPA of English and its ARPABET.
-IPA_TO_ARPABET = (
-    "ɑ AA; ɑː AA; ɑ̃ AA N; æ AE; æ̃ AE N; ʌ AH; ʌ̃ AH N; ɔ AO; o AO; ɔ̃ AO N; ɔ̃ː AO N; aʊ AW; ə AH; aɪ AY; ɛ EH; ɛ̃ EH N; ɜ˞ ER; ɜ˞ː ER; eɪ EY; eː EY; ej EY; ẽ EY N; ẽː EY N; ɪ IH; ɪ̃ IH N; ɨ IX; i IY; iː IY; ĩ IY N; "
-    "oʊ OW; ow OW; oː OW; õ OW N; õː OW N; ɔɪ OY; ʊ UH; ʊ̃ UH N; u UW; uː UW; ũ UW N; b B; tʃ CH; t͡ʃ CH; d D; ð DH; ɾ D; f F; ɡ G; h HH; dʒ JH; k K; l L; m M; n N; ŋ NG; p P; ʔ HH; ɹ R; r R; s S; ʃ SH; t T; θ TH; v V; w W; j Y; z Z; ʒ ZH"
-)
+#: Fixed values, as files of rules (input, tab, output): und_to_ipa.tsv has letters of undetermined text and the IPA they are read as,
+#: und_ipa_to_eng_ipa.tsv that IPA and the nearest of English, ipa_to_arpabet.tsv IPA of English and its ARPABET.
+TABLES = Path(__file__).parent / "tables"
 
 
-def rules(table: str) -> list[dict]:
-    return [dict(zip(("in", "out"), pair.strip(" ").partition(" ")[::2])) for pair in table.split(";")]
+def rules(name: str) -> list[dict]:
+    return load_rules(TABLES / f"{name}.tsv")
 
 
 def mappings() -> list[Mapping]:
     und = {"language_name": "Undetermined"}
     return [
-        Mapping(rules(UND_TO_IPA), in_lang="und-ascii", out_lang="und-ipa", case_sensitive=False, display_name="Undetermined ASCII to IPA", **und),
+        Mapping(rules("und_to_ipa"), in_lang="und-ascii", out_lang="und-ipa", case_sensitive=False, display_name="Undetermined ASCII to IPA", **und),
         Mapping([], in_lang="und", out_lang="und-ascii", type="unidecode", display_name="Undetermined Unicode to ASCII", **und),
-        Mapping(rules(UND_IPA_TO_ENG_IPA), in_lang="und-ipa", out_lang="eng-ipa", rule_ordering="apply-longest-first", display_name="Undetermined IPA to English IPA", **und),
-        Mapping(rules(IPA_TO_ARPABET), in_lang="eng-ipa", out_lang="eng-arpabet", norm_form="NFC", out_delimiter=" ", rule_ordering="apply-longest-first", display_name="English IPA to Arpabet", language_name="English"),
+        Mapping(rules("und_ipa_to_eng_ipa"), in_lang="und-ipa", out_lang="eng-ipa", rule_ordering="apply-longest-first", display_name="Undetermined IPA to English IPA", **und),
+        Mapping(rules("ipa_to_arpabet"), in_lang="eng-ipa", out_lang="eng-arpabet", norm_form="NFC", out_delimiter=" ", rule_ordering="apply-longest-first", display_name="English IPA to Arpabet", language_name="English"),
     ]

@@ -8,6 +8,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import warnings
 from pathlib import Path
 
 import yaml
@@ -89,13 +90,21 @@ def mapping_from_config(entry: dict, parent: str | Path = ".") -> Mapping:
     return Mapping(**{k: v for k, v in known.items() if v is not None or k == "norm_form"}, extra=entry)
 
 
-def load_config(path: str | Path) -> list[Mapping]:
-    """All mappings of a YAML configuration, in order."""
+def load_config(path: str | Path, *, skip_missing: bool = False) -> list[Mapping]:
+    """All mappings of a YAML configuration, in order. skip_missing: those whose files are not there are warned of and left out."""
     path = Path(path)
     data = yaml.safe_load(path.read_text("utf-8")) or {}
     if not isinstance(data, dict) or "mappings" not in data:
         raise MalformedMapping(f"{path} has no list of mappings")
-    return [mapping_from_config(m, path.parent) for m in data["mappings"]]
+    found = []
+    for entry in data["mappings"]:
+        try:
+            found.append(mapping_from_config(entry, path.parent))
+        except FileNotFoundError as e:
+            if not skip_missing:
+                raise
+            warnings.warn(f"{path}: the mapping from {entry.get('in_lang')} to {entry.get('out_lang')} is left out, as {e.filename} is not there", stacklevel=2)
+    return found
 
 
 def load_mapping(path: str | Path, index: int = 0) -> Mapping:
@@ -176,3 +185,26 @@ def config_to_file(mapping: Mapping, path: str | Path, rules_kind: str = "json")
     else:
         data["mappings"].append(config_entry(mapping, rules_kind))
     path.write_text(yaml.safe_dump(data, allow_unicode=True, sort_keys=False), "utf-8")
+
+
+def config_schema() -> dict:
+    """A JSON schema of configurations, from the fields of a mapping."""
+    import dataclasses
+    import typing
+
+    from ..plans.mapping import NORM_FORMS, ORDERINGS, TYPES
+
+    kinds = {str: "string", bool: "boolean", dict: "object", list: "array", type(None): "null"}
+    hints, fields = typing.get_type_hints(Mapping), {}
+    for f in dataclasses.fields(Mapping):
+        if f.name != "extra":
+            parts = typing.get_args(hints[f.name]) or (hints[f.name],)
+            names = [kinds[typing.get_origin(p) or p] for p in parts]
+            fields[f.name] = {"type": names[0] if len(names) == 1 else names}
+    for name, values in (("norm_form", NORM_FORMS), ("rule_ordering", ORDERINGS), ("type", TYPES)):
+        fields[name] = {"enum": sorted(values) + ([None] if name != "rule_ordering" else [])}
+    rule = {k: {"type": "string"} for k in COLUMNS} | {"prevent_feeding": {"type": "boolean"}, "comment": {"type": ["string", "null"]}}
+    fields["rules"] = {"anyOf": [{"type": "string"}, {"type": "array", "items": {"type": "object", "properties": rule, "required": ["in", "out"]}}]}
+    fields |= {f"{k}_path": {"type": "string"} for k in ("rules", "abbreviations", "alignments")}
+    mapping = {"type": "object", "properties": fields, "required": ["in_lang", "out_lang"]}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "properties": {"mappings": {"type": "array", "items": mapping}}, "required": ["mappings"]}

@@ -42,7 +42,7 @@ class Registry:
         found = sorted(Path(folder).glob("*/config-g2p.y*ml"), key=lambda p: p.parent.stem)
         if not found:
             raise FileNotFoundError(f"no configurations under {folder}")
-        entries = [(p.parent.stem, m) for p in found for m in load_config(p)]
+        entries = [(p.parent.stem, m) for p in found for m in load_config(p, skip_missing=True)]
         return cls((cls.default().entries if with_builtin else []) + entries)
 
     def overlay(self, mappings: list[Mapping]) -> Registry:
@@ -124,14 +124,29 @@ class Registry:
         return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(self.network.edges)], "ord int, src string, dst string")
 
     def mapping_rows(self, spark: SparkSession) -> DataFrame:
-        rows = [(k, f, m.id, m.in_lang, m.out_lang, m.type or "mapping", m.language_name, m.display_name, [(r.rule_input, r.rule_output, r.context_before, r.context_after, r.prevent_feeding) for r in m.rules]) for k, (f, m) in enumerate(self.entries)]
-        return spark.createDataFrame(rows, "ord int, dir string, id string, in_lang string, out_lang string, type string, language_name string, display_name string, rules array<struct<`in`:string,out:string,context_before:string,context_after:string,prevent_feeding:boolean>>")
+        import dataclasses
+
+        rules = [[r.to_dict() | {"comment": r.comment} for r in m.rules] for m in self.mappings]
+        config = [json.dumps({x.name: getattr(m, x.name) for x in dataclasses.fields(m) if x.name != "as_is"} | {"rules": r}, ensure_ascii=False) for m, r in zip(self.mappings, rules)]
+        rows = [(k, f, m.id, m.in_lang, m.out_lang, m.type or "mapping", m.language_name, m.display_name, [(r.rule_input, r.rule_output, r.context_before, r.context_after, r.prevent_feeding) for r in m.rules], config[k]) for k, (f, m) in enumerate(self.entries)]
+        return spark.createDataFrame(rows, "ord int, dir string, id string, in_lang string, out_lang string, type string, language_name string, display_name string, rules array<struct<`in`:string,out:string,context_before:string,context_after:string,prevent_feeding:boolean>>, config string")
 
     def write(self, spark: SparkSession, path: str) -> None:
-        """Mappings and network as Parquet."""
+        """Mappings and network as Parquet; read() has them back without the files they came from."""
         self.mapping_rows(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/mappings")
         self.edge_rows(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/edges")
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Registry:
+        """What write() has written, from wherever Spark reads: mappings in their order with all that a configuration says."""
+        entries = []
+        for r in spark.read.parquet(f"{path}/mappings").select("ord", "dir", "config").orderBy("ord").collect():
+            said = json.loads(r["config"])
+            if said.get("alignments") is not None:
+                said["alignments"] = [(w, [tuple(u) for u in units]) for w, units in said["alignments"]]
+            entries.append((r["dir"], Mapping(**said)))
+        return cls(entries)
+
     def write_network(self, path: str | Path) -> None:
         """The network as compressed JSON, the same bytes for the same network."""
         Path(path).write_bytes(gzip.compress(json.dumps(node_link_data(self.network), ensure_ascii=False).encode(), mtime=0))
