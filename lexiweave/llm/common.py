@@ -85,6 +85,12 @@ def forget(*frames: DataFrame | None) -> None:
                 fs.delete(where, True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file, if it is there."""
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
 def small(df: DataFrame) -> DataFrame:
     """df (stored, so cheap to read), broadcast if its rows take few bytes; else as it is, for a join that shuffles."""
     size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 32).alias("b")).head()["b"] or 0
