@@ -48,14 +48,62 @@ def test_store_keeps_a_chunk_once(spark, tmp_path):
     assert chunks.count() == chunks.select("digest").distinct().count() < 40
 
 
-def test_store_notices_damage(spark, tmp_path):
+def test_documents_are_put_together_again(spark, library, tmp_path):
     path = f"file://{tmp_path}/s"
-    tokenstore.write(frame(spark, ["some words here"]), path)
-    bad = tokenstore._kind(spark, path, "chunk").selectExpr("'chunk' kind", "digest", "n_ids", "cast(reverse(ids) as binary) ids", "cast(null as long) doc_id", "cast(null as long) row", "cast(null as array<binary>) digests", "cast(null as binary) root")
-    bad = spark.createDataFrame(bad.collect(), bad.schema)  # read before its files go
-    bad.write.mode("overwrite").parquet(f"{path}/data/kind=chunk")
-    with pytest.raises(Exception, match="does not match its digest"):
-        tokenstore.read(spark, path).collect()
+    tokenstore.write(frame(spark, TEXTS), path)
+    rows = {r.doc_id: r for r in tokenstore.documents(spark, path).collect()}
+    said = {r.doc_id: r for r in tokenstore.read(spark, path).collect()}
+    for i, t in enumerate(TEXTS):
+        assert rows[i].ids == ids_of(library, t) + [2] and rows[i].start == said[i].start and crc(rows[i].ids) == said[i].ids_crc32
+    recipes = spark.read.parquet(f"{path}/recipes").orderBy("part", "start").collect()
+    assert [r.doc_id for r in recipes] == list(range(len(TEXTS)))
+
+
+@pytest.fixture(scope="module")
+def whole_store(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("store")
+    tokenstore.write(frame(spark, [f"text number {k} " * (30 * k + 1) for k in range(12)]).repartition(6), f"file://{folder}/s")
+    return folder / "s"
+
+
+def _edit(folder, change, name=""):
+    """Rewrites the Parquet file whose rows `change` takes, as pandas rows."""
+    import pyarrow.parquet as pq
+
+    files = [f for f in sorted((folder / name).rglob("*.parquet")) if pq.read_metadata(f).num_rows]
+    table = pq.ParquetFile(files[0]).read()
+    pq.write_table(type(table).from_pylist(change(table.to_pylist()), schema=table.schema), files[0])
+    for f in files[0].parent.glob(".*.crc"):
+        f.unlink()
+
+
+def _lose(folder, name):
+    import pyarrow.parquet as pq
+
+    next(f for f in sorted((folder / name).rglob("*.parquet")) if pq.read_metadata(f).num_rows).unlink()
+
+
+DAMAGE = {
+    "manifest lost": lambda s: __import__("shutil").rmtree(s / "manifest"),
+    "manifest edited": lambda s: _edit(s, lambda rows: [r | {"n_ids": r["n_ids"] + 1} if r["part"] == 0 else r for r in rows], "manifest"),
+    "recipe file lost": lambda s: _lose(s, "recipes"),
+    "recipe moved": lambda s: _edit(s, lambda rows: [r | {"start": r["start"] + 1} for r in rows], "recipes"),
+    "recipe edited": lambda s: _edit(s, lambda rows: [r | {"digests": [*r["digests"][:-1], b"x" * 20]} for r in rows], "recipes"),
+    "recipes swapped": lambda s: _edit(s, lambda rows: [r | {"doc_id": -r["doc_id"] - 1} for r in rows], "recipes"),
+    "chunk file lost": lambda s: _lose(s, "data"),
+    "chunk edited": lambda s: _edit(s, lambda rows: [r | {"ids": r["ids"][::-1]} for r in rows], "data"),
+}
+
+
+@pytest.mark.parametrize("damage", DAMAGE)
+def test_store_notices_damage(spark, whole_store, tmp_path, damage):
+    import shutil
+
+    shutil.copytree(whole_store, tmp_path / "s")
+    assert damage != "manifest lost" or len(tokenstore.read(spark, f"file://{tmp_path}/s").collect()) == 12
+    DAMAGE[damage](tmp_path / "s")
+    with pytest.raises(Exception, match="DamagedStore|does not match|do not match|missing|PATH_NOT_FOUND|another id"):
+        tokenstore.read(spark, f"file://{tmp_path}/s").collect()
 
 
 def test_empty_tables(spark):
@@ -100,19 +148,69 @@ def sequential_best_fit(lengths, capacity):
     return len(gaps)
 
 
-def test_plan_is_as_good_as_sequential_best_fit():
-    rng = np.random.default_rng(1)
-    for capacity in (10, 100, 1024):
-        lengths = rng.integers(1, capacity + 1, 700).tolist() + [capacity // 3] * 300
-        counts = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)]))
-        runs = sorted(packing.plan(counts, capacity))
-        used = set()
-        for (length, rank, first, offset), after in zip(runs, [*runs[1:], None]):
-            to = after[1] if after and after[0] == length else counts[length]
-            for k in range(to - rank):
-                used.update((first + k, offset + x) for x in range(length))
-        assert len(used) == sum(lengths)
-        assert len({s for s, _ in used}) == sequential_best_fit(lengths, capacity)
+def check_places(rows, capacity):
+    """rows: (length, sequence, offset). Sequences are gapless from 0 and no longer than the capacity; how many there are."""
+    ends = {}
+    for length, sequence, offset in sorted(rows, key=lambda r: (r[1], r[2])):
+        assert offset == ends.get(sequence, 0)
+        ends[sequence] = offset + length
+    assert max(ends.values(), default=0) <= capacity
+    return len(ends)
+
+
+@pytest.mark.parametrize("capacity, ranges", [(10, 300), (100, 200_000), (1024, 150)])
+def test_packing_is_as_good_as_sequential_best_fit(spark, monkeypatch, capacity, ranges):
+    monkeypatch.setattr(packing, "RANGE_ROWS", ranges)
+    rng = np.random.default_rng(capacity)
+    lengths = rng.integers(1, capacity + 1, 500).tolist() + [capacity // 3] * 200 + rng.integers(1, capacity // 5 + 1, 150).tolist()
+    df = spark.createDataFrame([(n, k, "x") for k, n in enumerate(lengths)], "length long, id int, _id string").repartition(4)
+    rows = packing.pack(df, capacity=capacity).collect()
+    assert sorted((r.id, r.length, r._id) for r in rows) == [(k, n, "x") for k, n in enumerate(lengths)]
+    made = check_places([(r.length, r.sequence_id, r.offset) for r in rows], capacity)
+    assert made <= 1.01 * sequential_best_fit(lengths, capacity) + 1
+
+
+def test_sweep_is_best_fit():
+    rng = np.random.default_rng(2)
+    for k in range(200):
+        gaps, docs = (rng.integers(1, 21, int(rng.integers(0, 15))).tolist() for _ in range(2))
+        docs.sort(reverse=True)
+        where, after = packing.swept(docs, gaps, 20, k % 2 == 0)
+        rest = sorted(gaps)
+        for d, (gap, room) in zip(docs, where):
+            fit = next((g for g in rest if g >= d), None)
+            if fit is not None:
+                rest.remove(fit)
+            elif k % 2 == 0:
+                fit = 20
+            assert room == (fit or 0) and (gap >= 0) == (fit is not None)
+            if fit is not None:
+                rest.append(fit - d)
+                rest.sort()
+        assert sorted(after) == sorted(rest) and len(after) >= len(gaps)
+
+
+def test_what_ranges_leave_meets_by_rank():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        left = [(p, int(rng.integers(0, 5)), int(rng.integers(0, 5))) for p in range(6)]
+        stack, want = [], []
+        for p, slots, docs in left:
+            want += [((p, d), stack.pop()) for d in range(docs) if stack]
+            stack += [(p, s) for s in range(slots)]
+        pairs = {1: {}, 0: {}}
+        for kind, part, a, b, first in packing.carried(left):
+            for nth in range(a, b):
+                pairs[kind][first + (nth - a if kind else b - 1 - nth)] = (part, nth)
+        assert sorted((pairs[1][k], pairs[0][k]) for k in pairs[1]) == sorted(want)
+
+
+def test_lengths_out_of_bounds_and_names(spark):
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(0,), (3,)], "length long"), capacity=4)
+    named = spark.createDataFrame([(3, 7, 8, "a"), (2, 7, 8, "b")], "length long, sequence_id long, offset long, seq string")
+    got = packing.pack(named, capacity=5)
+    assert got.columns == ["length", "seq", "sequence_id", "offset"] and check_places([(r.length, r.sequence_id, r.offset) for r in got.collect()], 5) == 1
 
 
 def test_many_new_pieces_at_once(library):
