@@ -1,33 +1,38 @@
 """Chat formatting: roles of transcript lines by a hidden Markov model, and canonical rendering of turns.
 
 A state is a role and whether a line begins a turn or goes on with one. A line is observed as the role that a speaker marker at its
-start names (none, or a name that is no role), whether it is blank, whether it ends in a question mark, and how it starts (list, code,
-quotation, plain). Start, transition and emission probabilities are counted over all labelled turns, in Spark; what is
-gathered are the counts, whose number is fixed. The Viterbi path then says where turns begin and whose they are.
-
-Long conversations are cut into blocks of turns. In max-plus arithmetic a block of lines is one matrix over states; the matrices
-of a conversation are chained from its start, which gives the states at the blocks' borders, and then blocks are decoded on
-their own. So no task holds more text than a block.
+start names (none, or a name that is no role), whether it is blank, whether it ends in a question mark, how it starts (list, code,
+quotation, plain), and, as a second observation, what its first word is (one of WORDS hashes). Start, transition and emission probabilities
+are counted over all labelled turns, in Spark, each as it is written with a marker and, at a share UNMARKED of the weight, without
+one, so that lines without markers are no surprise; what is gathered are the counts, whose number is fixed. The Viterbi path then says
+where turns begin and whose they are. `parse` does so for a transcript as it is, `parse_transcripts` for a column of them.
+
+Turns are range-sorted by conversation and place, and cut into blocks of BLOCK turns at most, whatever ties there are. In max-plus
+arithmetic a block of lines is one matrix over states; the matrices of a conversation are chained from its start, which gives the
+states at the blocks' borders, and then blocks are decoded on their own. So no task holds more text than a block.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, bounded_batches, stored
+from .common import bounded_batches, partitions, stored, trimmed
 
 #: Canonical roles, other names for them, and how transcripts mark a speaker.
 ROLES = ("system", "user", "assistant", "tool")
 ALIASES = {"human": "user", "customer": "user", "question": "user", "q": "user", "prompter": "user", "bot": "assistant", "ai": "assistant", "gpt": "assistant", "model": "assistant", "agent": "assistant", "answer": "assistant", "a": "assistant", "function": "tool", "observation": "tool", "instruction": "system", "developer": "system"}
 STYLES = ("{}: ", "### {}:\n", "<|{}|>\n", "[{}] ", "**{}:** ", "{}> ")
 _MARKER = re.compile(r"^\s{0,3}(?:#{1,6}\s*([A-Za-z]{1,20})\s*:?\s*$|<\|(?:im_start\|>\s*)?([a-z]{1,20})\|?>?\s?|\[([A-Za-z]{1,20})\]:?\s|\*\*([A-Za-z]{1,20}):?\*\*:?\s?|([A-Za-z]{1,20})\s?[:>](?:\s|$))")
-#: Turns of a block.
-BLOCK = 256
+#: Turns of a block, hashes of first words, and the weight of a turn without its marker next to one with it.
+BLOCK, WORDS, UNMARKED = 256, 64, 0.1
+#: Parts of conversations: a part's roles are learned from the others.
+FOLDS = 2
 BEGINS, GOES_ON, START = 0, len(ROLES), 2 * len(ROLES)
 STATES = START + 1
 MARKERS = len(ROLES) + 2
@@ -58,6 +63,12 @@ def symbol(line: str) -> int:
     return ((named * 2 + (not plain)) * 2 + plain.endswith("?")) * 4 + start
 
 
+def word(line: str) -> int:
+    """A hash of a line's first word, without its marker; 0 where there is none."""
+    first = marker(line)[1].split(None, 1)
+    return 1 + zlib.crc32(first[0].lower().encode()) % (WORDS - 1) if first else 0
+
+
 def as_lines(role: str | None, text: str | None, style: int) -> list[str]:
     """A turn as a transcript has it: the marker before its text; none where the role is not known."""
     name = (role or "").strip()
@@ -66,20 +77,18 @@ def as_lines(role: str | None, text: str | None, style: int) -> list[str]:
 
 
 def _style(conv) -> int:
-    import zlib
-
     return zlib.crc32(str(conv).encode())
 
 
 class Model:
-    """Log probabilities: moves between states, and symbols in states."""
+    """Log probabilities: moves between states, and symbols and first words in states."""
 
-    def __init__(self, moves: np.ndarray, emits: np.ndarray):
-        self.moves, self.emits = moves, emits
+    def __init__(self, moves: np.ndarray, emits: np.ndarray, words: np.ndarray):
+        self.moves, self.emits, self.words = moves, emits, words
 
     @classmethod
-    def counted(cls, first: dict, follow: dict, inside: dict, emits: dict) -> Model:
-        """From counts: roles of first turns, pairs of roles, (role, further lines) and (state, symbol); one is added to all that can be."""
+    def counted(cls, first: dict, follow: dict, inside: dict, emits: dict, words: dict | None = None) -> Model:
+        """From counts: roles of first turns, pairs of roles, (role, further lines), (state, symbol) and (state, word); one is added to all that can be."""
         n = len(ROLES)
         moves = np.full((STATES, STATES), -np.inf)
         start = np.array([first.get(r, 0) + 1.0 for r in range(n)])
@@ -100,17 +109,24 @@ class Model:
             table[BEGINS + r].reshape(MARKERS, -1)[0] += 0.05
             table[GOES_ON + r].reshape(MARKERS, -1)[0] += 1.0
             table[GOES_ON + r].reshape(MARKERS, -1)[MARKERS - 1] += 0.5
-        return cls(moves, np.log(table / table.sum(axis=1, keepdims=True)))
+        said = np.full((STATES, WORDS), 1.0)
+        for (state, w), k in (words or {}).items():
+            said[state, w] += k
+        return cls(moves, np.log(table / table.sum(axis=1, keepdims=True)), np.log(said / said.sum(axis=1, keepdims=True)))
+
+    def seen(self, observed: tuple[int, int]) -> np.ndarray:
+        """Log probability of a line's symbol and word in each state."""
+        return self.emits[:, observed[0]] + self.words[:, observed[1]]
 
-    def matrix(self, symbols: list[int]) -> np.ndarray:
+    def matrix(self, symbols: list[tuple[int, int]]) -> np.ndarray:
         """Best log probability of the lines from each state before them to each state at their end."""
         out = np.full((STATES, STATES), -np.inf)
         np.fill_diagonal(out, 0.0)
         for s in symbols:
-            out = (out[:, :, None] + self.moves[None]).max(axis=1) + self.emits[:, s]
+            out = (out[:, :, None] + self.moves[None]).max(axis=1) + self.seen(s)
         return out
 
-    def decode(self, symbols: list[int], before: int, after: int | None) -> list[int]:
+    def decode(self, symbols: list[tuple[int, int]], before: int, after: int | None) -> list[int]:
         """States of the lines on the best path from the state before them, to a last state if one is given; ties go to lower numbers."""
         best = np.full(STATES, -np.inf)
         best[before] = 0.0
@@ -118,7 +134,7 @@ class Model:
         for s in symbols:
             steps = best[:, None] + self.moves
             back.append(steps.argmax(axis=0))
-            best = steps.max(axis=0) + self.emits[:, s]
+            best = steps.max(axis=0) + self.seen(s)
         state = int(best.argmax()) if after is None else after
         path = []
         for b in reversed(back):
@@ -127,37 +143,155 @@ class Model:
         return path[::-1]
 
 
-def train(turns: DataFrame) -> Model:
-    """Counts over all turns with a known role, of conv_id, turn, role, text."""
+def observed(line: str) -> tuple[int, int]:
+    return symbol(line), word(line)
+
+
+def _fold(conv) -> Column:
+    return F.pmod(F.xxhash64(conv), F.lit(FOLDS)).cast("int")
+
+
+def _counts(ordered: DataFrame) -> list:
+    """Rows (fold, kind, a, b, c, n) of all that models are made of, from the turns in order; their number is bounded."""
 
     def lines(batches):
         for batch in batches:
-            table: dict[tuple[int, int, int], int] = {}
-            for conv, role, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            table: dict[tuple, int] = {}
+
+            def add(*key):
+                table[key] = table.get(key, 0) + 1
+
+            for conv, role, text, fold, before in zip(*(c.to_pylist() for c in batch.columns)):
                 r = canonical(role)
+                if before is not None and r >= 0:
+                    add(fold, "turn", before, r, 0)
                 if r < 0:
                     continue
                 for k, line in enumerate(as_lines(role, text, _style(conv))):
-                    key = (r, int(k > 0), symbol(line))
-                    table[key] = table.get(key, 0) + 1
+                    add(fold, "symbol", r, int(k > 0), symbol(line))
+                    add(fold, "word", r, int(k > 0), word(line))
+                add(fold, "plain", r, 0, symbol((text or "").split("\n", 1)[0]))
             rows = [(*k, n) for k, n in table.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, (pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["role", "more", "symbol", "n"])
-
-    # At most roles * 2 * SYMBOLS rows, and roles * roles.
-    counts = turns.select(F.col("conv_id").cast("string").alias("conv_id"), "role", "text").mapInArrow(lines, "role int, more int, symbol int, n long").groupBy("role", "more", "symbol").agg(F.sum("n").alias("n")).collect()
-    name = F.lower(F.trim("role"))
-    number = F.coalesce(*[F.when(name == other, F.lit(k)) for k, r in enumerate(ROLES) for other in [r, *(a for a, x in ALIASES.items() if x == r)]])
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = turns.select("conv_id", "turn", number.alias("r")).select("r", F.lag("r").over(w).alias("q"), F.row_number().over(w).alias("k")).where("r is not null")
-    pairs = pairs.groupBy("q", "r", (F.col("k") == 1).alias("first")).agg(F.count("*").alias("n")).collect()
-    emits, inside = {}, {}
+            types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, types)], names=["fold", "kind", "a", "b", "c", "n"])
+
+    rows = ordered.select("conv_id", "role", "text", _fold("conv_id").alias("fold"), "before")
+    return rows.mapInArrow(lines, "fold int, kind string, a int, b int, c int, n long").groupBy("fold", "kind", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
+
+
+def _model(counts: list) -> Model:
+    first, follow, inside, emits, words = {}, {}, {}, {}, {}
+
+    def add(table, key, n):
+        table[key] = table.get(key, 0) + n
+
     for c in counts:
-        emits[(GOES_ON if c["more"] else BEGINS) + c["role"], c["symbol"]] = c["n"]
-        a, b = inside.get(c["role"], (0, 0))
-        inside[c["role"]] = (a, b + c["n"]) if c["more"] else (a + c["n"], b)
-    first = {p["r"]: p["n"] for p in pairs if p["first"]}
-    follow = {(p["q"], p["r"]): p["n"] for p in pairs if not p["first"] and p["q"] is not None}
-    return Model.counted(first, follow, inside, emits)
+        a, b, n = c["a"], c["b"], c["n"]
+        state = (GOES_ON if b else BEGINS) + a
+        if c["kind"] == "turn" and a == FIRST:
+            add(first, b, n)
+        elif c["kind"] == "turn" and a >= 0:
+            add(follow, (a, b), n)
+        elif c["kind"] == "symbol":
+            add(emits, (state, c["c"]), n)
+            turns, more = inside.get(a, (0, 0))
+            inside[a] = (turns, more + n) if b else (turns + n, more)
+        elif c["kind"] == "plain":
+            add(emits, (BEGINS + a, c["c"]), UNMARKED * n)
+        elif c["kind"] == "word":
+            add(words, (state, c["c"]), n)
+    return Model.counted(first, follow, inside, emits, words)
+
+
+#: What stands for the role before a conversation's first turn, and for one that is not known.
+FIRST, UNKNOWN = -1, -2
+ORDERED = "conv_id string, turn long, role string, text string, block long, before int"
+
+
+def _ordered(turns: DataFrame, n: int) -> DataFrame:
+    """Turns in order, with the block of each and the number of the role before it (FIRST, UNKNOWN, or null where a range begins)."""
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        block, held, last, role_before = TaskContext.get().partitionId() << 32, 0, None, None
+        begun = False
+        for batch in batches:
+            blocks, befores = [], []
+            for conv, role in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                new = not begun or conv is None or conv != last
+                if begun and (new or held >= BLOCK):
+                    block, held = block + 1, 0
+                # whether a range goes on with the conversation before it is seen afterwards
+                befores.append(None if not begun and conv is not None else FIRST if new else role_before)
+                begun, last, held = True, conv, held + 1
+                role_before = canonical(role) if canonical(role) >= 0 else UNKNOWN
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blocks, pa.int64()), pa.array(befores, pa.int32())], names=[c.split()[0] for c in ORDERED.split(", ")])
+
+    order = ["conv_id", "turn", "role", "text", "_at"]
+    ranged = turns.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    out = stored(ranged.drop("_at").mapInArrow(number, ORDERED), "turns", compact=True)
+    # the first and last turn of each range: at most two rows for each
+    part = F.shiftrightunsigned("block", 32)
+    edges = out.groupBy(part.alias("part")).agg(F.max_by(F.struct("conv_id", "role"), F.struct("block", "turn", "role", "text")).alias("last"), F.max(F.when(F.col("before").isNull(), F.col("conv_id"))).alias("first")).orderBy("part").collect()
+    known, previous = [], None
+    for e in edges:
+        goes_on = previous is not None and e["first"] is not None and previous["conv_id"] == e["first"]
+        known.append((e["part"], (canonical(previous["role"]) if canonical(previous["role"]) >= 0 else UNKNOWN) if goes_on else FIRST))
+        previous = e["last"]
+    if not known:
+        return out
+    fixed = F.broadcast(turns.sparkSession.createDataFrame(known, "part long, _before int"))
+    return out.withColumn("part", part.cast("long")).join(fixed, "part").withColumn("before", F.coalesce("before", "_before")).select(*[c.split()[0] for c in ORDERED.split(", ")])
+
+
+def train(turns: DataFrame) -> Model:
+    """Counts over all turns with a known role, of conv_id, turn, role, text."""
+    return _model(_counts(_ordered(_plain(turns), partitions(turns))))
+
+
+def _plain(turns: DataFrame) -> DataFrame:
+    return turns.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+
+
+def parse(transcript: str | None, model: Model | None = None) -> list[tuple[str, str]]:
+    """(role, text) of the turns of a transcript, markers taken off; without a model what markers say. An empty one has none."""
+    if not transcript:
+        return []
+    model = model or Model.counted({}, {}, {}, {})
+    lines, out = transcript.split("\n"), []
+    skip = False
+    for line, state in zip(lines, model.decode([observed(x) for x in lines], START, None)):
+        role = state % len(ROLES)
+        if state < GOES_ON or not out:
+            named, rest, alone = marker(line)
+            own = named - 1 == role
+            out.append([ROLES[role], [rest if own else line]])
+            skip = own and alone and not rest
+        elif skip:
+            out[-1][1], skip = [line], False
+        else:
+            out[-1][1].append(line)
+    return [(role, "\n".join(text)) for role, text in out]
+
+
+TURNS = "array<struct<role:string,text:string>>"
+
+
+def parse_transcripts(df: DataFrame, column: str, model: Model | None = None, into: str = "turns") -> DataFrame:
+    """Adds the turns (role, text) of a column of transcripts; null has null, an empty one none."""
+    from pyspark.sql.functions import arrow_udf
+
+    bounded_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @arrow_udf(TURNS)
+    def run(texts):
+        kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+        return pa.array([None if t is None else [{"role": r, "text": x} for r, x in parse(t, shared.value)] for t in texts.to_pylist()], kind)
+
+    return df.withColumn(into, run(F.col(column)))
 
 
 def render(lines: list[str], states: list[int], open_: bool = False) -> str:
@@ -190,39 +324,44 @@ def format_turns(turns: DataFrame, model: Model | None = None) -> DataFrame:
     """Turns (conv_id, turn, role, text) written as transcripts, parsed again, and rendered: a row for each row.
 
     role_pred is the role that the parser finds for the turn's first line, n_turns how many turns begin in its lines, rendered
-    what they make. A turn without a known role has no marker. Null text is empty; turns that tie come in the order of role
-    and text; rows without conv_id are one conversation.
+    what they make. Where no model is given each conversation is parsed by what the others' folds teach. A turn without a known role has no
+    marker. Null text is empty; null turn numbers come first, turns that tie come in the order of role and text; each row
+    without conv_id is a conversation of its own.
     """
     bounded_batches(turns.sparkSession)
     n = partitions(turns)
-    turns = turns.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    model = model or train(turns)
-    shared = turns.sparkSession.sparkContext.broadcast(model)
-    blocked = turns.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK).cast("long"))
-    dealt = lambda df: df.repartition(n, "conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
+    blocked = _ordered(_plain(turns), n)
+    if model is None:
+        counts = _counts(blocked)
+        models = [_model([c for c in counts if c["fold"] != k]) for k in range(FOLDS)]
+    else:
+        models = [model] * FOLDS
+    shared = turns.sparkSession.sparkContext.broadcast(models)
+    blocked = blocked.select("conv_id", "block", "turn", "role", "text", _fold("conv_id").alias("fold"))
+    dealt = lambda df: df.repartition(n, "block").sortWithinPartitions("block", "turn", "role", "text")
 
-    def groups(batches, keys):
+    def groups(batches, key_of):
         key, rows = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:keys] != key:
+                if key_of(row) != key:
                     if rows:
-                        yield key, rows
-                    key, rows = row[:keys], []
+                        yield rows
+                    key, rows = key_of(row), []
                 rows.append(row)
         if rows:
-            yield key, rows
+            yield rows
 
-    def symbols(rows):
-        return [[symbol(x) for x in as_lines(r[3], r[4], _style(r[0]))] for r in rows]
+    def seen(rows):
+        return [[observed(x) for x in as_lines(r[3], r[4], _style(r[0]))] for r in rows]
 
     def matrices(batches):
-        for (conv, block), rows in groups(batches, 2):
-            m = shared.value.matrix([s for x in symbols(rows) for s in x])
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.string()), pa.array([block], pa.int64()), pa.array([m.tobytes()])], names=["conv_id", "block", "m"])
+        for rows in groups(batches, lambda r: r[1]):
+            m = shared.value[rows[0][5]].matrix([s for x in seen(rows) for s in x])
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.string()), pa.array([rows[0][1]], pa.int64()), pa.array([m.tobytes()])], names=["conv_id", "block", "m"])
 
     def borders(batches):
-        for (conv,), rows in groups(batches, 1):
+        for rows in groups(batches, lambda r: r[0]):
             best = np.full(STATES, -np.inf)
             best[START] = 0.0
             back = []
@@ -234,13 +373,14 @@ def format_turns(turns: DataFrame, model: Model | None = None) -> DataFrame:
             for (_, block, _), b in zip(reversed(rows), reversed(back)):
                 out.append((block, int(b[state]), state))
                 state = int(b[state])
-            yield pa.RecordBatch.from_arrays([pa.array([conv] * len(out), pa.string()), *(pa.array(c, pa.int64()) for c in zip(*out))], names=["conv_id", "block", "before", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["block", "before", "after"])
 
     def decode(batches):
-        for (conv, _), rows in groups(batches, 2):
-            syms = symbols(rows)
-            before = START if rows[0][5] is None else rows[0][5]
-            states = shared.value.decode([s for x in syms for s in x], before, rows[0][6])
+        for rows in groups(batches, lambda r: r[1]):
+            conv = rows[0][0]
+            syms = seen(rows)
+            before = START if rows[0][6] is None else rows[0][6]
+            states = shared.value[rows[0][5]].decode([s for x in syms for s in x], before, rows[0][7])
             out, at = [], 0
             for r, x in zip(rows, syms):
                 own = states[at : at + len(x)]
@@ -249,14 +389,13 @@ def format_turns(turns: DataFrame, model: Model | None = None) -> DataFrame:
                 out.append((conv, r[2], r[3], ROLES[own[0] % len(ROLES)], begins, render(as_lines(r[3], r[4], _style(conv)), own)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))], names=["conv_id", "turn", "role", "role_pred", "n_turns", "rendered"])
 
-    # Conversations of one block need no borders.
-    long_ = stored(blocked.groupBy("conv_id").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b").select("conv_id"), "long")
-    several = blocked.join(long_, blocked["conv_id"].eqNullSafe(long_["conv_id"]), "left_semi") if not long_.isEmpty() else None
-    if several is None:
-        ready = blocked.select("conv_id", "block", "turn", "role", "text", F.lit(None).cast("long").alias("before"), F.lit(None).cast("long").alias("after"))
+    # Conversations of one block need no borders; of others there is a small matrix for each block.
+    long_ = stored(blocked.where("conv_id is not null").groupBy("conv_id").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b").select("conv_id"), "long")
+    if long_.isEmpty():
+        ready = blocked.select("*", F.lit(None).cast("long").alias("before"), F.lit(None).cast("long").alias("after"))
     else:
-        made = dealt(several).select("conv_id", "block", "turn", "role", "text").mapInArrow(matrices, "conv_id string, block long, m binary")
-        known = stored(made.repartition(n, "conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(borders, "conv_id string, block long, before long, after long"), "borders")
-        known = known.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "before", "after")
-        ready = blocked.join(known, blocked["conv_id"].eqNullSafe(known["_c"]) & (F.col("block") == F.col("_b")), "left").select("conv_id", "block", "turn", "role", "text", "before", "after")
-    return dealt(ready).mapInArrow(decode, OUT)
+        several = blocked.join(long_, "conv_id", "left_semi").select(*blocked.columns)
+        made = dealt(several).mapInArrow(matrices, "conv_id string, block long, m binary")
+        known = stored(made.repartition(n, "conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(borders, "block long, before long, after long"), "borders")
+        ready = blocked.join(known, "block", "left").select(*blocked.columns, "before", "after")
+    return dealt(ready).mapInArrow(lambda batches: trimmed(decode(batches)), OUT)

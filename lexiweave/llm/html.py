@@ -26,10 +26,14 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption optgroup option select video audio canvas svg math object".split())
 CONTAINER = frozenset("article main section div td body blockquote center form".split())
 DROPPED = frozenset("script style noscript template iframe noembed noframes nav footer header aside form button select option optgroup textarea input label fieldset svg math canvas video audio object embed head title menu dialog".split())
+#: Tags that hold things, whose class or id may say what they are; a paragraph or a heading of such a name is text.
+HOLDERS = frozenset("div section aside ul ol dl table tbody tr td nav header footer form figure details center blockquote main p".split()) - {"p", "blockquote", "main"}
 #: Words of a class or id that say what is not the article.
 BOILERPLATE = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|comments?|commentlist|disqus|replies|reply|respond|cookies?|consent|notice|alert|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommended|pagination|pager|toolbar|tags|copyright|legal|disclaimer|gdpr|paywall|search)(?:$|[-_ ])"
 )
+#: Of these, words that say it of a paragraph or heading, too.
+NEVER = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|breadcrumbs?|cookies?|consent|subscribe|newsletter|popup|modal|gdpr|paywall)(?:$|[-_ ])")
 ARTICLE = re.compile(r"(?:^|[-_ ])(?:article|content|post|entry|story|main|body|text|maincontent|articlebody)(?:$|[-_ ])")
 #: Names such as has-sidebar tell of a neighbour.
 _BESIDE = re.compile(r"(?:^|[-_ ])(?:with|has|no|without)[-_][a-z0-9]+")
@@ -50,6 +54,12 @@ _CLOSES = {
 _CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "select", "svg", "math", "canvas", "video", "audio", "object"}
 
 
+def _inside_article(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 class Node:
     __slots__ = ("tag", "parent", "step", "items", "dropped", "favoured", "text", "link")
 
@@ -68,7 +78,10 @@ class Node:
             self.step, role = tag, ""
         own = tag in ("article", "main", "body", "html")
         names = _BESIDE.sub(" ", names)
-        self.dropped = bool(tag in DROPPED or hidden or not own and (role in ROLES or names and BOILERPLATE.search(names)))
+        # an article's own header has its title; its menus and notices are dropped inside
+        titled = tag == "header" and _inside_article(parent)
+        named = names and (BOILERPLATE if tag in HOLDERS else NEVER).search(names)
+        self.dropped = bool(tag in DROPPED and not titled or hidden or not own and not titled and (role in ROLES or named))
         self.favoured = bool(tag in ("article", "main") or role in ("main", "article") or names and ARTICLE.search(names))
 
     @property
@@ -237,7 +250,8 @@ def extract(source: str | None, path: str | None = None) -> str:
     text = [b for x in nodes for b in blocks(x)]
     if not text:
         node, _ = best(root)
-        text = blocks(node) if node is not None else []
+        # an article may lie in several containers alike
+        text = [b for x in find(root, node.path) for b in blocks(x)] if node is not None else []
     return "\n\n".join(text)
 
 

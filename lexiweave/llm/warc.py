@@ -1,4 +1,4 @@
-"""WARC 1.0 archives: writing with revisit records, and reading by boundary-chain verification.
+"""WARC archives (1.0 and 1.1, plain or gzip): writing with revisit records, and reading by boundary-chain verification.
 
 Writing and reading are Spark's own text source with a record separator, so archives lie wherever Spark can write, commit
 like any other output and are read in splits. A file is cut at each occurrence of the record magic, also of one inside a
@@ -8,7 +8,8 @@ offset where its successor must begin. From the start of the file only the chain
 * candidates whose successor is the next candidate form runs, within which nothing is in doubt;
 * pointers from run to run are jumped, doubling their reach each round, and only what is reachable from offset 0 stays.
 
-So magic inside payloads falls away, and those payloads are put together again from their pieces.
+So magic inside payloads falls away, and those payloads are put together again from their pieces. Pieces are stored once, with their
+numbers, so that a lost executor cannot number them anew between two passes.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import new_path, small, stored
 
-MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
+#: What stands before the last digit of a record's version, and how a version goes on.
+MAGIC, VERSION, END = "WARC/1.", "0\r\n", "\r\n\r\n"
 #: Payloads shorter than this are always written whole.
 REVISIT_BYTES = 1000
-#: Rows of the list of repeated payloads up to which it is broadcast (about 100 bytes each).
-BROADCAST_ROWS = 200_000
+#: Tasks that rows of one digest are dealt over where the list of repeated payloads is too long to broadcast.
+SALTS = 64
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -54,17 +56,21 @@ def write(pages: DataFrame, path: str, *, files: int | None = None) -> None:
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     long_ = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("refers"), F.count("*").alias("n"))
     repeated = stored(long_.where("n > 1 and refers is not null").drop("n"), "repeated")
-    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    out = rows.join(F.broadcast(repeated) if few else repeated, ["digest", "size"], "left")
+    few = small(repeated)
+    if few is repeated:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+        out = rows.join(repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "size", "salt"], "left")
+    else:
+        out = rows.join(few, ["digest", "size"], "left")
     refers = F.when(F.col("page_id") != F.col("refers"), F.col("refers"))
     kind = F.when(refers.isNotNull(), F.lit("revisit")).otherwise(F.lit("response"))
-    record = F.concat(F.lit(MAGIC), _headers(kind, F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), refers), F.when(refers.isNotNull(), F.lit("")).otherwise(F.col("payload")))
+    record = F.concat(F.lit(MAGIC + VERSION), _headers(kind, F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), refers), F.when(refers.isNotNull(), F.lit("")).otherwise(F.col("payload")))
     text = out.select(record.alias("value"))
     (text.repartition(files) if files else text).write.option("lineSep", END).text(path)
 
 
 def _field(header: Column, name: str, pattern: str) -> Column:
-    found = F.regexp_extract(header, rf"(?:^|\r\n){name}: {pattern}(?:\r\n|$)", 1)
+    found = F.regexp_extract(header, rf"(?i)(?:^|\r\n){name}:[ \t]*{pattern}[ \t]*(?:\r\n|$)", 1)
     return F.when(found != "", found)
 
 
@@ -72,14 +78,14 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """What lies between occurrences of the magic: file, offset (of the magic before it), value."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
-    return raw
+    return stored(raw, "pieces", compact=True)
 
 
 def boundaries(pieces: DataFrame) -> DataFrame:
     """Narrow rows of all pieces: file, nth, offset, next piece's offset, and for candidates the header's length and successor."""
     header = F.substring_index("value", END, 1)
     head = F.octet_length(header) + len(END)
-    ends = F.octet_length("value") >= head
+    ends = (F.octet_length("value") >= head) & F.col("value").rlike(r"^[0-9]\r\n")
     length = F.when(ends, _field(header, "Content-Length", r"(\d{1,18})")).cast("long")
     rows = pieces.select("file", "block", "nth", F.octet_length("value").cast("long").alias("n"), F.when(length.isNotNull(), head.cast("long")).alias("head"), length.alias("length"))
     w = Window.partitionBy("file").orderBy("block", "nth")
@@ -114,9 +120,11 @@ def reachable(candidates: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records under path: page_id, uri, payload_bytes, payload_digest (hex), record_type, refers_to, payload (null for a revisit).
+    """Records under path: page_id, record_id, uri, payload_bytes, payload_digest (hex), record_type, refers_to, payload (null but for responses).
 
-    A response's length and digest are those of the payload as read; if they differ from its header, reading fails.
+    page_id and refers_to are those of records written here, else null. Header names may be in any case, digests in base32. A payload of
+    application/http is what follows the HTTP headers. A response's length and digest are those of the payload as read; if they differ from its header,
+    reading fails.
     """
     pieces = _pieces(spark, path)
     marks = stored(boundaries(pieces), "boundaries")
@@ -128,38 +136,54 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     kept = stored(held.where("own is not null").select("nth", "file", "own", "offset", "head", "length", (F.col("own") != F.col("offset")).alias("inner"), (F.col("true") & (F.col("successor") <= F.col("to"))).alias("whole")), "kept")
     # All pieces but a few are whole records; the others are kept from among them, and joined where payloads contain the magic.
     odd = stored(marks.select("nth").join(kept.where("whole").select("nth"), "nth", "left_anti"), "odd")
-    odd = F.broadcast(odd) if odd.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else odd
-    whole = pieces.select("nth", "value").join(odd, "nth", "left_anti").select("value")
+    whole = pieces.select("nth", "value").join(small(odd), "nth", "left_anti").select("value")
     torn_parts = kept.where("inner or not whole").select("nth", "file", "own", "offset")
     torn_parts = torn_parts.join(kept.where("not inner and not whole").select("file", "own"), ["file", "own"], "left_semi")
-    torn_parts = stored(torn_parts, "torn")
-    torn_parts = F.broadcast(torn_parts) if torn_parts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else torn_parts
+    torn_parts = small(stored(torn_parts, "torn"))
     torn = pieces.select("nth", "value").join(torn_parts, "nth").groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("all"))
     torn = torn.select(F.array_join(F.transform("all", lambda x: x["value"]), MAGIC).alias("value"))
     return _records(whole.unionByName(torn))
 
 
+def _told(header: Column) -> Column:
+    """The SHA-1 that a header names, in hex; null where it names none, or one of another kind."""
+    hexed = F.lower(_field(header, "WARC-Payload-Digest", r"sha1:([0-9a-f]{40})"))
+    packed = F.upper(_field(header, "WARC-Payload-Digest", r"sha1:([a-z2-7]{32})"))
+    # fixed values: digits of base32, and those that conv() knows
+    digits = F.translate(packed, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV")
+    parts = [F.lpad(F.lower(F.conv(F.substring(digits, 8 * k + 1, 8), 32, 16)), 10, "0") for k in range(4)]
+    return F.coalesce(hexed, F.concat(*parts))
+
+
 def _records(values: DataFrame) -> DataFrame:
     header = F.substring_index("value", END, 1)
     head = F.octet_length(header) + len(END)
     rows = values.select("value", header.alias("header"), head.alias("head"))
     size = _field(F.col("header"), "Content-Length", r"(\d+)").cast("int")
-    kind = _field(F.col("header"), "WARC-Type", r"(\w+)")
-    payload = F.substring(F.col("value").cast("binary"), F.col("head") + 1, size)
-    rows = rows.select("header", kind.alias("record_type"), payload.alias("body"), size.alias("size"))
+    block = F.substring(F.col("value").cast("binary"), F.col("head") + 1, size)
+    rows = rows.select("header", _field(F.col("header"), "WARC-Type", r"(\w+)").alias("record_type"), block.alias("block"), size.alias("size"))
+    whole = F.octet_length("block") == F.col("size")
+    http = F.coalesce(_field(F.col("header"), "Content-Type", r"(application/http)[^\r]*").isNotNull(), F.lit(False))
+    after = F.octet_length(F.substring_index(F.col("block").cast("string"), END, 1)) + len(END) + 1
+    rows = rows.select("header", "record_type", whole.alias("whole"), F.when(http, F.substring("block", after, F.col("size"))).otherwise(F.col("block")).alias("body"), _told(F.col("header")).alias("told"))
     rows = rows.withColumn("digest", F.sha1("body"))
-    told = _field(F.col("header"), "WARC-Payload-Digest", r"sha1:([0-9a-f]{40})")
     response = F.col("record_type") == "response"
-    checked = F.when(~response | ((F.col("digest") == told) & (F.octet_length("body") == F.col("size"))), told).otherwise(F.raise_error(F.lit("a payload does not match its digest")).cast("string"))
+    right = ~response | (F.col("whole") & (F.col("told").isNull() | (F.col("digest") == F.col("told"))))
+    checked = F.when(right, F.when(response, F.col("digest")).otherwise(F.col("told"))).otherwise(F.raise_error(F.lit("a payload does not match its digest")).cast("string"))
     urn = lambda name: _field(F.col("header"), name, r"<urn:page:(-?\d+)>").cast("long")
+    length = _field(F.col("header"), "WARC-Payload-Length", r"(\d+)").cast("long")
     return rows.select(
-        urn("WARC-Record-ID").alias("page_id"), _field(F.col("header"), "WARC-Target-URI", r"([^\r]*)").alias("uri"), _field(F.col("header"), "WARC-Payload-Length", r"(\d+)").cast("long").alias("payload_bytes"),
+        urn("WARC-Record-ID").alias("page_id"), _field(F.col("header"), "WARC-Record-ID", r"<?([^\r>]*)>?").alias("record_id"), _field(F.col("header"), "WARC-Target-URI", r"<?([^\r>]*)>?").alias("uri"),
+        F.coalesce(length, F.when(response, F.octet_length("body").cast("long"))).alias("payload_bytes"),
         checked.alias("payload_digest"), "record_type", urn("WARC-Refers-To").alias("refers_to"), F.when(response, F.col("body").cast("string")).alias("payload"),
-    )
+    )
 
 
 def archive(pages: DataFrame, *, path: str | None = None) -> DataFrame:
-    """Writes the archives and returns what reading them back says, without uri and payload."""
+    """Writes the archives and returns what reading them back says, without uri, record_id and payload: a record for each row.
+
+    Null payloads are empty; rows that share a page_id, or have none, have a record each (write() says which are responses). No rows: no records.
+    """
     path = path or new_path(pages.sparkSession, "warc")
     write(pages, path)
-    return read(pages.sparkSession, path).drop("uri", "payload")
+    return read(pages.sparkSession, path).drop("uri", "record_id", "payload")

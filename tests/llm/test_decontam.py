@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from lexiweave.llm import decontam
+from lexiweave.llm import common, decontam
 
 
 def cut(t):
@@ -58,7 +58,7 @@ def test_empty_tables(spark):
 
 def test_shuffled_joins_give_the_same(spark, monkeypatch):
     docs, items = [(1, "one two three four"), (2, "x two three y")], [(5, "two three")]
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     assert run(spark, docs, items) == brute(docs, items)
 
 
@@ -69,6 +69,21 @@ def test_proximity(spark):
 
 
 def test_clean(spark):
-    docs = spark.createDataFrame([(1, "one two three"), (2, "other"), (None, "one two three")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, "one two")], "item_id long, text string")
-    assert sorted(str(r.doc_id) for r in decontam.clean(docs, items).collect()) == ["2", "None"]
+    filler = [f"f{k}" for k in range(1200)]
+    item = " ".join(f"b{k}" for k in range(30))
+    passage = item.split()[9:22]  # 13 words of the item
+    long_ = [" ".join(filler[:700] + passage + filler[700:]), " ".join(filler[:700] + passage[:12] + filler[700:])]
+    docs = [(1, long_[0]), (2, long_[1]), (3, "one two three"), (4, "one two " + " ".join(filler[:60])), (5, "other"), (6, None), (7, "")]
+    docs += [(None, long_[0]), (None, "other"), (5, long_[0]), (5, "other"), (8, "x " * 30_000), (9, "x " * 30_000 + item)]
+    names = "doc_id long, text string, _id int, _t string, _d string, item string, words string, full string"
+    df = spark.createDataFrame([(*r, 1, "t", "d", "i", "w", "f") for r in docs], names).repartition(3)
+    items = spark.createDataFrame([(7, item), (8, "one two")], "item_id long, text string")
+    kept = decontam.clean(df, items)
+    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    windows = {tuple(cut(item)[s : s + 13]) for s in range(18)}
+    full = {(i, t) for i, t in docs if windows & {tuple(w[k : k + 13]) for w in [cut(t)] for k in range(len(w) - 12)}}
+    bad = {r[0] for r in brute([(k, t) for k, (_, t) in enumerate(docs)], [(7, item), (8, "one two")]) if r[5]}
+    assert kept.columns == df.columns
+    assert got == sorted((str(i), t or "") for k, (i, t) in enumerate(docs) if k not in bad and (i, t) not in full)
+    assert {("1", long_[0]), ("None", long_[0]), ("9", docs[-1][1]), ("3", "one two three")} & set(got) == set() and ("2", long_[1]) in got and got.count(("5", "other")) == 2
+    assert decontam.clean(df.limit(0), items).collect() == [] and decontam.clean(df, items.limit(0)).count() == len(docs)

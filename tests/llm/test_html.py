@@ -52,3 +52,34 @@ def test_shuffled_paths_give_the_same(spark, monkeypatch):
     expected = sorted(map(tuple, html.main_text(df).collect()))
     monkeypatch.setattr(html, "BROADCAST_HOSTS", 0)
     assert sorted(map(tuple, html.main_text(df).collect())) == expected
+
+
+def test_names_inside_an_article():
+    page = '<article><header><h1>The title</h1><nav>menu</nav></header><p>Body of it</p><p class="share">A paragraph that talks of shares</p><p class="ad">Buy</p><div class="share-buttons">share</div><h2 id="search">On search</h2><footer>by me</footer></article>'
+    assert html.extract(page) == "The title\n\nBody of it\n\nA paragraph that talks of shares\n\nOn search"
+    assert html.extract("<div class=c><p>one text</div><div class=c><p>two text more</div><div class=c><p>three text</div>") == "one text\n\ntwo text more\n\nthree text"
+
+
+def test_against_known_articles(spark):
+    """Pages made from known blocks in the templates of some hosts; boilerplate of every kind around and between them."""
+    rng = np.random.default_rng(7)
+    word = lambda n: " ".join(rng.choice("sea river stone light of the and & wind; é".split(), n))
+    escape = lambda x: x.replace("&", "&amp;")
+    around = ["<nav><a href=/>home page</a></nav>", "<div class='cookie-notice'>we use cookies</div>", "<aside>more of it</aside>", "<div id=sidebar><p>beside the text stands this</div>", "<form><label>name</label><input></form>", "<script>var a = '<p>x</p>';</script>", "<footer>(c) us</footer>", "<section class=comments><p>a comment that a reader wrote</section>", "<div class='ad-box ad'>buy</div>", "<!-- <p>gone -->"]
+    shells = [("<body><article>", "</article></body>"), ("<body><div class=wrap><main>", "</main></div>"), ("<html><body><div id=content-{k} class='post'>", "</div>"), ("<body><div class=story><div class=body>", "</div></div>")]
+    rows, want = [], {}
+    for k in range(80):
+        head, tail = shells[k % 4]
+        blocks = [word(int(rng.integers(8, 40))) for _ in range(int(rng.integers(2, 6)))]
+        kinds = rng.choice(["p", "h2", "li", "pre", "blockquote"], len(blocks))
+        inner = ""
+        for kind, b in zip(kinds, blocks):
+            inner += f"<ul><li>{escape(b)}</ul>" if kind == "li" else f"<{kind}>{escape(b)}</{kind}>"
+            if rng.integers(3) == 0:
+                inner += str(rng.choice(around))
+        page = "".join(rng.choice(around, 2)) + head.format(k=k) + inner + tail + "".join(rng.choice(around, 2))
+        rows.append((k, f"http://host{k % 4}.example/{k}", page))
+        want[k] = "\n\n".join(" ".join(b.split()) for b in blocks)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert np.mean([got[k] == want[k] for k in want]) == 1.0

@@ -2,25 +2,19 @@ import math
 
 import numpy as np
 
-from lexiweave.llm import topk
+from lexiweave.llm import common, topk
 
 
 def brute(rows, k):
-    good = {}
+    good = []
     for i, v in rows:
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            good.setdefault(i, set()).add(tuple(math.floor(256 * x) for x in v))
+            good.append((i, tuple(math.floor(256 * x) for x in v)))
     out = []
-    for q in good:
-        if q % 50:
-            continue
-        best = {}
-        for v in good[q]:
-            for i, us in good.items():
-                for u in us:
-                    if i != q and len(u) == len(v):
-                        best[i] = max(best.get(i, -(10**30)), sum(a * b for a, b in zip(u, v)))
-        out += [(q, r + 1, i, s) for r, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k])]
+    for q in sorted({i for i, _ in good if i % 50 == 0}):
+        v = min(u for i, u in good if i == q)
+        best = [(i, sum(a * b for a, b in zip(u, v))) for i, u in good if i != q and len(u) == len(v)]
+        out += [(q, r + 1, i, s) for r, (i, s) in enumerate(sorted(best, key=lambda x: (-x[1], x[0]))[:k])]
     return sorted(out)
 
 
@@ -47,8 +41,11 @@ def test_small_shards(spark, monkeypatch):
 
     rng = np.random.default_rng(9)
     rows = [(i, f32(np.round(rng.normal(0, 0.02, 4), 2))) for i in range(900)]
-    monkeypatch.setattr(m, "LEAF", 4)
+    rows += [(5000 + i % 7, f32(np.round(rng.normal(0, 0.1, 4), 2))) for i in range(60)] + [(6000 + i, [0.02] * 4) for i in range(400)]
+    monkeypatch.setattr(m, "SHARD", 90)
     assert run(spark, rows, k=7) == brute(rows, 7)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert run(spark, rows, k=3) == brute(rows, 3)
 
 
 def test_few_and_none(spark):
@@ -62,13 +59,25 @@ def test_tree_prunes_and_stays_exact():
     centres = rng.normal(0, 200, (20, 6))
     v = np.floor(np.concatenate([c + rng.normal(0, 3, (100, 6)) for c in centres]))
     tree = topk.Tree(np.arange(2000), v)
-    for q in range(0, 2000, 97):
-        s = (v @ v[q]).astype(int)
-        order = sorted((i for i in range(2000) if i != q), key=lambda i: (-s[i], i))[:5]
-        assert sorted(tree.best(v[q], q, 5, -np.inf), key=lambda x: (-x[0], x[1])) == [(int(s[i]), i) for i in order]
+    asked = np.arange(0, 2000, 97)
+    for known in (-np.inf, 1.0):
+        got = tree.best(asked, v[asked], 5, np.full(len(asked), known))
+        for q, (scores, ids) in zip(asked.tolist(), got):
+            s = (v @ v[q]).astype(int)
+            order = sorted((i for i in range(2000) if i != q and s[i] >= known), key=lambda i: (-s[i], i))[:5]
+            assert list(zip(scores.tolist(), ids.tolist())) == [(int(s[i]), i) for i in order]
+
+
+def test_bounds_and_cells():
+    rng = np.random.default_rng(2)
+    v, q = rng.normal(0, 1, (500, 5)), rng.normal(0, 1, (40, 5))
+    assert (topk.bounds(q, v.min(axis=0)[None], v.max(axis=0)[None])[:, 0] >= (q @ v.T).max(axis=1)).all()
+    cells = topk.cell_of(v, topk.planes(v, 8))
+    assert len(set(cells.tolist())) == 8 and np.bincount(cells).max() < 100
+    assert topk.planes(np.ones((9, 3)), 4) is None and (topk.cell_of(np.ones((9, 3)), None) == 1).all()
 
 
 def test_large_components():
     v = np.floor(np.array([[2.0**40, 1], [2.0**20, 3], [-(2.0**30), 5]]))
-    got = topk.Tree(np.arange(3), v).best(np.array([3.0, 2.0**35]), 9, 2, -np.inf)
-    assert sorted(got, reverse=True) == [(3 * 2**40 + 2**35, 0), (5 * 2**35 - 3 * 2**30, 2)]
+    ((scores, ids),) = topk.Tree(np.arange(3), v).best(np.array([9]), np.array([[3.0, 2.0**35]]), 2, np.array([-np.inf]))
+    assert list(zip(scores.tolist(), ids.tolist())) == [(3 * 2**40 + 2**35, 0), (5 * 2**35 - 3 * 2**30, 2)]
