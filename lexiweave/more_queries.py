@@ -191,8 +191,8 @@ def check_conversions(spark, sf_dir):
     return words.select("word", checks.outcome_ok(api.make_g2p("und", "eng-arpabet", tokenize=False), F.col("word"), ARPABET).alias("ok"))
 
 
-LETTERS = "a AA, b B, c CH, d D, e EY, f F, g G, h HH, i IY, j ZH, k K, l L, m M, n N, o OW, p P, q K, r D, s S, t T, u UW, v V, w W, x K, y Y, z Z"
-_SAID = "regexp_replace(replace(replace(replace(replace(lower(strip_accents(t)), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o'), '[^a-z]', '', 'g')"
+LETTERS = "a AA, b B, c CH, d D, e EY, f F, g G, h HH, i IY, j ZH, k K, l L, m M, n N, o OW, p P, q K, r D, s S, t T, u UW, v V, w W, x K, y Y, z Z, ə AH"
+_SAID = "regexp_replace(replace(replace(replace(replace(lower(strip_accents(t)), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o'), '[^a-zə]', '', 'g')"
 _SAID = f"replace({_SAID}, 'dj', 'JH ')"
 for _pair in LETTERS.split(", "):
     _SAID = f"replace({_SAID}, '{_pair[0]}', '{_pair[2:]} ')"
