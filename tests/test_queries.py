@@ -46,5 +46,5 @@ def test_arpabet_conversion_is_the_object_s(spark, data):
 
     from lexiweave import make_g2p
 
-    got = {r.doc_id: r.converted_sha256 for r in Q.convert_und_arpabet(spark, data[0]).collect()}
+    got = {r.doc_id: r.converted_sha256 for r in Q.QUERIES["convert_und_arpabet"](spark, data[0]).collect()}
     assert got == {i: hashlib.sha256(make_g2p("und", "eng-arpabet")(t).output_string.encode()).hexdigest() for i, t in enumerate(TEXTS)}
