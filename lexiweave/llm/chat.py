@@ -2,9 +2,9 @@
 
 A state is a role and whether a line begins a turn or goes on with one. A line is observed as the role that a speaker marker at its
 start names (none, or a name that is no role), whether it is blank, whether it ends in a question mark, how it starts (list, code,
-quotation, plain), and, as a second observation, what its first word is (one of WORDS hashes). Start, transition and emission probabilities
-are counted over all labelled turns, in Spark, each as it is written with a marker and, at a share UNMARKED of the weight, without
-one, so that lines without markers are no surprise; what is gathered are the counts, whose number is fixed. The Viterbi path then says
+quotation, plain), and in a transcript without any marker also as what its first word is (one of WORDS hashes). Start, transition and emission
+probabilities are counted over all labelled turns, in Spark, each as it is written with a marker and without one: transcripts with markers are
+decoded by the former, those without by the latter. What is gathered are the counts, whose number is fixed. The Viterbi path then says
 where turns begin and whose they are. `parse` does so for a transcript as it is, `parse_transcripts` for a column of them.
 
 Turns are range-sorted by conversation and place, and cut into blocks of BLOCK turns at most, whatever ties there are. In max-plus
@@ -29,8 +29,8 @@ ROLES = ("system", "user", "assistant", "tool")
 ALIASES = {"human": "user", "customer": "user", "question": "user", "q": "user", "prompter": "user", "bot": "assistant", "ai": "assistant", "gpt": "assistant", "model": "assistant", "agent": "assistant", "answer": "assistant", "a": "assistant", "function": "tool", "observation": "tool", "instruction": "system", "developer": "system"}
 STYLES = ("{}: ", "### {}:\n", "<|{}|>\n", "[{}] ", "**{}:** ", "{}> ")
 _MARKER = re.compile(r"^\s{0,3}(?:#{1,6}\s*([A-Za-z]{1,20})\s*:?\s*$|<\|(?:im_start\|>\s*)?([a-z]{1,20})\|?>?\s?|\[([A-Za-z]{1,20})\]:?\s|\*\*([A-Za-z]{1,20}):?\*\*:?\s?|([A-Za-z]{1,20})\s?[:>](?:\s|$))")
-#: Turns of a block, hashes of first words, and the weight of a turn without its marker next to one with it.
-BLOCK, WORDS, UNMARKED = 256, 64, 0.1
+#: Turns of a block, and hashes of first words.
+BLOCK, WORDS = 256, 64
 #: Parts of conversations: a part's roles are learned from the others.
 FOLDS = 2
 BEGINS, GOES_ON, START = 0, len(ROLES), 2 * len(ROLES)
@@ -81,14 +81,15 @@ def _style(conv) -> int:
 
 
 class Model:
-    """Log probabilities: moves between states, and symbols and first words in states."""
+    """Log probabilities: moves between states, and symbols (and first words, if they count) in states. bare: for transcripts without markers."""
 
-    def __init__(self, moves: np.ndarray, emits: np.ndarray, words: np.ndarray):
-        self.moves, self.emits, self.words = moves, emits, words
+    def __init__(self, moves: np.ndarray, emits: np.ndarray, words: np.ndarray | None = None, bare: Model | None = None):
+        self.moves, self.emits, self.words, self.bare = moves, emits, words, bare
 
     @classmethod
-    def counted(cls, first: dict, follow: dict, inside: dict, emits: dict, words: dict | None = None) -> Model:
-        """From counts: roles of first turns, pairs of roles, (role, further lines), (state, symbol) and (state, word); one is added to all that can be."""
+    def counted(cls, first: dict, follow: dict, inside: dict, emits: dict, words: dict | None = None, plain: dict | None = None) -> Model:
+        """From counts: roles of first turns, pairs of roles, (role, further lines), (state, symbol), (state, word), and (state, symbol) of
+        lines without their markers; something is added to all that can be."""
         n = len(ROLES)
         moves = np.full((STATES, STATES), -np.inf)
         start = np.array([first.get(r, 0) + 1.0 for r in range(n)])
@@ -112,11 +113,15 @@ class Model:
         said = np.full((STATES, WORDS), 1.0)
         for (state, w), k in (words or {}).items():
             said[state, w] += k
-        return cls(moves, np.log(table / table.sum(axis=1, keepdims=True)), np.log(said / said.sum(axis=1, keepdims=True)))
+        share = lambda x: np.log(x / x.sum(axis=1, keepdims=True))
+        alone = np.full((STATES, SYMBOLS), 0.02)
+        for (state, sym), k in (plain or {}).items():
+            alone[state, sym] += k
+        return cls(moves, share(table), None, cls(moves, share(alone), share(said)))
 
     def seen(self, observed: tuple[int, int]) -> np.ndarray:
-        """Log probability of a line's symbol and word in each state."""
-        return self.emits[:, observed[0]] + self.words[:, observed[1]]
+        """Log probability of a line's symbol, and of its word where that counts, in each state."""
+        return self.emits[:, observed[0]] if self.words is None else self.emits[:, observed[0]] + self.words[:, observed[1]]
 
     def matrix(self, symbols: list[tuple[int, int]]) -> np.ndarray:
         """Best log probability of the lines from each state before them to each state at their end."""
@@ -170,7 +175,8 @@ def _counts(ordered: DataFrame) -> list:
                 for k, line in enumerate(as_lines(role, text, _style(conv))):
                     add(fold, "symbol", r, int(k > 0), symbol(line))
                     add(fold, "word", r, int(k > 0), word(line))
-                add(fold, "plain", r, 0, symbol((text or "").split("\n", 1)[0]))
+                for k, line in enumerate((text or "").split("\n")):
+                    add(fold, "plain", r, int(k > 0), symbol(line))
             rows = [(*k, n) for k, n in table.items()]
             types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, types)], names=["fold", "kind", "a", "b", "c", "n"])
@@ -180,7 +186,7 @@ def _counts(ordered: DataFrame) -> list:
 
 
 def _model(counts: list) -> Model:
-    first, follow, inside, emits, words = {}, {}, {}, {}, {}
+    first, follow, inside, emits, words, plain = {}, {}, {}, {}, {}, {}
 
     def add(table, key, n):
         table[key] = table.get(key, 0) + n
@@ -197,10 +203,10 @@ def _model(counts: list) -> Model:
             turns, more = inside.get(a, (0, 0))
             inside[a] = (turns, more + n) if b else (turns + n, more)
         elif c["kind"] == "plain":
-            add(emits, (BEGINS + a, c["c"]), UNMARKED * n)
+            add(plain, (state, c["c"]), n)
         elif c["kind"] == "word":
             add(words, (state, c["c"]), n)
-    return Model.counted(first, follow, inside, emits, words)
+    return Model.counted(first, follow, inside, emits, words, plain)
 
 
 #: What stands for the role before a conversation's first turn, and for one that is not known.
@@ -261,6 +267,8 @@ def parse(transcript: str | None, model: Model | None = None) -> list[tuple[str,
         return []
     model = model or Model.counted({}, {}, {}, {})
     lines, out = transcript.split("\n"), []
+    if not any(0 < marker(x)[0] < MARKERS - 1 for x in lines):
+        model = model.bare
     skip = False
     for line, state in zip(lines, model.decode([observed(x) for x in lines], START, None)):
         role = state % len(ROLES)
