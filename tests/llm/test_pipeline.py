@@ -18,9 +18,9 @@ def corpus(tmp_path, spark):
     items = [(1, make("en", 30)), (2, make("fr", 20)), (3, "short item")]
     for i in (11, 20, 31):
         rows[i][1] += "\n" + passage
-    filler = make("en", 1200).split()
+    filler, other = make("en", 1200).split(), make("en", 1200).split()
     probe = items[0][1].split()
-    rows += [[107, " ".join(filler[:600] + probe[5:18] + filler[600:]), "en"], [108, " ".join(filler[5:600] + ["zz"] + probe[5:17] + ["zz"] + filler[600:1190]), "en"]]
+    rows += [[107, " ".join(filler[:600] + probe[5:18] + filler[600:]), "en"], [108, " ".join(other[:600] + ["zz"] + probe[5:17] + ["zz"] + other[600:]), "en"]]
     rows += [[100, rows[3][1], "fr"], [101, rows[4][1], "en"], [102, "12345 67890", "en"], [103, None, None], [104, rows[5][1][:80] + " " + items[0][1], "en"], [105, passage, "en"], [106, items[1][1], "fr"]]
     spark.createDataFrame([(*r, "src", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
