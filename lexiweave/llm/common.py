@@ -126,11 +126,16 @@ def _bytes(value: str) -> int:
 
 def trimmed(batches):
     """The batches of a Python function; at its end the worker, which Spark keeps, gives free memory back to the system."""
+    yield from batches
+    give_back()
+
+
+def give_back() -> None:
+    """Gives memory that this process has freed back to the system."""
     import ctypes
 
     import pyarrow as pa
 
-    yield from batches
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such function
         ctypes.CDLL("libc.so.6").malloc_trim(0)

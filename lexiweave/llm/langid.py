@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, forget, fresh, small, stored, trimmed
+from .common import bounded_batches, forget, fresh, give_back, small, stored, trimmed
 
 DIM = 1 << 13
 #: Bounds of what is gathered to fit: labelled texts of a language, of all languages, and of each however many languages there are.
@@ -61,11 +61,12 @@ def features(text: str) -> np.ndarray:
 
 def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 12) -> np.ndarray:
     """A linear machine with squared hinge loss by dual coordinate descent; the last weight is the bias. y is 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    plain, x = x, np.ones((len(x), x.shape[1] + 1))
+    x[:, :-1] = plain
     w, alpha, rng = np.zeros(x.shape[1]), np.zeros(len(x)), np.random.default_rng(0)
     share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     ridge = 1 / (2 * c * share)
-    square = (x * x).sum(axis=1) + ridge
+    square = np.einsum("ij,ij->i", x, x) + ridge
     for _ in range(rounds):
         for i in rng.permutation(len(x)):
             step = (1 - y[i] * (x[i] @ w) - ridge[i] * alpha[i]) / square[i]
@@ -246,7 +247,13 @@ def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, gates: bool = Fa
     few = _rows(found)
     if not few:
         return None
-    model = Classifier.fit(np.array([np.frombuffer(r["v"], "<f2") for r in few]).astype(np.float32), [r["lang"] for r in few])
+    labels, x = [r["lang"] for r in few], np.empty((len(few), DIM), np.float32)
+    for k in range(len(few)):
+        # vectors go from the list as they come into the array, so that the driver holds each once
+        x[k], few[k] = np.frombuffer(few[k]["v"], "<f2"), None
+    model = Classifier.fit(x, labels)
+    del x
+    give_back()
     if gates:
         model.gates = _gates(found)
     return model
