@@ -1,11 +1,13 @@
-"""Near copies by the Jaccard similarity of their word shingles: MinHash bands find candidates, whole shingle sets decide.
+"""Near copies by SimHash of word shingles: Golay codes of long fingerprints find candidates, whole shingle sets decide.
 
-A 64-bit SimHash cannot be searched widely enough for a similarity of 0.8 (about a tenth to a seventh of its bits differ), so
-candidates are texts that share a band: ROWS minima of the hashes of their shingles, of BANDS such groups. A pair at similarity
-s shares one with probability 1 - (1 - s ** ROWS) ** BANDS (0.9995 at 0.8). Each candidate pair is compared by its whole sets.
+At a Jaccard similarity of 0.8 about 15 % of the bits of two fingerprints differ (10 of 64), more than a search within 4 bits
+finds. So a text has a fingerprint of PARTS words of 23 bits, each bit what over half of the shingles' hashes have. Each word is
+decoded to the codewords of the Golay code within 4 bits of it (see `simhash`), and keeps the NEAR of them for which the bits that change
+had the narrowest majorities, as those are the bits in which similar texts differ. Texts that share a codeword of a part and one of the
+next part, in a ring, are candidates (README: what share of pairs do, by similarity). Each candidate pair is compared by its whole sets.
 
-Texts of equal sets meet once. Each text is first compared with the least of all that it shares a key with, then components that meet
-under a key are, by one text each and a few times over, and at last all texts that share a key and are still in different
+Texts of equal sets meet once. Each text is first compared with the closest, by 64 bits, of the least and the neighbour of all keys, then each
+component with the closest such one of other components, a few times over, and at last all texts that share a key and are still in different
 components, but for those whose sketches (odd sketches, which never differ more than sets do) rule the similarity out. So a large group of
 copies makes rows in proportion to its size and its links, and no similar pair that shares a key is left out.
 """
@@ -19,20 +21,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, forget, fresh, partitions, stored, trimmed
+from .common import bounded_batches, forget, fresh, partitions, small, stored, trimmed
 from .components import components
-from .hashes import rolling, word_hashes
-
-WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 6
-#: How often components are compared by one text each before all texts are.
+from .hashes import mixed, rolling, word_hashes
+from .simhash import Golay
+
+WORDS, SIMILARITY = 5, 0.8
+#: Words of 23 bits of a fingerprint, and codewords that are kept of each.
+PARTS, NEAR = 64, 2
+#: In how many passes, each over some of the parts, keys are shuffled.
+PASSES = 4
+#: Differing bits of the first 64 up to which texts may be similar: at 0.8 a pair has more with a probability of 2e-6.
+CLOSE = 24
+#: How often components are compared by one pair each before all texts are.
 ROUNDS = 2
 #: Words of 64 bits of a set's sketch.
 SKETCH = 32
-#: Shingles of texts that are taken together, for the speed of whole arrays.
-TOGETHER = 100_000
-_rng = np.random.default_rng(42)
-_FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: Shingles of texts, and texts, that are taken together, for the speed of whole arrays.
+TOGETHER, TEXTS = 100_000, 400
+#: Runs of up to 255 shingles whose hashes are counted at once, however long a text is.
+RUNS = 1024
+_HASHES = -(-PARTS * 23 // 64)
+_MASKS = np.random.default_rng(42).integers(0, 1 << 63, _HASHES, dtype=np.uint64)
+#: The eight bits of a byte as a byte each.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -41,21 +53,45 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(rolling(w, min(words, len(w)))) if len(w) else w
 
 
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """A key for each band of each set; sets are not empty."""
-    every = np.concatenate(sets)
-    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(sets), BANDS)).copy()
-    with np.errstate(over="ignore"):
-        for k, (factor, mask) in enumerate(zip(_FACTORS, _MASKS)):
-            x = every ^ mask
-            x *= factor
-            x >>= np.uint64(16)
-            column = key[:, k // ROWS]
-            column ^= np.minimum.reduceat(x, at)
-            column *= np.uint64(0xBF58476D1CE4E5B9)
-            column ^= column >> np.uint64(29)
-    return key.view(np.int64)
+def majorities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set and each bit of a fingerprint, how many more hashes of its elements have the bit than have not; sets are not empty."""
+    every, sizes = np.concatenate(sets), np.asarray([len(s) for s in sets])
+    # runs of at most 255 elements of one set, whose counts fit a byte
+    runs = -(-sizes // 255)
+    starts = np.concatenate([np.arange(0, n, 255) + at for n, at in zip(sizes.tolist(), (np.cumsum(sizes) - sizes).tolist())])
+    first = np.cumsum(runs) - runs
+    out = np.empty((len(sets), _HASHES * 64), np.int64)
+    ends = np.append(starts, len(every))
+    blocks = [(starts[i : i + RUNS] - starts[i], every[starts[i] : ends[min(i + RUNS, len(starts))]]) for i in range(0, len(starts), RUNS)]
+    for k, mask in enumerate(_MASKS):
+        counts = np.concatenate([np.add.reduceat(_LANES[mixed(x ^ mask).view(np.uint8).reshape(-1, 8)], at, axis=0) for at, x in blocks]).view(np.uint8)
+        out[:, 64 * k : 64 * k + 64] = np.add.reduceat(counts, first, axis=0, dtype=np.int64)
+    return 2 * out - sizes[:, None]
+
+
+_code: list[Golay] = []
+
+
+def codewords(more: np.ndarray) -> np.ndarray:
+    """Of each set's majorities, for each part, 12-bit numbers of the NEAR codewords that the fewest votes are against; -1 where there is none."""
+    if not _code:
+        _code.append(Golay())
+    code, more = _code[0], more[:, : PARTS * 23].reshape(len(more), PARTS, 23)
+    words = (more > 0) @ (1 << np.arange(23))
+    errors = code.patterns[code.low[words & 0xFFF] ^ code.high[words >> 12]]
+    flipped = (np.maximum(errors, 0)[..., None] >> np.arange(23)) & 1
+    against = np.where(errors < 0, np.iinfo(np.int64).max, (flipped * np.abs(more)[:, :, None, :]).sum(-1))
+    best = np.argsort(against, axis=-1, kind="stable")[..., :NEAR]
+    errors = np.take_along_axis(errors, best, -1)
+    return np.where(errors < 0, -1, (words[..., None] ^ np.maximum(errors, 0)) >> 11).astype(np.int16)
+
+
+def keys(found: np.ndarray, parts: range = range(PARTS)) -> tuple[np.ndarray, np.ndarray]:
+    """Parallel arrays of the position of a set in `found` and a key: a codeword of one of the parts with one of the next part."""
+    one, two = found[:, list(parts), :, None].astype(np.int64), found[:, [(p + 1) % PARTS for p in parts], None, :].astype(np.int64)
+    there = (one >= 0) & (two >= 0)
+    every = np.asarray(parts, np.int64)[:, None, None] << 24 | one << 12 | two
+    return np.nonzero(there)[0], every[there]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -67,18 +103,22 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, node (names the shingle set) and keys of each row; _row is the same for equal doc_id and text only."""
+    """_row, doc_id, node (names the shingle set), codewords and first 64 bits of each row; _row is the same for equal doc_id and text only."""
     from xxhash import xxh64_intdigest
 
-    names = ["_row", "doc_id", "node", "keys"]
+    names = ["_row", "doc_id", "node", "code", "bits"]
 
     def flush(held):
         sets = [s for *_, s in held]
         node = np.asarray([xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-        full = [s for s in sets if len(s)]
-        ends = np.cumsum([0] + [BANDS * (len(s) > 0) for s in sets]).astype(np.int32)
-        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(full).reshape(-1) if full else [], pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array(node), keys], names=names)
+        code, bits = [None] * len(sets), np.zeros(len(sets), np.int64)
+        if full := [k for k, s in enumerate(sets) if len(s)]:
+            more = majorities([sets[k] for k in full])
+            bits[full] = np.packbits(more[:, :64] > 0, axis=1, bitorder="little").view(np.int64)[:, 0]
+            for k, found in zip(full, codewords(more)):
+                code[k] = found.tobytes()
+        columns = [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array(node), pa.array(code, pa.binary()), pa.array(bits)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches):
         held, n = [], 0
@@ -86,13 +126,13 @@ def _described(docs: DataFrame) -> DataFrame:
             for row, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 held.append((row, doc, shingles(text)))
                 n += len(held[-1][2])
-                if n >= TOGETHER:
+                if n >= TOGETHER or len(held) >= TEXTS:
                     yield flush(held)
                     held, n = [], 0
         if held:
             yield flush(held)
 
-    return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: trimmed(run(b)), "_row long, doc_id long, node long, keys array<long>")
+    return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: trimmed(run(b)), "_row long, doc_id long, node long, code binary, bits long")
 
 
 def odd_sketch(s: np.ndarray) -> np.ndarray:
@@ -123,51 +163,112 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             near = np.asarray([similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= least for x, y in zip(batch.column(2), batch.column(3))], bool)
             yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
 
-    one, two = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     # Sets whose sizes alone rule out the similarity need not be compared.
     sizes = F.octet_length("sa"), F.octet_length("sb")
     able = F.least(*sizes) >= least * F.greatest(*sizes)
-    return pairs.join(one, "a").join(two, "b").where(able).select("a", "b", "sa", "sb").mapInArrow(lambda b: trimmed(run(b)), "a long, b long")
+    wanted = sets.join(small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+    one, two = (wanted.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    near = pairs.join(one, "a").join(two, "b").where(able).select("a", "b", "sa", "sb").mapInArrow(lambda b: trimmed(run(b)), "a long, b long")
+    near = stored(near, "near")
+    forget(pairs)
+    return near
+
+
+def _first_pairs(met: DataFrame) -> DataFrame:
+    """A pair (a, b) for each node of (node, bits, keys): with the closest of the least node and the next smaller bits of its keys."""
+    whole, other = Window.partitionBy("key"), F.struct("node", "bits")
+    rows = met.select("node", "bits", F.explode("keys").alias("key"))
+    rows = rows.withColumns({"_first": F.min(other).over(whole), "_last": F.lag(other).over(whole.orderBy("bits", "node"))})
+    apart = lambda c: F.bit_count(F.col("bits").bitwiseXOR(F.col(f"{c}.bits")))
+    at = lambda c: F.when((F.col(f"{c}.node") != F.col("node")) & (apart(c) <= CLOSE), F.struct(apart(c).alias("apart"), F.col(f"{c}.node").alias("b")))
+    best = rows.select("node", F.least(at("_first"), at("_last")).alias("best")).where("best is not null").groupBy(F.col("node").alias("a")).agg(F.min("best").alias("best"))
+    return best.select("a", "best.b")
+
+
+def _most(least: float) -> float:
+    """The share of differing elements that sets of this similarity have."""
+    return (1 - least) / (1 + least) + 1e-9
+
+
+def _next_pairs(rest: DataFrame, least: float, seed: int) -> DataFrame:
+    """Of (node, root, size, odd, keys) a pair (a, b) for each root, if its sketches allow the similarity: of its nodes and of the first and
+    the previous node of their keys, in an order of chance, the pair whose sketches differ least."""
+    order = Window.partitionBy("key").orderBy("_nth", "node")
+    rows = rest.select("node", "root", "size", "odd", F.explode("keys").alias("key")).withColumn("_nth", F.xxhash64("key", "node", F.lit(seed)))
+    other = F.struct("node", "root", "size", "odd")
+    rows = rows.withColumns({"_first": F.first(other).over(order), "_last": F.lag(other).over(order)})
+
+    def at(c):
+        differ = F.aggregate(F.zip_with("odd", f"{c}.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        share = differ / (F.col("size") + F.col(f"{c}.size"))
+        return F.when(F.col(f"{c}.root") != F.col("root"), F.struct(share.alias("share"), "node", F.col(f"{c}.node").alias("other")))
+
+    best = rows.select("root", F.least(at("_first"), at("_last")).alias("best")).groupBy("root").agg(F.min("best").alias("best"))
+    return best.where(F.col("best.share") <= _most(least)).select(F.col("best.node").alias("a"), F.col("best.other").alias("b"))
+
+
+def _other_pairs(rest: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) that share a key, are in different components and whose sketches allow the similarity. One of two components is not the
+    largest of the key: only nodes of others are held against all."""
+    whole = Window.partitionBy("key")
+    rows = rest.select("node", "root", "size", "odd", F.explode("keys").alias("key")).withColumn("_n", F.count("*").over(Window.partitionBy("key", "root")))
+    rows = rows.withColumn("_main", F.max(F.struct("_n", "root")).over(whole))
+    names = ["key", "node", "root", "size", "odd"]
+    one, two = rows.where("root <> _main.root").select(*[F.col(c).alias(f"{c}_a") for c in names]), rows.select(*[F.col(c).alias(f"{c}_b") for c in names])
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col("odd_a")[k].bitwiseXOR(F.col("odd_b")[k])) for k in range(SKETCH)))
+    able = (F.col("root_a") != F.col("root_b")) & (differ <= _most(least) * (F.col("size_a") + F.col("size_b")))
+    return one.join(two, (F.col("key_a") == F.col("key_b")) & able).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def _meeting(nodes: DataFrame, n: int) -> DataFrame:
+    """node, bits and those of its keys that other nodes have too, but where only one has and its bits are not close. Of (node, code, bits)."""
+    whole, passes = Window.partitionBy("key"), []
+    for k in range(PASSES):
+        parts = range(k * PARTS // PASSES, (k + 1) * PARTS // PASSES)
+
+        def spread(batches, parts=parts):
+            for batch in batches:
+                for from_ in range(0, batch.num_rows, 2_000):
+                    node, code, bits = (batch.column(c).slice(from_, 2_000) for c in range(3))
+                    at, key = keys(np.frombuffer(b"".join(code.to_pylist()), np.int16).reshape(-1, PARTS, NEAR), parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), node.take(pa.array(at)), bits.take(pa.array(at))], names=["key", "node", "bits"])
+
+        entries = nodes.where("code is not null").select("node", "code", "bits").mapInArrow(lambda b, f=spread: trimmed(f(b)), "key long, node long, bits long").repartition(n, "key")
+        met = entries.withColumns({"_n": F.count("*").over(whole), "_a": F.min("bits").over(whole), "_b": F.max("bits").over(whole)})
+        met = met.where((F.col("_n") > 2) | (F.col("_n") == 2) & (F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= CLOSE))
+        passes.append(stored(met.select("key", "node", "bits"), "met"))
+    met = stored(reduce(DataFrame.union, passes).groupBy("node").agg(F.first("bits").alias("bits"), F.collect_list("key").alias("keys")), "met")
+    forget(*passes)
+    return met
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, node and root of members (key, node) of keys where several components meet."""
+    """node, root and keys of members (node, keys), with those keys alone where several components meet."""
     whole = Window.partitionBy("key")
-    out = members.join(roots.withColumnRenamed("root", "_root"), "node", "left").select("key", "node", F.coalesce("_root", "node").alias("root"))
-    return out.withColumns({"_min": F.min("root").over(whole), "_max": F.max("root").over(whole)}).where("_min <> _max").drop("_min", "_max")
+    placed = members.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
+    placed = placed.withColumns({"_min": F.min("root").over(whole), "_max": F.max("root").over(whole)}).where("_min <> _max")
+    return stored(placed.groupBy("node").agg(F.first("root").alias("root"), F.collect_list("key").alias("keys")), "rest")
 
 
 def linked(nodes: DataFrame, texts: DataFrame, n: int, least: float = SIMILARITY) -> DataFrame:
-    """(node, root) of components of the nodes (node, keys) that are linked at a similarity of `least` or more; texts: node, text."""
-    whole = Window.partitionBy("key")
-    entries = nodes.select("node", F.explode("keys").alias("key")).repartition(n, "key")
-    met = stored(entries.withColumns({"_n": F.count("*").over(whole), "least": F.min("node").over(whole)}).where("_n > 1").drop("_n"), "met")
-    sets = stored(_sets(texts.join(met.select("node").distinct(), "node", "left_semi")), "sets", compact=True)
-    # each node with the least that it meets under any key
-    pairs = met.where("node <> least").groupBy(F.col("node").alias("a")).agg(F.min("least").alias("b"))
-    links = stored(_verified(pairs, sets, least), "near")
-    rest = stored(_rooted(met.select("key", "node"), components(links)), "rest")
-    for _ in range(ROUNDS):
-        # of components that meet under a key one node each, with that of the least; one such pair for two components
-        one = rest.groupBy("key", "root").agg(F.min("node").alias("node"))
-        first = F.min(F.struct("root", "node")).over(whole)
-        beside = one.withColumn("first", first).where("root <> first.root").select("root", F.col("first.root").alias("to"), F.struct(F.col("node").alias("a"), F.col("first.node").alias("b")).alias("pair"))
-        beside = beside.groupBy("root", "to").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b")
-        found = stored(_verified(beside, sets, least), "near")
+    """(node, root) of components of the nodes (node, code, bits) that are linked at a similarity of `least` or more; texts: node, text."""
+    met = _meeting(nodes, n)
+    sets = stored(_sets(texts.join(met.select("node"), "node", "left_semi")), "sets", compact=True)
+    sketches = sets.select("node", "size", "odd")
+    links = _verified(_first_pairs(met), sets, least)
+    rest = _rooted(met, components(links))
+    forget(met)
+    for seed in range(ROUNDS):
+        found = _verified(_next_pairs(rest.join(sketches, "node"), least, seed), sets, least)
         if found.isEmpty():
             forget(found)
             break
-        links = stored(links.union(found), "near")
-        rest = stored(_rooted(rest.drop("root"), components(links)), "rest")
-    # what is left meets under the least key that two texts share, if their sketches differ in so few bits as sets that are similar can
-    marked = rest.join(sets.select("node", "size", "odd"), "node").join(nodes.select("node", "keys"), "node")
-    one, two = (marked.select(F.col("key").alias(f"key_{c}"), F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("root", "size", "odd", "keys")]) for c in "ab")
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col("odd_a")[k].bitwiseXOR(F.col("odd_b")[k])) for k in range(SKETCH)))
-    able = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (differ <= (1 - least) / (1 + least) * (F.col("size_a") + F.col("size_b")) + 1e-6)
-    more = one.join(two, (F.col("key_a") == F.col("key_b")) & able & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a"))).select("a", "b")
-    links = stored(links.union(_verified(more, sets, least)), "near")
-    forget(sets, rest, met)
+        before, links = (rest, links, found), stored(links.union(found), "near")
+        rest = _rooted(rest.drop("root"), components(links))
+        forget(*before)
+    links = stored(links.union(_verified(_other_pairs(rest.join(sketches, "node"), least), sets, least)), "near")
+    forget(sets, rest)
     return components(links)
 
 
@@ -183,11 +284,11 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     plain = rows.select(F.col(key).alias("_row"), "doc_id", "text")
     found = stored(_described(plain), "shingles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    nodes = stored(found.groupBy("node").agg(first, F.first("keys").alias("keys")), "nodes")
+    nodes = stored(found.groupBy("node").agg(first, F.first("code").alias("code"), F.first("bits").alias("bits")), "nodes")
     forget(found)
     named = nodes.select("node", F.col("first._row").alias("_row"))
     texts = plain.select("_row", "text").join(named, "_row").dropDuplicates(["node"])
-    roots = linked(nodes.select("node", "keys"), texts, n, least)
+    roots = linked(nodes.select("node", "code", "bits"), texts, n, least)
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = stored(kept.select(F.col("first._row").alias(key)), "kept")
     return rows.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -74,3 +74,66 @@ def test_large_group_of_texts_that_are_hardly_similar(spark):
     base = " ".join(f"b{k}" for k in range(150))
     texts = [changed(base, rng.choice(150, int(rng.integers(1, 6)), replace=False)).replace("new", f"n{i}x") for i in range(90)]
     assert {r.doc_id for r in nearcopies.keep_one(frame(spark, list(enumerate(texts)))).collect()} == brute_kept(texts)
+
+
+def random_pair(rng, n, share):
+    """Two sets of n elements with a Jaccard similarity of `share` or a little more."""
+    own = int(n * (1 - share) / (1 + share))
+    common = rng.integers(0, 1 << 63, n - own, dtype=np.uint64)
+    return [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, own, dtype=np.uint64)])) for _ in range(2)]
+
+
+def test_majorities_count_every_hash():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 2, 254, 255, 256, 511, 300_000, 7)]
+    more = nearcopies.majorities(sets)
+    for s, row in zip(sets, more):
+        for k in (0, 6, len(row) // 64 - 1):
+            x = nearcopies.mixed(s ^ nearcopies._MASKS[k])
+            assert row[64 * k : 64 * k + 64].tolist() == [2 * int((x >> np.uint64(b) & np.uint64(1)).sum()) - len(s) for b in range(64)]
+
+
+def test_codewords_are_near_and_the_cheapest():
+    from lexiweave.llm.simhash import Golay
+
+    code, rng = Golay(), np.random.default_rng(6)
+    more = nearcopies.majorities([np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 30, 31, 2000)])
+    for row, found in zip(more, nearcopies.codewords(more)):
+        for p in range(nearcopies.PARTS):
+            votes = row[23 * p : 23 * p + 23]
+            word = sum(1 << b for b in range(23) if votes[b] > 0)
+            near, there = code.near(np.asarray([word]))
+            against = {}
+            for number in near[0][there[0]].tolist():
+                whole = number << 11
+                whole ^= int(code.low[whole & 0xFFF] ^ code.high[whole >> 12])
+                assert (whole ^ word).bit_count() <= 4
+                against[number] = sum(abs(int(votes[b])) for b in range(23) if (whole ^ word) >> b & 1)
+            kept = [x for x in found[p].tolist() if x >= 0]
+            assert len(set(kept)) == len(kept) == min(nearcopies.NEAR, len(against))
+            assert sorted(against[x] for x in kept) == sorted(against.values())[: len(kept)]
+
+
+def test_similar_sets_share_a_key_of_their_fingerprints():
+    """Within 4 of 64 bits, op1's reach, are few pairs at 0.8."""
+    rng = np.random.default_rng(8)
+    for n, share, least in ((400, 0.8, 0.99), (60, 0.8, 0.99), (200, 0.9, 1), (200, 0.95, 1)):
+        pairs = [random_pair(rng, n, share) for _ in range(400)]
+        one, two = (nearcopies.majorities([p[k] for p in pairs]) for k in (0, 1))
+        a, b = (set(zip(*(x.tolist() for x in nearcopies.keys(nearcopies.codewords(m))))) for m in (one, two))
+        assert len({at for at, _ in a & b}) >= least * len(pairs)
+        assert (((one > 0) != (two > 0))[:, :64].sum(1) <= nearcopies.CLOSE).all()
+    parts = nearcopies.PARTS // 2
+    halves = [nearcopies.keys(nearcopies.codewords(one), r) for r in (range(parts), range(parts, nearcopies.PARTS))]
+    assert sorted(zip(*nearcopies.keys(nearcopies.codewords(one)))) == sorted(x for h in halves for x in zip(*h))
+
+
+def test_large_group_of_near_copies_compares_few_pairs(spark, monkeypatch):
+    """The pairs whose whole sets are compared grow with the texts, not with the pairs that share a key."""
+    rng = np.random.default_rng(13)
+    base = " ".join(f"b{k}" for k in range(150))
+    texts = [changed(base, rng.choice(150, int(rng.integers(2, 6)), replace=False)).replace("new", f"n{i}x") for i in range(400)]
+    compared, verified = [], nearcopies._verified
+    monkeypatch.setattr(nearcopies, "_verified", lambda pairs, *rest: (compared.append(pairs.count()), verified(pairs, *rest))[1])
+    assert {r.doc_id for r in nearcopies.keep_one(frame(spark, list(enumerate(texts)))).collect()} == brute_kept(texts)
+    assert sum(compared) <= 3 * len(texts)
