@@ -39,8 +39,8 @@ ROUNDS = 2
 SKETCH = 32
 #: Shingles of texts, and texts, that are taken together, for the speed of whole arrays.
 TOGETHER, TEXTS = 100_000, 400
-#: Runs of up to 255 shingles whose hashes are counted at once, however long a text is.
-RUNS = 1024
+#: Runs of up to 255 shingles whose hashes are counted at once, however long a text is, and texts that are decoded at once.
+RUNS, DECODED = 64, 32
 _HASHES = -(-PARTS * 23 // 64)
 _MASKS = np.random.default_rng(42).integers(0, 1 << 63, _HASHES, dtype=np.uint64)
 #: The eight bits of a byte as a byte each.
@@ -69,21 +69,24 @@ def majorities(sets: list[np.ndarray]) -> np.ndarray:
     return 2 * out - sizes[:, None]
 
 
-_code: list[Golay] = []
+_code: list[tuple[Golay, np.ndarray]] = []
 
 
 def codewords(more: np.ndarray) -> np.ndarray:
     """Of each set's majorities, for each part, 12-bit numbers of the NEAR codewords that the fewest votes are against; -1 where there is none."""
     if not _code:
-        _code.append(Golay())
-    code, more = _code[0], more[:, : PARTS * 23].reshape(len(more), PARTS, 23)
-    words = (more > 0) @ (1 << np.arange(23))
-    errors = code.patterns[code.low[words & 0xFFF] ^ code.high[words >> 12]]
-    flipped = (np.maximum(errors, 0)[..., None] >> np.arange(23)) & 1
-    against = np.where(errors < 0, np.iinfo(np.int64).max, (flipped * np.abs(more)[:, :, None, :]).sum(-1))
-    best = np.argsort(against, axis=-1, kind="stable")[..., :NEAR]
-    errors = np.take_along_axis(errors, best, -1)
-    return np.where(errors < 0, -1, (words[..., None] ^ np.maximum(errors, 0)) >> 11).astype(np.int16)
+        code = Golay()
+        _code.append((code, ((np.maximum(code.patterns, 0)[..., None] >> np.arange(23)) & 1).astype(np.float64)))
+    (code, changed), out = _code[0], np.empty((len(more), PARTS, NEAR), np.int16)
+    for k in range(0, len(more), DECODED):
+        votes = more[k : k + DECODED, : PARTS * 23].reshape(-1, PARTS, 23)
+        words = (votes > 0) @ (1 << np.arange(23))
+        syndromes = code.low[words & 0xFFF] ^ code.high[words >> 12]
+        errors = code.patterns[syndromes]
+        against = np.where(errors < 0, np.inf, (changed[syndromes] @ np.abs(votes)[..., None].astype(np.float64))[..., 0])
+        errors = np.take_along_axis(errors, np.argsort(against, axis=-1, kind="stable")[..., :NEAR], -1)
+        out[k : k + DECODED] = np.where(errors < 0, -1, (words[..., None] ^ np.maximum(errors, 0)) >> 11)
+    return out
 
 
 def keys(found: np.ndarray, parts: range = range(PARTS)) -> tuple[np.ndarray, np.ndarray]:
@@ -208,11 +211,12 @@ def _next_pairs(rest: DataFrame, least: float, seed: int) -> DataFrame:
     return best.where(F.col("best.share") <= _most(least)).select(F.col("best.node").alias("a"), F.col("best.other").alias("b"))
 
 
-def _other_pairs(rest: DataFrame, least: float) -> DataFrame:
+def _other_pairs(rest: DataFrame, least: float, n: int) -> DataFrame:
     """All pairs (a, b) that share a key, are in different components and whose sketches allow the similarity. One of two components is not the
     largest of the key: only nodes of others are held against all."""
     whole = Window.partitionBy("key")
-    rows = rest.select("node", "root", "size", "odd", F.explode("keys").alias("key")).withColumn("_n", F.count("*").over(Window.partitionBy("key", "root")))
+    rows = rest.select("node", "root", "size", "odd", F.explode("keys").alias("key")).repartition(n, "key")
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("key", "root")))
     rows = rows.withColumn("_main", F.max(F.struct("_n", "root")).over(whole))
     names = ["key", "node", "root", "size", "odd"]
     one, two = rows.where("root <> _main.root").select(*[F.col(c).alias(f"{c}_a") for c in names]), rows.select(*[F.col(c).alias(f"{c}_b") for c in names])
@@ -252,22 +256,22 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def linked(nodes: DataFrame, texts: DataFrame, n: int, least: float = SIMILARITY) -> DataFrame:
-    """(node, root) of components of the nodes (node, code, bits) that are linked at a similarity of `least` or more; texts: node, text."""
+    """(node, root) of components of the nodes (node, code, bits, _row) that are linked at a similarity of `least` or more; texts: _row, text."""
     met = _meeting(nodes, n)
-    sets = stored(_sets(texts.join(met.select("node"), "node", "left_semi")), "sets", compact=True)
+    named = stored(nodes.select("node", "_row").join(met.select("node"), "node", "left_semi"), "named")
+    sets = stored(_sets(texts.select("_row", "text").join(small(named), "_row").dropDuplicates(["node"])), "sets", compact=True)
     sketches = sets.select("node", "size", "odd")
     links = _verified(_first_pairs(met), sets, least)
     rest = _rooted(met, components(links))
-    forget(met)
+    forget(met, named)
     for seed in range(ROUNDS):
         found = _verified(_next_pairs(rest.join(sketches, "node"), least, seed), sets, least)
         if found.isEmpty():
-            forget(found)
             break
-        before, links = (rest, links, found), stored(links.union(found), "near")
-        rest = _rooted(rest.drop("root"), components(links))
-        forget(*before)
-    links = stored(links.union(_verified(_other_pairs(rest.join(sketches, "node"), least), sets, least)), "near")
+        links = links.union(found)
+        before, rest = rest, _rooted(rest.drop("root"), components(links))
+        forget(before)
+    links = links.union(_verified(_other_pairs(rest.join(sketches, "node"), least, n), sets, least))
     forget(sets, rest)
     return components(links)
 
@@ -286,9 +290,7 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
     nodes = stored(found.groupBy("node").agg(first, F.first("code").alias("code"), F.first("bits").alias("bits")), "nodes")
     forget(found)
-    named = nodes.select("node", F.col("first._row").alias("_row"))
-    texts = plain.select("_row", "text").join(named, "_row").dropDuplicates(["node"])
-    roots = linked(nodes.select("node", "code", "bits"), texts, n, least)
+    roots = linked(nodes.select("node", "code", "bits", F.col("first._row").alias("_row")), plain, n, least)
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = stored(kept.select(F.col("first._row").alias(key)), "kept")
     return rows.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
