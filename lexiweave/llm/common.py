@@ -124,8 +124,26 @@ def _bytes(value: str) -> int:
     return int(plain) if plain.isdigit() else 0
 
 
-def trimmed(batches):
-    """The batches of a Python function; at its end the worker, which Spark keeps, gives free memory back to the system."""
+#: Large objects that this worker keeps from task to task, by what they are for.
+_kept: dict = {}
+
+
+def kept(name, make):
+    """What this worker has kept under that name, else what make() gives. It goes with the first task of a function that does not keep it."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def trimmed(batches, keeps=None):
+    """The batches of a Python function; at its end the worker, which Spark keeps, gives free memory back to the system.
+
+    Of what earlier tasks have kept only that under the name `keeps` stays: other functions need the memory.
+    """
+    if others := [name for name in _kept if name != keeps]:
+        for name in others:
+            del _kept[name]
+        give_back()
     yield from batches
     give_back()
 

@@ -56,7 +56,7 @@ def token_pieces(docs: DataFrame, *, capacity: int = 1024, tokenizer: str | None
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "_row", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), "text")
-    return rows.mapInArrow(lambda batches: trimmed(cut(batches)), PIECES)
+    return rows.mapInArrow(lambda batches: trimmed(cut(batches), path), PIECES)
 
 
 #: kind 0: a slot of a gap that is left over, 1: a document left over, 2: a document and where it is, 3: a gap too small for later ranges.

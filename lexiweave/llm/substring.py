@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, forget, fresh, partitions, stored, trimmed
+from .common import BATCH_BYTES, bounded_batches, forget, fresh, partitions, stored, trimmed
 from .hashes import rolling, word_hashes
 
 #: Words that a task collects before it sends arrays.
@@ -70,6 +70,14 @@ def _reduced(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, rows: np.
     return [hashes[at], docs[at], docs[end - 1], places[at].astype(np.uint32), rows[at], many.astype(np.uint8)]
 
 
+def _least(hashes: np.ndarray, who: np.ndarray, docs: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
+    """By distinct hash, sorted: the least of the docs, of which who has the numbers, and its rest."""
+    rank = np.unique(docs, return_inverse=True)[1].astype(np.uint32)
+    order = np.lexsort((rank[who], hashes))
+    order = order[_runs(hashes[order])[0]]
+    return [hashes[order], docs[who[order]], rest[order]]
+
+
 def _merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     """What _reduced gives over parts that it has given, or of (hash, least doc, rest) their least."""
     arrays = [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))]
@@ -92,42 +100,56 @@ def _merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
 BLOBS = "part int, kind int, blob binary"
 
 
-def _send(index: list[np.ndarray], probes: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None], parts: int) -> Iterator[pa.RecordBatch]:
+def _by_part(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of hashes by part of the hash space, and where each part begins in it."""
+    kind = np.min_scalar_type(parts)
+    part = (h >> np.uint64(32)).astype(np.uint32)
+    part %= np.uint32(parts)
+    part = part.astype(kind)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=kind))
+
+
+def _send(index: list[np.ndarray], h: np.ndarray, places: np.ndarray, other: np.ndarray | None, who: np.ndarray, docs: np.ndarray, rows: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Arrays by part of the hash space: of the index (hash, doc, place, row), and of probes (the same, and a digest's other half).
 
-    Of digests the index keeps the least document alone, and its place is the digest's other half.
+    Of digests the index keeps the least document alone, and its place is the digest's other half. who has the number of each
+    probe's document in docs and rows. Arrays are put in order part by part, so that no second copy of them all is held.
     """
-    n = np.uint64(parts)
-    out = []
+    out, held = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["part", "kind", "blob"])
 
-    def by_part(h):
-        part = ((h >> np.uint64(32)) % n).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        return order, np.searchsorted(part[order], np.arange(parts + 1))
-
-    red = _reduced(*index)
-    if probes[4] is not None:
-        red = [red[0], red[1], red[3]]
-    order, ends = by_part(red[0])
-    red = [a[order] for a in red]
-    for k in range(parts):
-        a, b = ends[k], ends[k + 1]
-        if b > a:
-            out.append((k, 0, _pack(*[x[a:b] for x in red])))
-    h, docs, places, rows, other = probes
-    order, ends = by_part(h)
-    h, docs, places, rows, other = h[order], docs[order], places[order], rows[order], None if other is None else other[order]
-    for k in range(parts):
-        a, b = ends[k], ends[k + 1]
-        if b > a:
-            at, times = _runs(rows[a:b])
-            at += a
-            # places rise within a document: their steps are small numbers, which compress
-            step = np.diff(places[a:b], prepend=0).astype(np.int64).astype(np.uint32)
-            low = (h[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32) if other is None else h[a:b]
-            out.append((k, 1, _pack(low, docs[at], rows[at], times, step, *([] if other is None else [other[a:b]]))))
+    for kind, hashes in enumerate((index[0], h)):
+        order, ends = _by_part(hashes, parts)
+        for k in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            here = order[ends[k] : ends[k + 1]]
+            if kind == 0:
+                blob = _pack(*[x[here] for x in index])
+            else:
+                low = (h[here] & np.uint64(0xFFFFFFFF)).astype(np.uint32) if other is None else h[here]
+                own, at_place = who[here], places[here]
+                at, times = _runs(rows[own])
+                # places rise within a document: their steps are small numbers, which compress
+                step = np.diff(at_place, prepend=0).astype(np.int64).astype(np.uint32)
+                blob = _pack(low, docs[own[at]], rows[own[at]], times, step, *([] if other is None else [other[here]]))
+            out.append((k, kind, blob))
+            held += len(blob)
+            if held >= BATCH_BYTES:
+                yield batch()
+                out, held = [], 0
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["part", "kind", "blob"])
+        yield batch()
+
+
+def _put_together(held: list[tuple]) -> tuple:
+    """Documents' numbers for each element, docs and rows, and their arrays joined, of (doc, row, array, ...) for each document; empties the list."""
+    docs, rows = (np.asarray([x[k] for x in held], np.int64) for k in (0, 1))
+    who = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[2]) for x in held])
+    arrays = [np.concatenate([x[k] for x in held]) for k in range(2, len(held[0]))]
+    held.clear()
+    return who, docs, rows, *arrays
 
 
 def _blocks(docs: DataFrame, size: int, parts: int) -> DataFrame:
@@ -136,26 +158,22 @@ def _blocks(docs: DataFrame, size: int, parts: int) -> DataFrame:
 
         def flush():
             nonlocal words_held
-            index, probe = [[], [], [], []], [[], [], [], []]
-            for doc, row, words in held:
-                h = rolling(words, size)
-                place = np.arange(len(h))
-                fixed = place[::size]
-                for to, x, p in ((index, h[::size], fixed), (probe, h, place)):
-                    to[0].append(x)
-                    to[1].append(np.full(len(x), doc, np.int64))
-                    to[2].append(p)
-                    to[3].append(np.full(len(x), row, np.int64))
-            if held:
-                yield from _send([np.concatenate(x) for x in index], (*[np.concatenate(x) for x in probe], None), parts)
-            held.clear()
             words_held = 0
+            if not held:
+                return
+            who, doc, row, h = _put_together(held)
+            starts = np.searchsorted(who, np.arange(len(doc), dtype=np.uint32)).astype(np.uint32)
+            places = np.arange(len(h), dtype=np.uint32)
+            places -= starts[who]
+            fixed = np.flatnonzero(places % np.uint32(size) == 0)
+            index = _reduced(h[fixed], doc[who[fixed]], places[fixed], row[who[fixed]])
+            yield from _send(index, h, places, None, who, doc, row, parts)
 
         for batch in batches:
             for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 words = word_hashes(text)
                 if doc is not None and len(words) >= size:
-                    held.append((doc, row, words))
+                    held.append((doc, row, rolling(words, size)))
                     words_held += len(words)
                     if words_held >= FLUSH_WORDS:
                         yield from flush()
@@ -169,14 +187,15 @@ HITS = "bucket int, blob binary"
 
 def _hit_rows(rows: np.ndarray, places: np.ndarray, parts: int) -> pa.RecordBatch:
     """Places by row of documents, packed by bucket: the row's number modulo parts."""
-    bucket = np.mod(rows, parts)
+    bucket = np.mod(rows, parts).astype(np.min_scalar_type(parts))
     order = np.lexsort((rows, bucket))
-    rows, places, bucket = rows[order], np.asarray(places)[order].astype(np.uint32), bucket[order]
-    cuts, sizes = _runs(bucket)
+    cuts, sizes = _runs(bucket[order])
     out = []
     for a, n in zip(cuts.tolist(), sizes.tolist()):
-        at, times = _runs(rows[a : a + n])
-        out.append((int(bucket[a]), _pack(rows[a : a + n][at], times, places[a : a + n])))
+        here = order[a : a + n]
+        own = rows[here]
+        at, times = _runs(own)
+        out.append((int(bucket[here[0]]), _pack(own[at], times, np.asarray(places)[here].astype(np.uint32))))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], names=["bucket", "blob"])
 
 
@@ -187,14 +206,20 @@ HOLD_HITS = 2_000_000
 def _sent(hits: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
     """Hits of a task put together, so that a bucket gets one row of many rather than one from each array of probes."""
     held, n = [], 0
+
+    def flush():
+        rows, places = (np.concatenate([h[k] for h in held]) for k in range(2))
+        held.clear()
+        return _hit_rows(rows, places, parts)
+
     for rows, places in hits:
         held.append((rows.astype(np.int64), np.asarray(places).astype(np.uint32)))
         n += len(rows)
         if n >= HOLD_HITS:
-            yield _hit_rows(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), parts)
-            held, n = [], 0
+            yield flush()
+            n = 0
     if held:
-        yield _hit_rows(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), parts)
+        yield flush()
 
 
 MEET = "bucket int, kind int, doc_id long, row long, text string, blob binary"
@@ -310,14 +335,13 @@ def _candidates(docs: DataFrame, hits: DataFrame, size: int, window: int, parts:
 
         def flush():
             nonlocal windows
-            if held:
-                h, who, starts, own = (np.concatenate([x[k] for x in held]) for k in range(4))
-                rest = h[:, 1].astype(np.uint32)
-                for rb in _send([h[:, 0].copy(), who, rest, own], (h[:, 0].copy(), who, starts, own, rest), parts):
-                    none = [pa.nulls(rb.num_rows, f.type) for f in list(_JOINED)[:5]]
-                    yield pa.RecordBatch.from_arrays([*none, *rb.columns], schema=_JOINED)
-            held.clear()
             windows = 0
+            if not held:
+                return
+            who, docs, own, h, rest, starts = _put_together(held)
+            for rb in _send(_least(h, who, docs, rest), h, starts, rest, who, docs, own, parts):
+                none = [pa.nulls(rb.num_rows, f.type) for f in list(_JOINED)[:5]]
+                yield pa.RecordBatch.from_arrays([*none, *rb.columns], schema=_JOINED)
 
         for rows in _met(batches):
             out = []
@@ -331,7 +355,8 @@ def _candidates(docs: DataFrame, hits: DataFrame, size: int, window: int, parts:
                 ends = np.cumsum([len(w) + 1 for w in words]) - 1
                 begin = np.concatenate([[0], ends[:-1] + 1])
                 raw = b"".join(xxh3_128_digest(joined[a:b]) for a, b in zip(begin[starts].tolist(), ends[starts + window - 1].tolist()))
-                held.append((np.frombuffer(raw, "<u8").reshape(-1, 2), np.full(len(starts), doc, np.int64), starts, np.full(len(starts), row, np.int64)))
+                digests = np.frombuffer(raw, "<u8").reshape(-1, 2)
+                held.append((doc, row, digests[:, 0].copy(), digests[:, 1].astype(np.uint32), starts.astype(np.uint32)))
                 windows += len(starts)
                 out.append((doc, row, len(words), None, text))
                 if windows >= FLUSH_WORDS:

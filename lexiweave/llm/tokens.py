@@ -14,6 +14,7 @@ import unicodedata
 
 import numpy as np
 
+from .common import kept
 from .hashes import mixed, prefix
 
 #: Entries of a worker's table; beyond that it starts again. Characters that are cut at a time, and those of a long piece.
@@ -231,14 +232,13 @@ class PackedTokenizer:
         return out
 
 
-_ready: dict[str, PackedTokenizer] = {}
-
-
 def packed(path: str) -> PackedTokenizer:
-    """The tokenizer of this worker, made once."""
-    if path not in _ready:
+    """The tokenizer of this worker, made once for tasks that keep its path (see `trimmed`)."""
+
+    def make():
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ready[path] = PackedTokenizer(path)
-    return _ready[path]
+        return PackedTokenizer(path)
+
+    return kept(path, make)

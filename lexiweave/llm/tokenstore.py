@@ -129,7 +129,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)] if rows else [pa.array([], t) for t in types], names=names)
 
     n = partitions(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(lambda batches: trimmed(emit(batches)), FILES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(lambda batches: trimmed(emit(batches), source), FILES)
     dealt = rows.withColumn("_key", F.when(F.col("kind") == "chunk", F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "row"))).repartition(n, "_key")
     before = F.lag("digest").over(Window.partitionBy("_key").orderBy("kind", "digest"))
     once = dealt.withColumn("_before", before).where("digest is null or _before is null or digest <> _before").drop("_key", "_before")

@@ -102,6 +102,49 @@ def test_rows_that_share_an_id_are_cut_by_their_own_texts(spark):
     assert all(r.n_chars == len(r.text or "") for r in got.collect())
 
 
+class Frame:
+    """Stands for a DataFrame; gives the function that mapInArrow gets."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def peak(run, batches):
+    """Bytes that a task's function holds at most, besides its input and what it has sent."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        for _ in run(iter(batches)):
+            pass
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_task_that_packs_probes(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(5000)]
+    texts = [" ".join(rng.choice(words, 1000)) for _ in range(300)]
+    monkeypatch.setattr(substring, "FLUSH_WORDS", 300_000)
+    docs = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([k + 1000]), pa.array([t])], names=["doc_id", "row", "text"]) for k, t in enumerate(texts)]
+    run = substring._blocks(Frame(), 25, 50)
+    list(run(iter(docs)))  # imports and powers stay
+    assert peak(run, docs) < 70 * 300_000
+    # every window of every text
+    met = [[(k, k + 1000, t, np.arange(976, dtype=np.uint32))] for k, t in enumerate(texts)]
+    monkeypatch.setattr(substring, "_meet", lambda *a: Frame())
+    monkeypatch.setattr(substring, "_met", lambda batches: batches)
+    run = substring._candidates(Frame(), None, 25, 50, 50)
+    list(run(iter(met)))
+    assert peak(run, met) < 95 * 300_000
+
+
 def test_very_long_texts(spark):
     rng = np.random.default_rng(5)
     long_ = [f"w{k}" for k in rng.integers(0, 9000, 25_000)]

@@ -15,6 +15,20 @@ def library():
     return Tokenizer.from_file(tokens.default_tokenizer())
 
 
+def test_a_worker_lets_go_of_the_tokenizer_in_tasks_of_others():
+    import gc
+    import weakref
+
+    from lexiweave.llm.common import trimmed
+
+    path = tokens.default_tokenizer()
+    held = weakref.ref(tokens.packed(path))
+    assert list(trimmed([1, 2], path)) == [1, 2] and held() is tokens.packed(path)
+    assert list(trimmed([3])) == [3]
+    gc.collect()
+    assert held() is None
+
+
 def ids_of(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
