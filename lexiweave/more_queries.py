@@ -215,6 +215,6 @@ SELECT d.doc_id, coalesce(n_edges, 0) AS n_edges, sha256(coalesce(edges, '')) AS
 def align_documents(spark, sf_dir):
     """Alignments of whole documents over two steps, composed from the first input to the last output."""
     chain = CompositeTransducer([Transducer(Mapping([{"in": "n", "out": "nn"}], norm_form="none")), Transducer(Mapping([{"in": "o", "out": "uu"}], norm_form="none"))])
-    a = columns.spread(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", columns.align(chain, F.col("text")).alias("a"))
-    pairs = F.array_join(F.transform("a.edges", lambda e: F.concat_ws(":", e["i"], e["o"])), ",")
-    return a.select("doc_id", F.size("a.edges").cast("long").alias("n_edges"), sha(pairs).alias("edges_sha256"), sha("a.output").alias("output_sha256"))
+    a = columns.aligned(columns.spread(docs(spark, sf_dir).select("doc_id", "text")), "text", chain, ["output", "edges"])
+    pairs = F.array_join(F.transform("edges", lambda e: F.concat_ws(":", e["i"], e["o"])), ",")
+    return a.select("doc_id", F.size("edges").cast("long").alias("n_edges"), sha(pairs).alias("edges_sha256"), sha("output").alias("output_sha256"))

@@ -14,12 +14,15 @@ import re
 import uuid
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.mapping import HIDDEN, Mapping
+from .provenance import Outcome, composed_arrays, cuts_of, edge_arrays
 from .tokenizers import Tokenizer
 from .transducers import BaseTransducer, Graph, TokenizingTransducer, Transducer
 
@@ -167,32 +170,132 @@ def convert(transducer: BaseTransducer, text: Column, *, ascii_only: bool = Fals
 
 
 EDGES = "array<struct<i:int,o:int>>"
-ALIGNED = f"struct<output:string,edges:{EDGES},segments:array<struct<in_sub:string,out_sub:string>>,tiers:array<struct<tier:int,in_lang:string,out_lang:string,input:string,output:string,edges:{EDGES}>>>"
+SEGMENTS = "array<struct<in_sub:string,out_sub:string>>"
+TIERS = f"array<struct<tier:int,in_lang:string,out_lang:string,input:string,output:string,edges:{EDGES}>>"
+PARTS = {"output": "string", "edges": EDGES, "segments": SEGMENTS, "tiers": TIERS}
+ALIGNED = "struct<" + ",".join(f"{k}:{v}" for k, v in PARTS.items()) + ">"
+#: Characters of texts that are aligned before their rows are handed on, however many rows a batch has.
+ALIGNED_CHARS = 1 << 18
+
+
+def _tiers(transducer: BaseTransducer, text: str) -> list[tuple[str, str, np.ndarray]]:
+    """Input, output and edges (n, 2), -1 for none, of each step."""
+    if all(type(t) is Transducer for t in transducer.transducers) and not isinstance(transducer, TokenizingTransducer):
+        out: list = []
+        for t in transducer.transducers:
+            source = out[-1][1] if out else text
+            found = edge_arrays(t.mapping, source)
+            if found is None:
+                o = t.outcomes(source)[0]
+                found = o.output, edge_array(o.edges)
+            out.append((source, *found))
+        return out
+    return [(o.input, o.output, edge_array(o.edges)) for o in transducer.outcomes(text)]
+
+
+def edge_array(edges: list) -> np.ndarray:
+    return np.asarray([(i, -1 if o is None else o) for i, o in edges], np.int64).reshape(-1, 2)
+
+
+def _whole(tiers: list[tuple[str, str, np.ndarray]]) -> np.ndarray:
+    """Edges from the first input to the last output."""
+    if all(_total(i, e) for i, _, e in tiers):
+        return reduce(composed_arrays, (e for *_, e in tiers))
+    lists = [[(a, None if b < 0 else b) for a, b in e.tolist()] for *_, e in tiers]
+    return edge_array(Graph([Outcome(i, o, e) for (i, o, _), e in zip(tiers, lists)]).alignments())
+
+
+def _total(source: str, edges: np.ndarray) -> bool:
+    """Whether edges are sorted, each once, lead from every character, and all of them to one or none does."""
+    step = np.diff(edges, axis=0)
+    return not source and not len(edges) or bool(
+        len(edges) and ((step[:, 0] == 1) | (step[:, 0] == 0) & (step[:, 1] > 0)).all() and edges[0, 0] == 0 and edges[-1, 0] == len(source) - 1 and (edges[:, 1].min() >= 0 or edges[:, 1].max() < 0)
+    )
+
+
+def _listed(arrays: list, values) -> pa.Array:
+    """A list array of as many rows as there are arrays, which are None or have a length each; values: of all rows."""
+    sizes = np.asarray([0 if x is None else len(x) for x in arrays], np.int64)
+    offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    return pa.ListArray.from_arrays(offsets, values)
+
+
+def _edges_of(arrays: list) -> pa.Array:
+    every = np.concatenate([np.zeros((0, 2), np.int64), *(x for x in arrays if x is not None)]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1], mask=every[:, 1] < 0)], names=["i", "o"])
+    return _listed(arrays, pairs)
+
+
+def _aligned(transducer: BaseTransducer, texts: list[str | None], parts: list[str]) -> pa.StructArray:
+    """The parts of the alignments of texts, as Arrow holds them; a null text has null."""
+    kept = {name: [] for name in parts}
+    for text in texts:
+        if text is None:
+            for name in parts:
+                kept[name].append(None)
+            continue
+        tiers = _tiers(transducer, text)
+        whole = _whole(tiers) if "edges" in kept or "segments" in kept else None
+        for name in parts:
+            if name == "segments":
+                here, there = (x.tolist() for x in cuts_of(tiers[0][0], tiers[-1][1], whole))
+                i, o = tiers[0][0], tiers[-1][1]
+                kept[name].append([(i[a:c], o[b:d]) for a, c, b, d in zip(here, here[1:], there, there[1:])])
+            else:
+                kept[name].append(tiers[-1][1] if name == "output" else whole if name == "edges" else tiers)
+    columns = []
+    for name in parts:
+        rows = kept[name]
+        if name == "output":
+            columns.append(pa.array(rows, pa.string()))
+        elif name == "edges":
+            columns.append(_edges_of(rows))
+        elif name == "segments":
+            every = [x for r in rows if r is not None for x in r]
+            columns.append(_listed(rows, pa.StructArray.from_arrays([pa.array([x[k] for x in every], pa.string()) for k in (0, 1)], names=["in_sub", "out_sub"])))
+        else:
+            every = [(k, t.in_lang, t.out_lang, *x[:2]) for r in rows if r is not None for k, (t, x) in enumerate(zip(transducer.transducers, r))]
+            fields = [pa.array([x[k] for x in every], kind) for k, kind in enumerate((pa.int32(), *[pa.string()] * 4))]
+            fields.append(_edges_of([x[2] for r in rows if r is not None for x in r]))
+            columns.append(_listed(rows, pa.StructArray.from_arrays(fields, names=["tier", "in_lang", "out_lang", "input", "output", "edges"])))
+    return pa.StructArray.from_arrays(columns, names=parts, mask=pa.array([t is None for t in texts], pa.bool_()))
 
 
 def align(transducer: BaseTransducer, text: Column) -> Column:
     """Output, composed edges, pieces and tiers of a conversion, in one pass."""
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
 
-    pairs = lambda edges: [{"i": a, "o": b} for a, b in edges]
+    @arrow_udf(ALIGNED)
+    def run(texts: pa.Array) -> pa.Array:
+        pieces = [_aligned(transducer, texts.slice(a, b - a).to_pylist(), list(PARTS)) for a, b in _slices(texts)]
+        return pa.concat_arrays(pieces) if pieces else _aligned(transducer, [], list(PARTS))
 
-    def one(value):
-        if value is None:
-            return None
-        outs = transducer.outcomes(value)
-        g = Graph(outs)
-        tiers = [{"tier": k, "in_lang": t.in_lang, "out_lang": t.out_lang, "input": o.input, "output": o.output, "edges": pairs(o.edges)} for k, (t, o) in enumerate(zip(transducer.transducers, outs))]
-        return {"output": g.output_string, "edges": pairs(g.alignments()), "segments": [{"in_sub": a, "out_sub": b} for a, b in g.substring_alignments()], "tiers": tiers}
+    return run(text)
 
-    @pandas_udf(ALIGNED)
-    def run(texts):
-        import pandas as pd
 
-        rows = [one(t) for t in texts]
-        names = ("output", "edges", "segments", "tiers")
-        return pd.DataFrame({n: [None if r is None else r[n] for r in rows] for n in names})
+def _slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """Beginnings and ends of runs of rows of about ALIGNED_CHARS, or of one long text."""
+    ends = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = np.flatnonzero(np.append(True, np.diff(ends // ALIGNED_CHARS) != 0)).tolist() if len(ends) else []
+    return list(zip(starts, [*starts[1:], len(ends)]))
 
-    return run(text)
+
+def aligned(df: DataFrame, column: str, transducer: BaseTransducer, parts: list[str]) -> DataFrame:
+    """df with the parts of the alignments of a text column that are asked for (names of PARTS) in place of its columns of those names, for
+    whole corpora: rows are handed on as soon as ALIGNED_CHARS characters are aligned, so a worker holds no more, but for one long text."""
+    others = [c for c in df.columns if c not in parts]
+    at, places = df.columns.index(column), [df.columns.index(c) for c in others]
+
+    def run(batches):
+        for batch in batches:
+            for a, b in _slices(batch.column(at)):
+                piece = batch.slice(a, b - a)
+                made = _aligned(transducer, piece.column(at).to_pylist(), parts)
+                # fields of a null text are null as well
+                yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in places), *made.flatten()], names=[*others, *parts])
+
+    fields = [(f.name, f.dataType.simpleString()) for f in df.select(*others).schema.fields] + [(p, PARTS[p]) for p in parts]
+    return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields))
 
 
 def normalized(text: Column, form: str) -> Column:

@@ -120,3 +120,26 @@ def test_frames(spark):
     rows = api.convert_frame(df, "text", "und", "eng-arpabet", alignments=True).collect()
     assert rows[0].converted.output == "N UW N AA V UW T " and len(rows[0].converted.tiers) == 4 and rows[1].converted is None or rows[1].converted.output is None
     assert [r[0] for r in df.select(api.convert_column(F.col("text"), "und", "und-ipa")).collect()] == ["nunavut", None]
+
+
+def test_alignments_of_corpora_are_the_kernel_s_and_take_little_memory(spark, monkeypatch):
+    import tracemalloc
+
+    from lexiweave.operators.transducers import CompositeTransducer, Graph
+
+    monkeypatch.setattr(columns, "ALIGNED_CHARS", 16)
+    texts = [*TEXTS, "bb", "banab nab \u0130", "a" * 50]
+    chains = [[("a", "")], [("b", "xyz"), ("n", "")], [("an", "x"), ("x", "")], [("a{1}b{2}", "b{2}a{1}")]]
+    for one, options in zip(chains, ({"out_delimiter": "-"}, {"case_sensitive": False, "preserve_case": True}, {"prevent_feeding": True}, {})):
+        chain = CompositeTransducer([Transducer(Mapping([{"in": a, "out": b} for a, b in one], norm_form="none", **options)), Transducer(Mapping([{"in": "b", "out": "vv"}]))])
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").coalesce(1)
+        for r in columns.aligned(df, "text", chain, ["output", "edges", "segments"]).collect():
+            g = None if r.text is None else Graph(chain.outcomes(r.text))
+            got = r.output, r.edges and [tuple(e) for e in r.edges], r.segments and [tuple(x) for x in r.segments]
+            assert got == ((None,) * 3 if g is None else (g.output_string, g.alignments(), g.substring_alignments()))
+    chain = CompositeTransducer([Transducer(Mapping([{"in": a, "out": a + a}], norm_form="none")) for a in "no"])
+    tracemalloc.start()
+    columns._aligned(chain, ["no one knows " * 100] * 100, ["output", "edges"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130_000 * 150  # lists of dictionaries take over 700 bytes a character
