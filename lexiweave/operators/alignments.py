@@ -1,7 +1,7 @@
 """Alignments as rows: composition, repair, pieces that do not cross, joining of texts. Keys name what a row's edges belong to.
 
 Edges are rows (keys, i, o) with a null o for a deletion; where their order counts they have `ord` too. Each operation shuffles
-once on the keys.
+once on the keys. appended_lists() keeps the edges of a part in one row.
 """
 
 from __future__ import annotations
@@ -56,3 +56,28 @@ def appended(parts: DataFrame, edges: DataFrame, keys: list[str], pos: str = "po
     texts = parts.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, F.concat_ws("", F.transform("_all", lambda x: x["input"])).alias("input"), F.concat_ws("", F.transform("_all", lambda x: x["output"])).alias("output"))
     shifted = edges.join(moved.select(*keys, pos, "_i", "_o"), [*keys, pos]).select(*keys, (F.col("i") + F.col("_i")).alias("i"), (F.col("o") + F.col("_o")).alias("o"), F.struct(pos, "ord").alias("ord"))
     return texts, repair(shifted, keys)
+
+
+def appended_lists(parts: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+    """The same with edges as lists: of parts (keys, pos, input, output, edges, each list repaired on its own) the same columns, with edges
+    moved by what is before them and repaired over all parts of their keys. One row a part throughout; only texts' lengths and first and
+    last outputs meet in windows, so that no edge is a row of its own. A part without an input has no edges."""
+    w = Window.partitionBy(*keys).orderBy(pos, "input", "output")
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    length = lambda c: F.sum(F.coalesce(F.length(c), F.lit(0))).over(before)
+    # two lists of numbers take a quarter of what pairs do, in shuffles and sorts
+    lists = parts.withColumns({"_a": F.col("edges.i"), "_b": F.col("edges.o")}).drop("edges")
+    moved = lists.withColumns({"_i": F.coalesce(length("input"), F.lit(0)), "_o": F.coalesce(length("output"), F.lit(0))})
+    # where a part has an output all of its edges have one, as each list is repaired
+    ends = moved.withColumns({"_first": F.try_element_at("_b", F.lit(1)) + F.col("_o"), "_last": F.try_element_at("_b", F.lit(-1)) + F.col("_o")})
+    ends = ends.withColumn("_near", F.coalesce(F.last("_last", True).over(before), F.first("_first", True).over(after)))
+    pair = lambda a, b: F.struct((a + F.col("_i")).alias("i"), F.coalesce(b + F.col("_o"), F.col("_near")).alias("o"))
+    return ends.withColumn("edges", F.zip_with("_a", "_b", pair)).drop("_a", "_b", "_i", "_o", "_first", "_last", "_near")
+
+
+def joined_lists(parts: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+    """keys, input, output and n_edges_in, how many inputs have edges, of parts as appended_lists() returns them. Null where all parts are."""
+    own = parts.withColumn("_n", F.size(F.array_distinct("edges.i"))).select(*keys, F.struct(pos, "input", "output").alias("_part"), F.when(F.col("edges").isNotNull(), F.col("_n")).alias("_n"))
+    whole = lambda c: F.when(F.exists("_all", lambda x: x[c].isNotNull()), F.concat_ws("", F.transform("_all", lambda x: x[c])))
+    groups = own.groupBy(*keys).agg(F.array_sort(F.collect_list("_part")).alias("_all"), F.sum("_n").cast("long").alias("n_edges_in"))
+    return groups.select(*keys, whole("input").alias("input"), whole("output").alias("output"), "n_edges_in")

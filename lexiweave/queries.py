@@ -393,12 +393,9 @@ def tiers(spark, sf_dir):
 def graph_append(spark, sf_dir):
     """Turns of a conversation appended: their outputs joined, edges moved and repaired."""
     made = Transducer(Mapping([{"in": "e", "out": "ee"}], norm_form="none"))
-    t = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("input"), columns.align(made, F.col("text")).alias("a"))
-    parts = t.select("conv_id", "pos", "input", F.col("a.output").alias("output"))
-    edges = t.select("conv_id", "pos", F.posexplode("a.edges").alias("ord", "e")).select("conv_id", "pos", "ord", "e.i", "e.o")
-    texts, moved = alignments.appended(parts, edges, ["conv_id"])
-    n = moved.groupBy("conv_id").agg(F.countDistinct("i").alias("n_edges_in"))
-    return texts.join(n, "conv_id").select("conv_id", "output", "n_edges_in")
+    t = columns.spread(table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("input")))
+    parts = alignments.appended_lists(columns.aligned(t, "input", made, ["output", "edges"]), ["conv_id"])
+    return alignments.joined_lists(parts, ["conv_id"]).select("conv_id", "output", "n_edges_in")
 
 
 # --- network, registry and rules

@@ -143,3 +143,21 @@ def test_alignments_of_corpora_are_the_kernel_s_and_take_little_memory(spark, mo
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 130_000 * 150  # lists of dictionaries take over 700 bytes a character
+
+
+def test_appended_lists_are_the_object_s_and_keep_groups_without_edges(spark):
+    """Edges stay in the rows of their parts; deletions reach over parts; groups of null or empty texts and without a key stay."""
+    rules = Transducer(Mapping([{"in": "a", "out": ""}, {"in": "b", "out": "xx"}], norm_form="none"))
+    groups = {0: ["a", "aab", "", None, "a", "cc"], 1: ["a", "aa"], 2: [None, None], 3: [""], None: ["b", "a"], 5: ["a", "a", "b"]}
+    df = spark.createDataFrame([(g, k, t) for g, ts in groups.items() for k, t in enumerate(ts)], "g int, pos int, input string")
+    parts = alignments.appended_lists(columns.aligned(df, "input", rules, ["output", "edges"]), ["g"])
+    assert parts.count() == df.count()
+    got = {g: [e for r in parts.orderBy("pos").collect() if r.g == g for e in r.edges or ()] for g in groups}
+    whole = {r.g: tuple(r)[1:] for r in alignments.joined_lists(parts, ["g"]).collect()}
+    for g, texts in groups.items():
+        want = None
+        for t in texts:
+            if t is not None:
+                want = rules(t) if want is None else want.append(rules(t))
+        assert [tuple(e) for e in got[g]] == (want.edges if want else [])
+        assert whole[g] == ((want.input_string, want.output_string, len({a for a, _ in want.edges})) if want else (None, None, None))
