@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 import regex
@@ -36,11 +37,8 @@ def merged(tokens: list[Token]) -> list[Token]:
 def merged_gaps(tokens: list[Token]) -> list[Token]:
     """Only runs of what is no word become one token."""
     out: list[Token] = []
-    for t in tokens:
-        if out and not t.is_word and not out[-1].is_word:
-            out[-1] = Token(out[-1].text + t.text, False)
-        else:
-            out.append(t)
+    for is_word, run in groupby(tokens, lambda t: t.is_word):
+        out += run if is_word else [Token("".join(t.text for t in run), False)]
     return out
 
 
@@ -134,6 +132,7 @@ class LexiconTokenizer(Tokenizer):
     def __init__(self, mapping: Mapping):
         super().__init__(mapping.language_name)
         self.words = frozenset(w.lower() for w, _ in mapping.alignments or ())
+        self._longest = max(map(len, self.words), default=0)
         self._plain = Tokenizer()
 
     def tokenize_text(self, text: str) -> list[Token]:
@@ -142,17 +141,22 @@ class LexiconTokenizer(Tokenizer):
             if k % 2:
                 out.append(Token(block, False))
                 continue
-            rest = split_gaps(self._plain.tokenize_text(block))
-            while rest:
-                for n in range(len(rest), 0, -1):
-                    whole = "".join(t.text for t in rest[:n])
-                    if n > 1 and whole.lower() in self.words:
+            rest, at = split_gaps(self._plain.tokenize_text(block)), 0
+            while at < len(rest):
+                # lower case is never shorter, so what is longer than any word is none
+                end, size = at, 0
+                while end < len(rest) and size + len(rest[end].text) <= self._longest:
+                    size += len(rest[end].text)
+                    end += 1
+                for n in range(end, at + 1, -1):
+                    whole = "".join(t.text for t in rest[at:n])
+                    if whole.lower() in self.words:
                         out.append(Token(whole, True))
                         break
                 else:
-                    n = 1
-                    out.append(Token(rest[0].text, rest[0].is_word or rest[0].text.lower() in self.words and len(rest) > 1))
-                rest = rest[n:]
+                    n = at + 1
+                    out.append(Token(rest[at].text, rest[at].is_word or rest[at].text.lower() in self.words and len(rest) - at > 1))
+                at = n
         return merged_gaps(out)
 
 
@@ -181,17 +185,72 @@ def tokens(df: DataFrame, column: str, tokenizer: Tokenizer | None = None, into:
         return df.withColumn(into, default_tokens(F.col(column)))
     if type(tokenizer) is InventoryTokenizer and not tokenizer.dot_is_letter:
         return df.withColumn(into, inventory_tokens(F.col(column), tokenizer))
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf(TOKENS)
-    def cut(texts):
-        return texts.map(lambda t: None if t is None else [{"text": x.text, "is_word": x.is_word} for x in tokenizer.tokenize_text(t)])
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf(TOKENS)
+    def cut(texts: pa.Array) -> pa.Array:
+        offsets, said, kinds = [0], [], []
+        pieces = []
+        for k, t in enumerate(texts):
+            for x in () if (t := t.as_py()) is None else tokenizer.tokenize_text(t):
+                said.append(x.text)
+                kinds.append(x.is_word)
+            offsets.append(len(said))
+            if len(said) >= CUT_ROWS or k == len(texts) - 1:
+                pieces.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _token_structs(said, kinds)))
+                offsets, said, kinds = [0], [], []
+        whole = pa.concat_arrays(pieces) if pieces else pa.array([], pa.list_(_token_structs([], []).type))
+        # nulls are told by a mask, which lists made from offsets take without a slice only
+        return pa.ListArray.from_arrays(whole.offsets, whole.values, mask=texts.is_null()) if texts.null_count else whole
 
     return df.withColumn(into, cut(F.col(column)))
 
 
+#: Tokens of a task in Python at once; what is more is handed on, or held as Arrow does.
+CUT_ROWS = 50_000
+
+
+def _token_structs(said: list[str], kinds: list[bool]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(kinds, pa.bool_())], names=["text", "is_word"])
+
+
+def _cut_rows(df: DataFrame, keys: list[str], column: str, tokenizer: Tokenizer) -> DataFrame:
+    """token_rows() by a tokenizer in Python: a batch of rows as soon as there are CUT_ROWS, also within a text."""
+    names = [*keys, "pos", "text", "is_word"]
+
+    def run(batches):
+        for batch in batches:
+            rows, pos, said, kinds = [], [], [], []
+
+            def flush(batch=batch):
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), pa.array(pos, pa.int32()), pa.array(said, pa.string()), pa.array(kinds, pa.bool_())], names=names)
+
+            for row, text in enumerate(batch.column(len(keys))):
+                for k, t in enumerate(() if (text := text.as_py()) is None else tokenizer.tokenize_text(text)):
+                    rows.append(row)
+                    pos.append(k)
+                    said.append(t.text)
+                    kinds.append(t.is_word)
+                    if len(rows) >= CUT_ROWS:
+                        yield flush()
+                        rows, pos, said, kinds = [], [], [], []
+            if rows:
+                yield flush()
+
+    given = df.select(*keys, F.col(column).alias("_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*keys).schema.fields)
+    return given.mapInArrow(run, f"{fields}{', ' if keys else ''}pos int, text string, is_word boolean")
+
+
+def _as_expression(tokenizer: Tokenizer | None) -> bool:
+    return tokenizer is None or type(tokenizer) in (Tokenizer, InventoryTokenizer) and not tokenizer.dot_is_letter
+
+
 def token_rows(df: DataFrame, keys: list[str], column: str, tokenizer: Tokenizer | None = None) -> DataFrame:
     """keys, pos, text and is_word: a row for each token."""
+    if not _as_expression(tokenizer):
+        return _cut_rows(df, keys, column, tokenizer)
     cut = tokens(df.select(*keys, F.col(column).alias("_text")), "_text", tokenizer, "_tokens")
     return cut.select(*keys, F.posexplode("_tokens").alias("pos", "_t")).select(*keys, "pos", F.col("_t.text").alias("text"), F.col("_t.is_word").alias("is_word"))
 

@@ -161,3 +161,22 @@ def test_appended_lists_are_the_object_s_and_keep_groups_without_edges(spark):
                 want = rules(t) if want is None else want.append(rules(t))
         assert [tuple(e) for e in got[g]] == (want.edges if want else [])
         assert whole[g] == ((want.input_string, want.output_string, len({a for a, _ in want.edges})) if want else (None, None, None))
+
+
+def test_lexicon_tokens_leave_the_worker_in_bounded_batches(spark, monkeypatch):
+    """Many tokens of one long text without white space, too: batches are small, and what cannot be a word is not looked up."""
+    import time
+
+    from lexiweave.operators import tokenizers
+    from lexiweave.operators.lexicon import parse_alignment
+
+    tok = tokenizers.LexiconTokenizer(Mapping(type="lexicon", alignments=[parse_alignment("a-a}x"), parse_alignment("it's}y")]))
+    monkeypatch.setattr(tokenizers, "CUT_ROWS", 7)
+    texts = [None, "", "IT'S a-a it'sx -a-a- b", "a-" * 30, "it's it's"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").coalesce(1)
+    want = [(k, n, x.text, x.is_word) for k, t in enumerate(texts) if t for n, x in enumerate(tok.tokenize_text(t))]
+    assert sorted(tuple(r) for r in tokenizers.token_rows(df, ["k"], "text", tok).collect()) == want
+    assert [x.text for x in tok.tokenize_text("a-a'a-a")] == ["a-a", "'", "a-a"]
+    began = time.perf_counter()
+    assert len(tok.tokenize_text("x." * 20_000)) == 40_000
+    assert time.perf_counter() - began < 10  # every beginning with every end would take hours
