@@ -33,6 +33,10 @@ PARTS, NEAR = 64, 2
 PASSES = 4
 #: Differing bits of the first 64 up to which texts may be similar: at 0.8 a pair has more with a probability of 2e-6.
 CLOSE = 24
+#: The same where more than two texts share a key: at 0.8 a pair has more with a probability below 1e-6, texts by chance have no more with 0.08.
+CLOSE_OF_MANY = 26
+#: Texts that share a key up to which all are held against each other, by their first 64 bits; of more all are kept.
+MANY = 64
 #: How often components are compared by one pair each before all texts are.
 ROUNDS = 2
 #: Words of 64 bits of a set's sketch.
@@ -225,9 +229,49 @@ def _other_pairs(rest: DataFrame, least: float, n: int) -> DataFrame:
     return one.join(two, (F.col("key_a") == F.col("key_b")) & able).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
+def _with_company(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by key, share their key with one whose bits are close, or with over MANY."""
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(heads, len(key)))
+    size = np.repeat(size, size)
+    keep, most = size > MANY, np.where(size > 2, CLOSE_OF_MANY, CLOSE)
+    some = np.flatnonzero((size > 1) & ~keep)
+    for away in range(1, int(size[some].max()) if len(some) else 0):
+        a = some[some + away < len(key)]
+        a = a[key[a] == key[a + away]]
+        a = a[np.bitwise_count((bits[a] ^ bits[a + away]).view(np.uint64)) <= most[a]]
+        keep[a] = keep[a + away] = True
+    return keep
+
+
+def _close(batches):
+    """Those of (key, node, bits), sorted by key, that _with_company() keeps: a key's rows are seen together, but for those of very many."""
+    held, hot = [np.zeros(0, np.int64)] * 3, None
+
+    def kept(rows, keep):
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], names=["key", "node", "bits"])
+
+    for batch in batches:
+        rows = [batch.column(k).to_numpy() for k in range(3)]
+        if hot is not None:
+            n = int(np.searchsorted(rows[0], hot, side="right"))
+            if n:
+                yield kept([x[:n] for x in rows], slice(None))
+            rows = [x[n:] for x in rows]
+        if not len(rows[0]):
+            continue
+        rows, hot = [np.concatenate(x) for x in zip(held, rows)], None
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if len(rows[0]) - last > MANY:
+            hot, last = rows[0][-1], len(rows[0])
+        held = [x[last:] for x in rows]
+        yield kept([x[:last] for x in rows], _with_company(rows[0][:last], rows[2][:last]))
+    yield kept(held, _with_company(held[0], held[2]))
+
+
 def _meeting(nodes: DataFrame, n: int) -> DataFrame:
-    """node, bits and those of its keys that other nodes have too, but where only one has and its bits are not close. Of (node, code, bits)."""
-    whole, passes = Window.partitionBy("key"), []
+    """node, bits and those of its keys that nodes with close bits have too, or very many nodes. Of (node, code, bits)."""
+    passes: list[DataFrame] = []
     for k in range(PASSES):
         parts = range(k * PARTS // PASSES, (k + 1) * PARTS // PASSES)
 
@@ -239,9 +283,8 @@ def _meeting(nodes: DataFrame, n: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key), node.take(pa.array(at)), bits.take(pa.array(at))], names=["key", "node", "bits"])
 
         entries = nodes.where("code is not null").select("node", "code", "bits").mapInArrow(lambda b, f=spread: trimmed(f(b)), "key long, node long, bits long").repartition(n, "key")
-        met = entries.withColumns({"_n": F.count("*").over(whole), "_a": F.min("bits").over(whole), "_b": F.max("bits").over(whole)})
-        met = met.where((F.col("_n") > 2) | (F.col("_n") == 2) & (F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= CLOSE))
-        passes.append(stored(met.select("key", "node", "bits"), "met"))
+        met = entries.sortWithinPartitions("key").mapInArrow(lambda b: trimmed(_close(b)), "key long, node long, bits long")
+        passes.append(stored(met, "met"))
     met = stored(reduce(DataFrame.union, passes).groupBy("node").agg(F.first("bits").alias("bits"), F.collect_list("key").alias("keys")), "met")
     forget(*passes)
     return met
