@@ -163,20 +163,35 @@ class LexiconTokenizer(Tokenizer):
 TOKENS = "array<struct<text:string,is_word:boolean>>"
 
 
+def _told_apart(text: Column, found: Column, first: str) -> Column:
+    """Tokens of runs that are words and gaps by turns: only the beginning of a text is looked at. Both stand in an array of one, as what a
+    function of elements refers to by an expression is computed for each of them."""
+    once = F.array(F.struct(found.alias("found"), text.rlike(first).alias("word")))
+    kinds = lambda s: F.transform(s["found"], lambda t, k: F.struct(t.alias("text"), (s["word"] == (k % 2 == 0)).alias("is_word")))
+    return F.get(F.transform(once, kinds), F.lit(0))
+
+
 def default_tokens(text: Column) -> Column:
     """The default tokenizer as an expression: an array of (text, is_word)."""
-    found = F.regexp_extract_all(text, F.lit(f"[{WORD_CLASS}]+|[^{WORD_CLASS}]+"), F.lit(0))
-    return F.transform(found, lambda t: F.struct(t.alias("text"), t.rlike(f"^[{WORD_CLASS}]").alias("is_word")))
+    found = F.regexp_extract_all(text, F.lit(f"[{WORD_CLASS}]++|[^{WORD_CLASS}]++"), F.lit(0))
+    return _told_apart(text, found, f"^[{WORD_CLASS}]")
 
 
 def inventory_tokens(text: Column, tokenizer: InventoryTokenizer) -> Column:
     """An inventory's tokenizer as an expression. A word is a run of its pieces and of word characters, a gap a run of what begins
-    neither; the runs are possessive, so that Java neither backtracks nor recurses on long ones."""
-    pieces = "|".join(r"\Q" + p.replace(r"\E", r"\E\\E\Q") + r"\E" for p in tokenizer.pieces)
+    neither; the runs are possessive, so that Java neither backtracks nor recurses on long ones. Pieces of one character join the class of
+    word characters, which leaves no longer piece to look for where all are made of those."""
     flags = "" if tokenizer.case_sensitive else "(?iu)"
-    begins = f"{pieces}|[{WORD_CLASS}]" if pieces else f"[{WORD_CLASS}]"
+    single = [p for p in tokenizer.pieces if len(p) == 1]
+    known = WORD_CLASS + "".join(f"\\x{{{ord(p):x}}}" for p in single)
+    inside = regex.compile(f"[{WORD_CLASS}{''.join(map(regex.escape, single))}]+")
+    longer = [p for p in tokenizer.pieces if not inside.fullmatch(p)]
+    if not longer:
+        found = F.regexp_extract_all(text, F.lit(f"{flags}[{known}]++|[^{known}]++"), F.lit(0))
+        return _told_apart(text, found, f"{flags}^[{known}]")
+    begins = "|".join([*(r"\Q" + p.replace(r"\E", r"\E\\E\Q") + r"\E" for p in tokenizer.pieces), f"[{WORD_CLASS}]"])
     found = F.regexp_extract_all(text, F.lit(f"{flags}(?s)(?:{begins})++|(?:(?!{begins}).)++"), F.lit(0))
-    return F.transform(found, lambda t: F.struct(t.alias("text"), t.rlike(f"{flags}^(?:{begins})").alias("is_word")))
+    return _told_apart(text, found, f"{flags}^(?:{begins})")
 
 
 def tokens(df: DataFrame, column: str, tokenizer: Tokenizer | None = None, into: str = "tokens") -> DataFrame:
