@@ -53,7 +53,7 @@ def outcome_ok(transducer: BaseTransducer, text: Column, arpabet: list[str]) ->
     def run(texts):
         import pyarrow as pa
 
-        return pa.array([None if t is None else check_outcome(transducer, Graph(transducer.outcomes(t)), arpabet=known) for t in texts.to_pylist()], pa.bool_())
+        return pa.array([None if t is None else check_text(transducer, t, arpabet=known) for t in texts.to_pylist()], pa.bool_())
 
     return run(text)
 
@@ -74,6 +74,20 @@ def check_outcome(transducer: BaseTransducer, graph: Graph, *, arpabet: set[str]
     return True
 
 
+def check_text(transducer: BaseTransducer, text: str, *, arpabet: set[str]) -> bool:
+    """check_outcome() of a text's conversion, which needs the outputs of its tiers and none of their edges."""
+    if isinstance(transducer, TokenizingTransducer):
+        return check_outcome(transducer, Graph(transducer.outcomes(text)), arpabet=arpabet)
+    for t in transducer.transducers:
+        text = t.text(text)
+        if "eng-arpabet" in t.out_lang:
+            if not is_arpabet(text, arpabet):
+                return False
+        elif T.is_ipa(t.out_lang) and not is_ipa_text(text):
+            return False
+    return True
+
+
 def unknown_outputs(mappings: list[Mapping]) -> list[tuple[str, str, str]]:
     """(in_lang, out_lang, output) of the rules of IPA mappings whose outputs are no IPA."""
     return [(m.in_lang, m.out_lang, r.rule_output) for m in mappings if m.type == "mapping" and T.is_ipa(m.out_lang) for r in m.rules if not is_ipa_text(strip_indices(r.rule_output))]
