@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of rows that an Arrow batch holds at most, besides its last row.
-BATCH_BYTES = 4 << 20
+from ..functions.batches import BATCH_BYTES, bounded_batches  # noqa: F401 (operators import them from here)
+
 #: Bytes of a table's rows, written out as JSON, up to which it is broadcast.
 BROADCAST_BYTES = 48 << 20
 
@@ -109,21 +109,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of an Arrow batch, since texts may be long. A lower bound that is set stays, as does that on rows."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < _bytes(spark.conf.get(key)) <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
-def _bytes(value: str) -> int:
-    units = {"k": 10, "m": 20, "g": 30, "t": 40}
-    plain = value.lower().removesuffix("b")
-    if plain[-1:] in units and plain[:-1].isdigit():
-        return int(plain[:-1]) << units[plain[-1]]
-    return int(plain) if plain.isdigit() else 0
-
-
 #: Large objects that this worker keeps from task to task, by what they are for.
 _kept: dict = {}
 

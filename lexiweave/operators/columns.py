@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.batches import bounded_batches
 from ..plans.mapping import HIDDEN, Mapping
 from .provenance import Outcome, composed_arrays, cuts_of, edge_arrays
 from .tokenizers import Tokenizer
 from .transducers import BaseTransducer, Graph, TokenizingTransducer, Transducer
 
-MAX_NESTED, CACHE = 40, 500_000
+#: Words that a worker keeps, what they and their outputs may have in characters, and how long a word may be to be kept.
+MAX_NESTED, CACHE, CACHE_CHARS, CACHED = 40, 200_000, 4_000_000, 64
 _META = re.compile(r"[\\^$.|?*+()\[\]{}]")
 #: Python's word characters, as Java writes them: combining marks are not among them.
 _W = r"[\p{L}\p{N}_]"
@@ -92,6 +94,8 @@ def _plain(mapping: Mapping) -> bool:
 
 #: Words of conversions by their names, which a worker keeps from task to task for the KEPT conversions that came last.
 _words: dict[str, dict[str, str]] = {}
+#: Characters of those words and their outputs.
+_held: dict[str, int] = {}
 KEPT = 4
 
 
@@ -107,8 +111,8 @@ class _Words:
     def cache(self) -> dict[str, str]:
         if self.name not in _words:
             while len(_words) >= KEPT:
-                del _words[next(iter(_words))]
-            _words[self.name] = {}
+                del _words[first := next(iter(_words))], _held[first]
+            _words[self.name], _held[self.name] = {}, 0
         return _words[self.name]
 
     def text(self, text: str) -> str:
@@ -121,15 +125,21 @@ class _Words:
                 continue
             said = cache.get(word)
             if said is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                said = cache[word] = self.inner.text(word)
+                said = self.inner.text(word)
+                if len(word) <= CACHED:
+                    if len(cache) >= CACHE or _held[self.name] >= CACHE_CHARS:
+                        cache.clear()
+                        _held[self.name] = 0
+                    cache[word] = said
+                    _held[self.name] += len(word) + len(said)
             out.append(said)
         return "".join(out)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows of df over as many tasks as run at once, where its scan makes fewer: for columns that Python computes."""
+    """The rows of df over as many tasks as run at once, where its scan makes fewer: for columns that Python computes, in batches of
+    bounded bytes."""
+    bounded_batches(df.sparkSession)
     plan = df._jdf.queryExecution().executedPlan() if hasattr(df, "_jdf") else None
     if plan is None or plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
         return df  # has been shuffled already
@@ -144,7 +154,8 @@ def arrow_column(transducer: BaseTransducer, text: Column) -> Column:
 
     @arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else words.text(t) for t in texts.to_pylist()], pa.string())
+        pieces = [pa.array([None if t is None else words.text(t) for t in texts.slice(a, b - a).to_pylist()], pa.string()) for a, b in _slices(texts)]
+        return pa.concat_arrays(pieces) if pieces else pa.array([], pa.string())
 
     return run(text)
 
