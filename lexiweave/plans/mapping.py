@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import warnings
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import regex
 
@@ -168,6 +169,18 @@ class Mapping:
         self.rules, self._compiled = list(seen.values()), None
 
 
+@lru_cache(maxsize=4096)
+def _alike(char: str) -> str:
+    """Characters besides this one that it matches where case does not matter, and that lower case leaves as they are."""
+    return "".join(c for c in _cased() if c != char and regex.fullmatch(regex.escape(char), c, regex.IGNORECASE))
+
+
+@lru_cache(maxsize=1)
+def _cased() -> tuple[str, ...]:
+    every = (chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000)
+    return tuple(c for c in every if c.lower() == c and (c.upper() != c or c.casefold() != c or c.title() != c))
+
+
 @dataclass
 class Compiled:
     """A rule ready to apply; number is its place among all rules, empty ones included."""
@@ -184,6 +197,14 @@ class Compiled:
         plain = strip_indices(self.rule.rule_input)
         #: what a text must hold for the rule to match, where that is plain to see
         self.need = plain if regex.escape(plain) == plain and not self.flags & regex.IGNORECASE else ""
+        #: what str.replace() may look for instead, in a text (in lower case where case does not matter) without any of `unlike`
+        self.plain, self.unlike = "", None
+        bare = regex.sub(r"\\(.)", r"\1", plain)
+        if plain and not (self.rule.context_before or self.rule.context_after) and plain in (bare, regex.escape(bare)) and (regex.escape(bare) == bare or plain != bare):
+            if not self.flags & regex.IGNORECASE:
+                self.plain = bare
+            elif bare == bare.lower():
+                self.plain, self.unlike = bare, regex.compile("[" + "".join(map(regex.escape, sorted(set("".join(map(_alike, bare)))))) + "]") if any(map(_alike, bare)) else None
         try:
             self.match = regex.compile(self.pattern, self.flags)
         except regex.error as e:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from . import api
 from .operators import alignments, checks, columns, graphs, inventories
 from .operators.lexicon import convert_by_join
-from .operators.tokenizers import Tokenizer, default_tokens, token_rows
-from .operators.transducers import CompositeTransducer, TokenizingTransducer, Transducer
+from .operators.tokenizers import default_tokens, token_rows
+from .operators.transducers import CompositeTransducer, Transducer
 from .plans.mapping import Mapping, strip_indices
 from .sources import builtin
 from .sources.files import rule_rows
@@ -95,24 +95,13 @@ UND_IPA_SQL = f"nfc_normalize({UND_SQL.format(x=_APART)})"
 
 @query(f"SELECT doc_id, sha256({UND_IPA_SQL}) AS converted_sha256, CAST(length({UND_IPA_SQL}) AS BIGINT) AS n FROM documents")
 def convert_und_ipa(spark, sf_dir):
-    """Undetermined text to IPA over whole texts, by the plan that converts words from a cache; marks stay on what they stood on."""
+    """Undetermined text to IPA over whole texts; marks stay on what they stood on. No rule looks over white space, so no word needs a cache."""
     made = api.make_g2p("und-ascii", "und-ipa", tokenize=False)
     texts = columns.spread(docs(spark, sf_dir).select("doc_id", "text"))
-    said = columns.normalized(columns.convert(TokenizingTransducer(made, _AsOne()), F.col("text")), "NFC")
+    said = columns.normalized(columns.convert(made, F.col("text")), "NFC")
     return texts.select("doc_id", said.alias("c")).select("doc_id", sha("c").alias("converted_sha256"), F.length("c").cast("long").alias("n"))
 
 
-class _AsOne(Tokenizer):
-    """Pieces between white space are words, so that all that is mapped is converted."""
-
-    def tokenize_text(self, text):
-        import re
-
-        from .operators.tokenizers import Token
-
-        return [Token(p, not p.isspace()) for p in re.findall(r"[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+", text)]
-
-
 @query("SELECT doc_id, sha256(regexp_replace(translate(text, 'aeiou', 'eioua'), '[xz]', '', 'g')) AS converted_sha256 FROM documents")
 def convert_translate(spark, sf_dir):
     """One character to one at most, without feeding: a single expression."""
@@ -166,7 +155,7 @@ def case_preserve(spark, sf_dir):
     """Case does not matter to rules and comes back with the output; µ has an upper case of its own here."""
     made = Transducer(Mapping([{"in": "a", "out": "ο"}, {"in": "n", "out": "µ"}], case_sensitive=False, preserve_case=True, norm_form="none", case_equivalencies={"µ": "#"}))
     texts = columns.spread(docs(spark, sf_dir).select("doc_id", "text"))
-    return texts.select("doc_id", sha(columns.convert(TokenizingTransducer(made, _AsOne()), F.col("text"))).alias("converted_sha256"))
+    return texts.select("doc_id", sha(columns.convert(made, F.col("text"))).alias("converted_sha256"))
 
 
 @query("SELECT doc_id, sha256(regexp_replace(replace(text, 'sh', 's'), '(s|t)', '\\1·', 'g')) AS converted_sha256 FROM documents")

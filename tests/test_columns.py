@@ -180,3 +180,50 @@ def test_lexicon_tokens_leave_the_worker_in_bounded_batches(spark, monkeypatch):
     began = time.perf_counter()
     assert len(tok.tokenize_text("x." * 20_000)) == 40_000
     assert time.perf_counter() - began < 10  # every beginning with every end would take hours
+
+
+def test_literal_rules_without_case_read_what_patterns_do():
+    """Literal rules replace strings, but for texts with other characters that a pattern without case matches."""
+    from lexiweave.operators.provenance import rewrite
+
+    m = Mapping([{"in": "s", "out": "z"}, {"in": "k", "out": "c"}, {"in": r"\?", "out": "i"}, {"in": "ia", "out": ""}], norm_form="none", case_sensitive=False)
+    assert [r.plain for r in m.compiled] == ["s", "k", "?", "ia"]
+    for text in ("Sk?a Ska", "\u017fS?A", "\u212ak", "\u0130a \u0131a IA", "?" * 9 + "aaa", ""):
+        assert rewrite(m, text) == transduce(m, text).output
+
+
+def test_case_of_long_texts_comes_back_as_that_of_short_ones():
+    from lexiweave.operators.transducers import LONG
+
+    made = Transducer(Mapping([{"in": "a", "out": "oo"}, {"in": "nn", "out": "u"}, {"in": "x", "out": ""}], norm_form="none", case_sensitive=False, preserve_case=True, case_equivalencies={"u": "#"}))
+    text = "Anna XaNNa \u0130x \n# xX " * LONG
+    assert made.text(text) == made.outcomes(text)[0].output
+    single = Transducer(Mapping([{"in": "a", "out": "ο"}, {"in": "n", "out": "µ"}, {"in": "s", "out": "X"}], norm_form="none", case_sensitive=False, preserve_case=True, case_equivalencies={"µ": "#"}))
+    for t in ("Anna aNNA # sS µ ſ x", "\u0130a A", "\\u0041A", ""):
+        assert single.text(t) == single.outcomes(t)[0].output
+
+
+def test_words_kept_are_bounded_in_characters(monkeypatch):
+    from lexiweave.operators.transducers import TokenizingTransducer
+
+    monkeypatch.setattr(columns, "CACHE_CHARS", 1000)
+    words = columns._Words(TokenizingTransducer(Transducer(Mapping([{"in": "a", "out": "b"}])), columns.Tokenizer()))
+    text = " ".join([f"a{k}" for k in range(2000)] + ["a" * 5000])
+    assert words.text(text) == text.replace("a", "b")
+    assert sum(len(k) + len(v) for k, v in words.cache.items()) < 1100
+
+
+def test_pieces_of_one_character_join_the_class_of_word_characters():
+    from lexiweave.operators.tokenizers import InventoryTokenizer, inventory_tokens
+
+    plan = lambda pieces: str(inventory_tokens(F.col("t"), InventoryTokenizer([Mapping([{"in": p, "out": "x"} for p in pieces])])))
+    assert "(?!" not in plan(["~", "'", "th", "t'"]) and "(?!" in plan(["-a"])
+
+
+def test_checks_of_conversions_are_those_of_their_graphs():
+    from lexiweave.operators import checks
+    from lexiweave.queries import ARPABET
+
+    made = api.make_g2p("und", "eng-arpabet", tokenize=False)
+    for text in ("nunavut", "", "\u65e5\u672c", "d'\u00e9t\u00e9", "9\u00bd", "x:y", "Stra\u00dfe"):
+        assert checks.check_text(made, text, arpabet=set(ARPABET)) == checks.check_outcome(made, made(text), arpabet=set(ARPABET))
